@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,27 +41,26 @@ def all_parties(text: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) > 3)), 1, MAX_FOUND)
 
 
-def type_scores(text: Column) -> Column:
-    """Array of (score, rank, type, confidence), one entry per agreement type.
+def top_type(low: Column) -> Column:
+    """(score, rank, type, scale) of the best agreement type; ties go to the type declared first.
 
-    Counting with a regex is only paid for key words that occur at all.
+    `low` is the lower-case text as a column.  Counting with a regex is only
+    paid for key words that occur at all.
     """
-    low = F.lower(text)
-    entries = []
-    for rank, (name, words) in enumerate(CONTRACT_TYPES.items()):
-        score = sum((F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(rf"\b{w}\b"))).otherwise(F.lit(0))
-                     for w in words[1:]),
-                    F.when(F.contains(low, F.lit(words[0])),
-                           F.regexp_count(low, F.lit(rf"\b{words[0]}\b"))).otherwise(F.lit(0)))
-        entries.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(name).alias("type"),
-                                F.lit(2.0 * len(words)).alias("scale")))
-    return F.array(*entries)
-
-
-def best_type(scores: Column) -> Column:
-    """(type, confidence) of the highest score; ties go to the type declared first."""
-    top = F.array_max(scores)
-    none = top["score"] == 0
+
+    def hits(word):
+        return F.when(F.contains(low, F.lit(word)), F.regexp_count(low, F.lit(rf"\b{word}\b"))).otherwise(F.lit(0))
+
+    entries = [F.struct(reduce(add, [hits(w) for w in words]).alias("score"), F.lit(-rank).alias("rank"),
+                        F.lit(name).alias("type"), F.lit(2.0 * len(words)).alias("scale"))
+               for rank, (name, words) in enumerate(CONTRACT_TYPES.items())]
+    return F.array_max(F.array(*entries))
+
+
+def contract_type(top: Column) -> Column:
+    return F.when(top["score"] == 0, F.lit("general")).otherwise(top["type"])
+
+
+def type_confidence(top: Column) -> Column:
     share = F.least(F.greatest(top["score"] / top["scale"], F.lit(0.5)), F.lit(0.95))
-    return F.struct(F.when(none, F.lit("general")).otherwise(top["type"]).alias("contract_type"),
-                    F.when(none, F.lit(0.5)).otherwise(share).alias("confidence"))
+    return F.when(top["score"] == 0, F.lit(0.5)).otherwise(share)

@@ -20,6 +20,7 @@ from clauselake.functions.lookup import lookup, pick
 from clauselake.functions.text import prefix_sums
 from clauselake.rules.clause import CLAUSE_RULES
 from clauselake.rules.model import any_of, java_pattern
+from clauselake.rules.prefilter import needles
 from clauselake.rules.risk import RISK_RULES
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import DEFAULT_RISK_CLASS, RISK_CLASSES
@@ -33,7 +34,14 @@ def contains_any(text: Column, words) -> Column:
 
 
 def rule_fires(rule, text: Column, low: Column) -> Column:
-    fires = text.rlike(java_pattern(any_of(rule.patterns)))
+    """Cheapest test first: context word, words the patterns need, patterns, exceptions."""
+    plain = [p for i, p in enumerate(rule.patterns) if i not in rule.probes]
+    tests = []
+    if plain:
+        words, test = needles(plain), text.rlike(java_pattern(any_of(plain)))
+        tests.append(contains_any(low, words) & test if words else test)
+    tests += [contains_any(low, p.words) & text.rlike(java_pattern(p.pattern)) for p in rule.probes.values()]
+    fires = reduce(or_, tests)
     if rule.context:
         fires = contains_any(low, rule.context) & fires
     if rule.exceptions:
@@ -41,9 +49,8 @@ def rule_fires(rule, text: Column, low: Column) -> Column:
     return fires
 
 
-def fired_rules(rules, text: Column) -> Column:
-    """Array of the positions of the rules that fire on `text`."""
-    low = F.lower(text)
+def fired_rules(rules, text: Column, low: Column) -> Column:
+    """Array of the positions of the rules that fire on `text` (`low` is its lower-case column)."""
     flags = F.array(*[F.when(rule_fires(r, text, low), F.lit(i)) for i, r in enumerate(rules)])
     return F.filter(flags, lambda x: x.isNotNull())
 
@@ -63,7 +70,8 @@ def snippet(text: Column, start: Column, length: Column, around: int) -> Column:
 def find(rows: DataFrame, rules, keys: list[str], around: int = RISK_CONTEXT) -> DataFrame:
     """One row per (input row, rule that fires), with the first pattern's first match."""
     text = F.col("text")
-    hit = rows.select(*keys, "text", F.explode(fired_rules(rules, text)).alias("rule_no"))
+    hit = rows.select(*keys, "text", F.lower("text").alias("low"))
+    hit = hit.select(*keys, "text", F.explode(fired_rules(rules, text, F.col("low"))).alias("rule_no"))
     hit = hit.withColumn("pattern_idx", pick(F.col("rule_no"), [first_pattern(r, text) for r in rules]))
     numbered = [p for r in rules for p in r.patterns]
     starts = [sum(len(r.patterns) for r in rules[:i]) for i in range(len(rules))]
@@ -182,11 +190,12 @@ def detect_terms(rows: DataFrame, keys: list[str], terms=LEGAL_TERMS) -> DataFra
     A word's matches and the text between them come from one pair of array
     expressions; match positions are prefix sums over their lengths.
     """
-    text, low = F.col("text"), F.lower("text")
+    text, low = F.col("text"), F.col("low")
     flat = [(t_no, t, w_no, w, p) for t_no, t in enumerate(terms)
             for w_no, (w, p) in enumerate(zip(t.words, t.word_patterns()))]
     flags = F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(i)) for i, (_, _, _, w, _) in enumerate(flat)])
-    hit = rows.select(*keys, "text", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("word_id"))
+    hit = rows.select(*keys, "text", F.lower("text").alias("low"))
+    hit = hit.select(*keys, "text", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("word_id"))
     no = F.col("word_id")
     hit = hit.withColumns({
         "found": pick(no, [F.regexp_extract_all(text, F.lit(java_pattern(p)), F.lit(0)) for *_, p in flat]),

@@ -41,15 +41,16 @@ def indicator_words(words: list[str]) -> list[str]:
     return [w for w in words if not any(o != w and o in w for o in words)]
 
 
-def section_type(text: Column) -> Column:
-    low = F.lower(text)
+def section_type(text: Column, low: Column, words_in_text: Column) -> Column:
+    """`low` (the lower-case text) and the word count are columns: an expression repeated in
+    every branch would be evaluated once per indicator word."""
     chain = F
     for name, words in SECTION_TYPES.items():
         hit = F.lit(False)
         for n, w in enumerate(indicator_words(words)):
             hit = F.contains(low, F.lit(w)) if n == 0 else hit | F.contains(low, F.lit(w))
         chain = chain.when(hit, F.lit(name))
-    return chain.when((word_count(text) < 10) & is_upper(text), F.lit("header")).otherwise(F.lit("clause"))
+    return chain.when((words_in_text < 10) & is_upper(text), F.lit("header")).otherwise(F.lit("clause"))
 
 
 def header_kind(text: Column) -> Column:
@@ -72,7 +73,7 @@ def sections(docs: DataFrame, hierarchical: bool = True, text: str = "text", id_
     """Section rows without neighbour columns: narrow, shuffle-free."""
     rows = paragraphs(docs, text, id_col, keep)
     t = F.col("text")
-    rows = rows.withColumns({"kind": header_kind(t), "word_count": word_count(t)})
+    rows = rows.withColumns({"kind": header_kind(t), "word_count": word_count(t), "low": F.lower(t)})
     kind, words = F.col("kind"), F.col("word_count")
     if hierarchical:
         caps = kind.isNull() & (words <= 10) & is_upper(t) & (F.length(t) > 3)
@@ -96,7 +97,7 @@ def sections(docs: DataFrame, hierarchical: bool = True, text: str = "text", id_
         id_col, *keep, "para_idx", section_id(F.col("para_idx")).alias("section_id"),
         F.coalesce(F.nullif("guess", F.lit("")), F.concat(F.lit("Section "), (F.col("para_idx") + 1).cast("string")))
         .alias("title"),
-        "text", section_type(t).alias("section_type"), "is_header", "section_number",
+        "text", section_type(t, F.col("low"), words).alias("section_type"), "is_header", "section_number",
         level.cast("int").alias("level"), "word_count")
 
 

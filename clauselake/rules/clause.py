@@ -1,6 +1,6 @@
 """Clause rule pack: which standard clause a section contains."""
 
-from clauselake.rules.model import ClauseRule
+from clauselake.rules.model import ClauseRule, Probe
 
 # Keys, names, importance, risk factors and patterns decide the
 # results and must stay exactly as they are.
@@ -13,6 +13,9 @@ CLAUSE_RULES = (
             r"""(?:"[^"]+"|'[^']+'|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:shall\s+mean|means|refers\s+to)""",
             r"(?:For\s+purposes\s+of\s+this\s+Agreement|As\s+used\s+in\s+this\s+Agreement)",
         ),
+        # case-blind, the capitalised words are any words, so two letters before the verb decide
+        probes={1: Probe(("mean", "refers"),
+                         r"""(?:"[^"]+"|'[^']+'|[a-z]{2})\s+(?:shall\s+mean|means|refers\s+to)""")},
     ),
     ClauseRule(
         key="term", name="Term", importance="high",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 
 def java_pattern(pattern: str, ignore_case: bool = True) -> str:
@@ -15,6 +15,13 @@ def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+@dataclass(frozen=True)
+class Probe:
+    """Cheap stand-in for one pattern when only "does it match" is asked."""
+    words: tuple[str, ...]
+    pattern: str
+
+
 @dataclass(frozen=True)
 class RiskRule:
     key: str
@@ -27,6 +34,7 @@ class RiskRule:
     impact: str = ""
     explanation: str = ""
     suggestion: str = ""
+    probes: dict[int, Probe] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -40,6 +48,7 @@ class ClauseRule:
     risk_factors: tuple[str, ...] = ()
     exceptions: tuple[str, ...] = ()
     context: tuple[str, ...] = ()
+    probes: dict[int, Probe] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
