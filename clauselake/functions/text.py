@@ -63,7 +63,8 @@ def is_upper(text: Column) -> Column:
 
 def to_ascii(text: Column) -> Column:
     source, target, many = ascii_tables()
-    spelled = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), many, text)
+    longer = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), many, text)
+    spelled = F.when(text.rlike("[" + "".join(c for c, _ in many) + "]"), longer).otherwise(text)
     spelled = F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]", "")
     # pure ASCII has as many bytes as characters, and then nothing needs to be spelled out
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(spelled)

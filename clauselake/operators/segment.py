@@ -61,7 +61,7 @@ def header_kind(text: Column) -> Column:
     return chain.otherwise(F.lit(None).cast("string"))
 
 
-def _group(text: Column, kind: Column, group: int) -> Column:
+def header_group(text: Column, kind: Column, group: int) -> Column:
     chain = F
     for name, pattern, ignore_case in HEADER_PATTERNS:
         chain = chain.when(kind == name, F.regexp_extract(text, java_pattern(pattern, ignore_case), group))
@@ -89,9 +89,9 @@ def sections(docs: DataFrame, hierarchical: bool = True, text: str = "text", id_
         is_header = kind.isNotNull() | caps
         level = F.lit(0)
     rows = rows.withColumns({
-        "section_number": _group(t, kind, 1),
+        "section_number": header_group(t, kind, 1),
         "is_header": is_header,
-        "guess": F.coalesce(_group(t, kind, 2), guess),
+        "guess": F.coalesce(header_group(t, kind, 2), guess),
     })
     return rows.select(
         id_col, *keep, "para_idx", section_id(F.col("para_idx")).alias("section_id"),

@@ -7,14 +7,12 @@ result in a batch and on a stream.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clauselake.functions.text import strip, word_count
-from clauselake.rules.model import java_pattern
+from clauselake.rules.model import java_pattern, whole_words
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import KEY_POINT_SECTION_TYPES, SUMMARY_SECTION_TYPES
 
@@ -23,7 +21,7 @@ MIN_SUMMARY_CHARS = 50
 LONG_TEXT = 10000
 MAX_SECTIONS, KEY_SECTIONS = 10, 5
 NO_SUMMARY = "Contract analysis could not generate a summary."
-TERM_WORDS = r"\b(?:" + "|".join(re.escape(w) for t in LEGAL_TERMS for w in t.words) + r")\b"
+TERM_WORDS = whole_words(w for t in LEGAL_TERMS for w in t.words)
 
 
 def sentences(text: Column) -> Column:

@@ -350,7 +350,7 @@ def key_points(spark, sf):
 
 def contract_basics(spark, sf):
     a = pipeline.analysis_rows(contracts(spark, sf))
-    return a.select("doc_id", F.col("contract_type").alias("type"), F.size("secs").cast("bigint").alias("sections_count"),
+    return a.select("doc_id", F.col("contract_type").alias("type"), F.col("sections_count").cast("bigint").alias("sections_count"),
                     summary.length_class(F.col("body")).alias("estimated_length"))
 
 
@@ -375,7 +375,7 @@ def digest(spark, sf):
 
 
 def results_json(spark, sf):
-    rows = pipeline.detailed_response(contracts(spark, sf))
+    rows = pipeline.detailed_response(contracts(spark, sf), staging=scratch(spark, "prepared"))
     return rows.select("doc_id", F.to_json(F.struct(*rows.columns)).alias("json"))
 
 

@@ -33,36 +33,59 @@ def prepare(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFram
     return with_pii(docs) if cfg.detect_pii else without_pii(docs)
 
 
+def stage(rows: DataFrame, path: str | None) -> DataFrame:
+    """Write rows to a shared folder and go on from there, so that several branches do not repeat the work
+    and a lost executor costs no recomputation; without a path the plan just goes on."""
+    if path is None:
+        return rows
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 # --- one row per document -------------------------------------------------------------------------
 
 
-def _profile(cfg: AnalysisConfig) -> tuple[Column, Column]:
-    """Two steps over the paragraph array: per-paragraph basics, then title, type and fired rules."""
-    basics = F.transform(F.col("paras"), lambda p, i: F.struct(
+def _basics() -> Column:
+    return F.transform(F.col("paras"), lambda p, i: F.struct(
         i.alias("idx"), p.alias("text"), F.lower(p).alias("low"), word_count(p).alias("words"),
         segment.header_kind(p).alias("kind")))
 
-    def finish(s):
-        p, kind, words = s["text"], s["kind"], s["words"]
-        if cfg.hierarchical:
-            caps = kind.isNull() & (words <= 10) & is_upper(p) & (F.length(p) > 3)
-            colon = kind.isNull() & ~caps & (words <= 5) & F.endswith(p, F.lit(":"))
-            guess = F.when(caps, p).when(colon, F.rtrim(p, F.lit(":")))
-            header = kind.isNotNull() | caps | colon
-        else:
-            caps = kind.isNull() & (words <= 5) & is_upper(p)
-            guess, header = F.when(caps, p), kind.isNotNull() | caps
-        title = F.nullif(F.coalesce(segment._group(p, kind, 2), guess), F.lit(""))
-        eligible = words >= detect.MIN_RISK_WORDS
+
+def _guessed_header(s: Column, cfg: AnalysisConfig) -> tuple[Column, Column]:
+    """(capital line, colon line) for paragraphs that fit no header pattern."""
+    p, none, words = s["text"], s["kind"].isNull(), s["words"]
+    if not cfg.hierarchical:
+        return none & (words <= 5) & is_upper(p), F.lit(False)
+    caps = none & (words <= 10) & is_upper(p) & (F.length(p) > 3)
+    return caps, none & ~caps & (words <= 5) & F.endswith(p, F.lit(":"))
+
+
+def _fired(cfg: AnalysisConfig) -> Column:
+    """Per paragraph the rules that fire on it; headers and short paragraphs are not checked."""
+    def rules_of(s):
+        caps, colon = _guessed_header(s, cfg)
+        eligible = s["words"] >= detect.MIN_RISK_WORDS
         if not cfg.include_long_headers:
-            eligible = eligible & ~header
-        fired = F.when(eligible, detect.fired_rules(RISK_RULES, p, s["low"])).otherwise(F.array().cast("array<int>"))
+            eligible = eligible & ~(s["kind"].isNotNull() | caps | colon)
+        return F.when(eligible, detect.fired_rules(RISK_RULES, s["text"], s["low"])).otherwise(
+            F.array().cast("array<int>"))
+
+    return F.transform(F.col("basics"), rules_of)
+
+
+def _sections(cfg: AnalysisConfig) -> Column:
+    """Per paragraph its text, length, title and type."""
+    def finish(s):
+        p, kind = s["text"], s["kind"]
+        caps, colon = _guessed_header(s, cfg)
+        guess = F.when(caps, p).when(colon, F.rtrim(p, F.lit(":")))
+        title = F.nullif(F.coalesce(segment.header_group(p, kind, 2), guess), F.lit(""))
         return F.struct(
-            s["idx"].alias("idx"), p.alias("text"), words.alias("words"),
+            s["idx"].alias("idx"), p.alias("text"), s["words"].alias("words"),
             F.coalesce(title, F.concat(F.lit("Section "), (s["idx"] + 1).cast("string"))).alias("title"),
-            segment.section_type(p, s["low"], words).alias("type"), fired.alias("fired"))
+            segment.section_type(p, s["low"], s["words"]).alias("type"))
 
-    return basics, F.transform(F.col("basics"), finish)
+    return F.transform(F.col("basics"), finish)
 
 
 def _overall_summary(body: Column, secs: Column) -> Column:
@@ -98,25 +121,25 @@ def _key_points(found: Column, secs: Column) -> Column:
         k["extracted_value"].alias("extracted_value")))
 
 
-def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """One wide row per document; unselected parts are pruned before they are computed."""
-    rows = with_metadata(prepare(docs, cfg))
-    basics, profile = _profile(cfg)
+def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepared: DataFrame | None = None) -> DataFrame:
+    """One wide row per document; parts that are not selected are pruned before they are computed."""
+    rows = with_metadata(prepare(docs, cfg) if prepared is None else prepared)
     ok = F.col("status") == "success"
+    points = _key_points(F.col("answers"), F.col("secs"))
     return (rows
             .withColumn("paras", segment.paragraph_array(F.col("body")))
-            .withColumn("basics", basics)
-            .withColumn("secs", profile)
+            .withColumn("sections_count", F.size("paras"))
+            .withColumn("basics", _basics())
+            .withColumns({"secs": _sections(cfg), "fired": _fired(cfg)})
             .withColumn("body_low", F.lower("body"))
             .withColumn("answers", extract.answers(F.col("body"), F.col("body_low")))
-            .withColumn("risks", F.flatten(F.transform("secs", lambda s: F.transform(s["fired"], lambda r: F.struct(
-                s["idx"].alias("idx"), r.alias("rule_no"))))))
-            .withColumn("summary", _overall_summary(F.col("body"), F.col("secs")))
-            .withColumn("summary", F.when(ok, summary.with_prefix(F.col("summary"), F.col("contract_type")))
+            .withColumn("risks", F.flatten(F.transform("fired", lambda rules, i: F.transform(rules, lambda r: F.struct(
+                i.alias("idx"), r.alias("rule_no"))))))
+            .withColumn("plain_summary", _overall_summary(F.col("body"), F.col("secs")))
+            .withColumn("summary", F.when(ok, summary.with_prefix(F.col("plain_summary"), F.col("contract_type")))
                         .otherwise(F.lit(FAILED_SUMMARY)))
-            .withColumn("key_points", F.when(ok, _key_points(F.col("answers"), F.col("secs")))
-                        .otherwise(F.slice(_key_points(F.col("answers"), F.col("secs")), 1, 0)))
-            .drop("paras", "basics", "body_low", "low"))
+            .withColumn("key_points", F.when(ok, points).otherwise(F.slice(points, 1, 0)))
+            .drop("paras", "basics", "body_low", "fired", "plain_summary"))
 
 
 def category_counts(risks: Column) -> Column:
@@ -135,9 +158,12 @@ def basics(contract_type: Column, sections: Column, body: Column) -> Column:
 
 def response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """The answer to one analysis request, one row per document."""
-    a = analysis_rows(docs, cfg)
-    top = F.transform(F.slice("key_points", 1, 3), lambda k: k)
-    count = F.size("secs")
+    return response_of(analysis_rows(docs, cfg))
+
+
+def response_of(a: DataFrame, *more) -> DataFrame:
+    """The response columns of analysed documents, followed by `more`."""
+    top, count = F.slice("key_points", 1, 3), F.col("sections_count")
     ok = F.col("status") == "success"
     return a.select(
         "doc_id", "status",
@@ -148,7 +174,7 @@ def response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFra
         F.struct(F.col("summary").alias("overall"), top.alias("key_points"),
                  basics(F.col("contract_type"), count, F.col("body")).alias("basics")).alias("summary"),
         F.size("risks").alias("risks_count"), category_counts(F.col("risks")).alias("risks_by_category"),
-        count.alias("sections_count"), "has_pii", "pii_types", "errors", F.array().cast("array<string>").alias("warnings"))
+        count.alias("sections_count"), "has_pii", "pii_types", "errors", F.array().cast("array<string>").alias("warnings"), *more)
 
 
 def digest(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -165,22 +191,23 @@ def digest(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame
                         of("explanation").alias("description"))
 
     return a.select("doc_id", "contract_type", F.size("risks").alias("risks_count"),
-                    F.size("secs").alias("sections_count"), "summary",
+                    "sections_count", "summary",
                     F.transform(F.slice("risks", 1, 5), shown).alias("key_risks"))
 
 
-def metrics(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def metrics(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepared: DataFrame | None = None) -> DataFrame:
     """Evaluation metrics, one row per document, failed documents included."""
-    a = analysis_rows(docs, cfg)
+    a = analysis_rows(docs, cfg, prepared)
     categories = F.array_distinct(F.transform("risks", lambda r: F.element_at(
         F.array(*[F.lit(x.category) for x in RISK_RULES]), r["rule_no"] + 1)))
     ok = F.col("status") == "success"
     return a.select(
         "doc_id", F.col("file_name").alias("filename"), "contract_type",
         F.col("contract_type_confidence").alias("confidence"), "status",
-        F.size("secs").cast("bigint").alias("sections_count"), F.size("risks").cast("bigint").alias("risks_count"),
+        F.col("sections_count").cast("bigint").alias("sections_count"), F.size("risks").cast("bigint").alias("risks_count"),
         F.size(categories).cast("bigint").alias("unique_risk_categories"),
-        (F.length("summary") > 0).alias("has_summary"),
+        # every document has one: a failed or unsummarizable document gets a fixed sentence
+        F.lit(True).alias("has_summary"),
         F.when(ok, F.size("answers")).otherwise(0).cast("bigint").alias("extracted_data_count"), "has_pii",
         F.size("errors").cast("bigint").alias("errors"), F.lit(0).cast("bigint").alias("warnings"))
 
@@ -203,12 +230,12 @@ def risk_findings(prepared: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), p
 
 
 def analyze(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), predictions: DataFrame | None = None,
-            model_answers: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All result tables.  Documents should be written or persisted by the caller when several are read.
+            model_answers: DataFrame | None = None, staging: str | None = None) -> dict[str, DataFrame]:
+    """All result tables.  Give a `staging` path when several of them are read.
 
     The switches choose plan branches here, on the driver; an unread table costs nothing.
     """
-    prepared = prepare(docs, cfg)
+    prepared = stage(prepare(docs, cfg), staging)
     good = prepared.where("status = 'success'")
     rows = section_rows(good, cfg)
     seen = good if cfg.entities_on_redacted else good.drop("body").withColumnRenamed("clean", "body")
@@ -227,27 +254,41 @@ def analyze(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), predictions
         "extracted": found.select("doc_id", "type_order", "ext_type", "value", "confidence", "method"),
         "key_points": summary.key_points(found, rows),
         "section_summaries": summary.section_summaries(summary.important_sections(rows)),
-        "responses": response(docs, cfg),
-        "metrics": metrics(docs, cfg),
+        "responses": response_of(analysis_rows(docs, cfg, prepared)),
+        "metrics": metrics(docs, cfg, prepared),
     }
     if cfg.cross_references:
         out["cross_references"] = xref.reference_lists(xref.cross_references(rows))
     return out
 
 
-def detailed_response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """The response plus nested sections, risks, answers and references of each document."""
-    tables = analyze(docs, cfg)
-    parts = {
-        "sections": (tables["sections"].select("doc_id", "para_idx", "section_id", "title", "text", "section_type",
-                                               "is_header", "level", "parent_id", "children_ids"), ["para_idx"]),
-        "risks": (tables["risks"].select("doc_id", "risk_id", "risk_name", "risk_level", "risk_category", "section_id",
-                                         "risk_description", "confidence", "suggested_changes"), ["risk_id"]),
-        "extracted_data": (tables["extracted"], ["type_order"]),
-    }
+def detailed_response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), staging: str | None = None) -> DataFrame:
+    """The response plus nested sections, risks, answers and references of each document.
+
+    Risks and answers are arrays of the document row already; only the section
+    tree and the references are grouped and joined.  With a `staging` path (a
+    shared folder) cleaning and redaction run once and the branches read the table.
+    """
+    prepared = stage(prepare(docs, cfg), staging)
+    def shown(r, i):
+        no = r["rule_no"] + 1
+
+        def of(attribute):
+            return F.element_at(F.array(*[F.lit(getattr(x, attribute)) for x in RISK_RULES]), no)
+
+        return F.struct(F.format_string("risk-%03d", i).alias("risk_id"), of("name").alias("risk_name"),
+                        of("severity").alias("risk_level"), of("category").alias("risk_category"),
+                        segment.section_id(r["idx"]).alias("section_id"), of("explanation").alias("description"),
+                        F.lit(1.0).alias("confidence"), of("suggestion").alias("suggested_changes"))
+
+    out = response_of(analysis_rows(docs, cfg, prepared), F.transform("risks", shown).alias("risks"),
+                      F.col("answers").alias("extracted_data"))
+    bodies = prepared.select("doc_id", F.col("body").alias("text"))
+    tree = segment.segment(bodies, cfg.hierarchical).select(
+        "doc_id", "para_idx", "section_id", "title", "text", "section_type", "is_header", "level", "parent_id",
+        "children_ids")
+    out = out.join(nested(tree, ["para_idx"], "sections"), "doc_id", "left")
     if cfg.cross_references:
-        parts["cross_references"] = (tables["cross_references"], ["section_id"])
-    out = tables["responses"]
-    for name, (rows, order) in parts.items():
-        out = out.join(nested(rows, order, name), "doc_id", "left")
+        lists = xref.reference_lists(xref.cross_references(segment.sections(bodies, cfg.hierarchical)))
+        out = out.join(nested(lists, ["section_id"], "cross_references"), "doc_id", "left")
     return out

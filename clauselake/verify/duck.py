@@ -187,7 +187,8 @@ def _clauses() -> str:
 def _terms() -> str:
     arms = []
     for t_no, t in enumerate(LEGAL_TERMS):
-        for w_no, (w, p) in enumerate(zip(t.words, t.word_patterns())):
+        for w_no, w in enumerate(t.words):
+            p = rf"\b{re.escape(w)}\b"
             arms.append(
                 f"SELECT doc_id, section_id, text, {q(t.category)} AS category, {q(t.key)} AS term, {t_no} AS term_order, "
                 f"{w_no} AS word_order, {q(t.importance)} AS importance, regexp_extract_all(text, {ci(p)}) AS found, "
