@@ -61,24 +61,39 @@ def is_upper(text: Column) -> Column:
     return text.rlike("[A-Z]") & ~text.rlike("[a-z]")
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def is_ascii(text: Column) -> Column:
+    """Pure ASCII has as many bytes as characters."""
+    return F.octet_length(text) == F.length(text)
+
+
 def to_ascii(text: Column) -> Column:
     source, target, many = ascii_tables()
-    longer = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), many, text)
-    spelled = F.when(text.rlike("[" + "".join(c for c, _ in many) + "]"), longer).otherwise(text)
-    spelled = F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]", "")
-    # pure ASCII has as many bytes as characters, and then nothing needs to be spelled out
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(spelled)
+
+    def spell_out(t):
+        longer = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), many, t)
+        return F.when(is_ascii(t), t).otherwise(F.regexp_replace(longer, r"[^\x00-\x7F]", ""))
+
+    return F.when(is_ascii(text), text).otherwise(let(F.translate(text, source, target), spell_out))
 
 
 def clean_text(text: Column) -> Column:
-    """ASCII, no control characters, single spaces, no page-number lines, trimmed."""
+    """ASCII, no control characters, single spaces, no page-number lines, trimmed.
+
+    Every pattern starts with one rare character, so the matcher leaves most
+    positions after a single comparison.
+    """
     steps = (
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "),
-        (r" +", " "),
+        (r"\p{Cntrl}(?<![\t\n\r])", " "),
+        (r" {2,}", " "),
         (r"\n{3,}", "\n\n"),
-        (r"([a-z])([A-Z])", "$1 $2"),
+        (r"(?<=[a-z])[A-Z]", " $0"),
         (r"\n\s*\d+\s*\n", "\n"),
-        (r"(?i)\n\s*Page\s+\d+\s+of\s+\d+\s*\n", "\n"),
+        (r"\n\s*(?i:Page)\s+\d+\s+(?i:of)\s+\d+\s*\n", "\n"),
     )
     cleaned = reduce(lambda acc, s: F.regexp_replace(acc, s[0], s[1]), steps, to_ascii(text))
     return F.coalesce(strip(cleaned), F.lit(""))
