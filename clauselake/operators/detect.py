@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from clauselake.functions.lookup import lookup, pick
 from clauselake.functions.text import prefix_sums
 from clauselake.rules.clause import CLAUSE_RULES
-from clauselake.rules.model import any_of, java_pattern
+from clauselake.rules.model import Probe, any_of, java_pattern
 from clauselake.rules.prefilter import needles
 from clauselake.rules.risk import RISK_RULES
 from clauselake.rules.term import LEGAL_TERMS
@@ -56,7 +56,34 @@ def fired_rules(rules, text: Column, low: Column) -> Column:
 
 
 def first_pattern(rule, text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(java_pattern(p)), F.lit(i)) for i, p in enumerate(rule.patterns)])
+    tests = [rule.probes[i].pattern if i in rule.probes else p for i, p in enumerate(rule.patterns)]
+    return F.coalesce(*[F.when(text.rlike(java_pattern(p)), F.lit(i)) for i, p in enumerate(tests)])
+
+
+def run_match(text: Column, probe: Probe) -> Column:
+    """First match of `quoted verb` or `word word … verb`, without a loop over words in the pattern.
+
+    One-letter words end a run of words, so they are blanked out first (keeping
+    all positions); a run is then one character class, entered only where it begins.
+    """
+    apart = F.regexp_replace(text, r"(?<![A-Za-z])[A-Za-z](?![A-Za-z])", "\u0001")
+    run = F.regexp_extract(apart, java_pattern(rf"(?:^|[^a-z\s])\s*([a-z][a-z\s]*\s{probe.verb})"), 1)
+    quoted = F.regexp_extract(text, java_pattern(probe.quoted), 0)
+    first = (quoted != "") & ((run == "") | (F.instr(text, quoted) < F.instr(text, run)))
+    return F.when(first, quoted).otherwise(run)
+
+
+def match_text(rule, i: int, text: Column) -> Column:
+    if i in rule.probes:
+        return run_match(text, rule.probes[i])
+    return F.regexp_extract(text, java_pattern(rule.patterns[i]), 0)
+
+
+def match_position(rule, i: int, text: Column, matched: Column) -> Column:
+    """1-based start of the match."""
+    if i in rule.probes:
+        return F.instr(text, matched)
+    return F.regexp_instr(text, F.lit(java_pattern(rule.patterns[i])))
 
 
 def snippet(text: Column, start: Column, length: Column, around: int) -> Column:
@@ -73,13 +100,12 @@ def find(rows: DataFrame, rules, keys: list[str], around: int = RISK_CONTEXT) ->
     hit = rows.select(*keys, "text", F.lower("text").alias("low"))
     hit = hit.select(*keys, "text", F.explode(fired_rules(rules, text, F.col("low"))).alias("rule_no"))
     hit = hit.withColumn("pattern_idx", pick(F.col("rule_no"), [first_pattern(r, text) for r in rules]))
-    numbered = [p for r in rules for p in r.patterns]
+    numbered = [(r, i) for r in rules for i in range(len(r.patterns))]
     starts = [sum(len(r.patterns) for r in rules[:i]) for i in range(len(rules))]
     hit = hit.withColumn("pattern_no", pick(F.col("rule_no"), [F.lit(s) for s in starts]) + F.col("pattern_idx"))
-    hit = hit.withColumns({
-        "matched_text": pick(F.col("pattern_no"), [F.regexp_extract(text, java_pattern(p), 0) for p in numbered]),
-        "start": pick(F.col("pattern_no"), [F.regexp_instr(text, F.lit(java_pattern(p))) for p in numbered]) - 1,
-    })
+    hit = hit.withColumn("matched_text", pick(F.col("pattern_no"), [match_text(r, i, text) for r, i in numbered]))
+    hit = hit.withColumn("start", pick(F.col("pattern_no"), [match_position(r, i, text, F.col("matched_text"))
+                                                             for r, i in numbered]) - 1)
     hit = hit.withColumn("context", snippet(text, F.col("start"), F.length("matched_text"), around))
     return hit.select(*keys, "rule_no", pick(F.col("rule_no"), [F.lit(r.key) for r in rules]).alias("rule_key"),
                       "pattern_idx", "matched_text", "context")

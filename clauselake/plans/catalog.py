@@ -242,6 +242,11 @@ def risks(spark, sf):
     return flat(detect.number_risks(risk_rows(spark, sf)).select(*RISK_COLUMNS))
 
 
+def risk_advice(spark, sf):
+    """Findings per rule with the advice shown next to them."""
+    return detect.with_risk_advice(risk_rows(spark, sf).groupBy("rule_key", "risk_name").agg(F.count("*").alias("n")))
+
+
 def risk_by_category(spark, sf):
     return detect.count_by_category(risk_rows(spark, sf))
 
@@ -522,7 +527,7 @@ QUERIES = {f.__name__: f for f in (
     clean_documents, strip_html, truncate_text, hash_text, unique_ids, paragraphs, sections_flat, sections_hier,
     section_tree, section_types, section_offsets, doc_metadata, document_sizes, contract_type_counts, dates_parties,
     pii_detect, pii_documents, pii_redact, pii_redact_documents, pii_report, legal_entities, encrypt_roundtrip,
-    risks, risk_by_category, risk_top5, risk_type_matrix, risk_union_predictions, clauses, clause_risk_link, terms,
+    risks, risk_advice, risk_by_category, risk_top5, risk_type_matrix, risk_union_predictions, clauses, clause_risk_link, terms,
     terms_in_order, glossary, cross_references, reference_lists, extract_info, extract_merge, extract_questions,
     important_sections, section_summaries, overall_summaries, key_points, contract_basics, response, digest,
     results_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,

@@ -14,8 +14,11 @@ CLAUSE_RULES = (
             r"(?:For\s+purposes\s+of\s+this\s+Agreement|As\s+used\s+in\s+this\s+Agreement)",
         ),
         # case-blind, the capitalised words are any words, so two letters before the verb decide
-        probes={1: Probe(("mean", "refers"),
-                         r"""(?:"[^"]+"|'[^']+'|[a-z]{2})\s+(?:shall\s+mean|means|refers\s+to)""")},
+        probes={1: Probe(
+            words=("mean", "refers"),
+            pattern=r"""(?:"[^"]+"|'[^']+'|[a-z]{2})\s+(?:shall\s+mean|means|refers\s+to)""",
+            quoted=r"""(?:"[^"]+"|'[^']+')\s+(?:shall\s+mean|means|refers\s+to)""",
+            verb=r"(?:shall\s+mean|means|refers\s+to)")},
     ),
     ClauseRule(
         key="term", name="Term", importance="high",

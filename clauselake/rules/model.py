@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 
 def java_pattern(pattern: str, ignore_case: bool = True) -> str:
     """Literal pattern for Spark: newline is ``\\n`` only, optionally case-blind."""
+    # dotted numbers: no other way to match exists once a part is taken, so the loop may be possessive and
+    # then iterates instead of recursing
+    pattern = pattern.replace(r"(?:\.\d+)*", r"(?:\.\d++)*+")
     return ("(?di)" if ignore_case else "(?d)") + pattern
 
 
@@ -35,9 +38,14 @@ def whole_words(words) -> str:
 
 @dataclass(frozen=True)
 class Probe:
-    """Cheap stand-in for one pattern when only "does it match" is asked."""
+    """Stand-ins for a pattern of the form `(quoted text | run of words) + verb`, which would recurse once per word.
+
+    `pattern` tells whether it matches, `quoted` and `verb` are its parts for finding the match.
+    """
     words: tuple[str, ...]
     pattern: str
+    quoted: str
+    verb: str
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from clauselake.plans.catalog import (ANSWERS_SQL, DOCUMENT_NAME_SQL, PREDICTIONS_SQL, WIDE_COLUMNS)
 from clauselake.plans.corpus import DUCK_BASE, q
 from clauselake.rules import training as tr
+from clauselake.rules.risk import RISK_RULES
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import (ALL_EXTRACTION_TYPES, DEFAULT_RISK_CLASS, EXTRACTION_QUESTIONS, RISK_CLASSES,
                                     SECTION_LABELS)
@@ -118,6 +119,10 @@ def build() -> dict[str, str]:
         "legal_entities": sql("SELECT doc_id, section_id, entity_type, value FROM entities", "entities"),
         "encrypt_roundtrip": "SELECT doc_id, text AS plain, true AS changed, '[DECRYPTION ERROR]' AS broken FROM documents",
         "risks": sql(f"SELECT {risk_cols} FROM risks", "risks"),
+        "risk_advice": sql("SELECT rule_key, risk_name, count(*) AS n, risk_description, impact, suggested_changes FROM risks JOIN "
+                           + values("a", [(r.key, r.explanation, r.impact, r.suggestion) for r in RISK_RULES], "rule_key",
+                                    "risk_description", "impact", "suggested_changes")
+                           + " USING (rule_key) GROUP BY ALL", "risks"),
         "risk_by_category": sql("SELECT doc_id, risk_category, count(*) AS n FROM risks GROUP BY ALL", "risks"),
         "risk_top5": sql("SELECT doc_id, rank::BIGINT AS rank, risk_name, risk_level, risk_category FROM (SELECT *, row_number() OVER "
                          "(PARTITION BY doc_id ORDER BY para_idx, rule_no) AS rank FROM risks) WHERE rank <= 5", "risks"),

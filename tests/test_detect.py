@@ -120,3 +120,28 @@ def test_results_do_not_depend_on_partitioning(spark):
     runs = [sorted((r.doc_id, r.risk_id, r.finding_id) for r in
                    detect.number_risks(detect.detect_risks(sections_of(docs.repartition(n)))).collect()) for n in (1, 7)]
     assert runs[0] == runs[1] and runs[0]
+
+
+def test_definition_runs_equal_the_pattern(spark):
+    import random
+    rng = random.Random(17)
+    rule = next(r for r in CLAUSE_RULES if r.key == "definitions")
+    tokens = ["word", "Term", "a", "I", "means", "meansx", "shall", "mean", "shall mean", "refers", "refers to", "to", "9", "9ab",
+              '"Quoted text"', "'x y'", '"', "'", "(x)", ",", ".", "it's", "\n", "b2b"]
+    texts = ["".join(rng.choice(tokens) + rng.choice([" ", " ", " ", "", "\n"]) for _ in range(rng.randrange(2, 14)))
+             for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.hit, r.m) for r in df.select("i", F.col("t").rlike("(?di)" + rule.probes[1].pattern).alias("hit"),
+                                                detect.run_match(F.col("t"), rule.probes[1]).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        m = re.search(rule.patterns[1], t, re.I)
+        assert got[i] == (bool(m), m.group(0) if m else ""), t
+
+
+def test_very_long_word_runs_and_numbers_are_safe(spark):
+    text = "9 " + "word " * 60000 + "means this one. See Section 1" + ".1" * 60000
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = {r.rule_key: len(r.matched_text) for r in detect.find(df, CLAUSE_RULES, ["doc_id"]).collect()}
+    assert got["definitions"] == len("word ") * 60000 + len("means")
+    heads = sg.sections(spark.createDataFrame([(1, "1" + ".1" * 60000 + " Title")], "doc_id int, text string")).collect()
+    assert heads[0].is_header and heads[0].level == 60001
