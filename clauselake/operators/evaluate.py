@@ -37,8 +37,8 @@ def histogram(rows: DataFrame, measure: str, bins: int = 20) -> DataFrame:
     """
     x = F.col(measure).cast("double")
     rows = rows.where(x.isNotNull())
-    lo = rows.select(F.min(x)).scalar()
-    hi = rows.select(F.max(x)).scalar()
+    span = rows.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = span["lo"], span["hi"]
     # a constant measure spans no range: half a unit on each side, as plotting tools do
     lo, hi = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
     binned = rows.select(x.alias("x"), lo.alias("lo"), hi.alias("hi"))

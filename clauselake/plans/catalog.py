@@ -18,6 +18,7 @@ from clauselake.plans import pipeline
 from clauselake.plans.corpus import base, clause_sql, contracts
 from clauselake.rules.vocab import RISK_CLASSES, SECTION_LABELS
 from clauselake.sources import sinks
+from clauselake.sources.clause_csv import read_clause_csv
 from clauselake.sources.files import from_text_table
 from clauselake.sources.tables import read, spread_scan
 from clauselake.streaming import drops
@@ -416,6 +417,13 @@ def qa_manifest(spark, sf):
     return training.qa_manifest(training_qa_b(spark, sf))
 
 
+def clause_csv_training(spark, sf):
+    """The wide table written as CSV, read back as a clause-answer source and turned into a training set."""
+    folder = scratch(spark, "clauses")
+    sinks.write_training(wide_answers(spark, sf), folder)
+    return training.section_training(read_clause_csv(spark, folder), "doc_id")
+
+
 def label_encoding(spark, sf):
     rows = contract_sections(spark, sf).select(F.col("section_type").alias("label"))
     coded = learn.encode_labels(rows, list(SECTION_LABELS)).groupBy("label", "label_idx").agg(F.count("*").alias("n"))
@@ -531,6 +539,6 @@ QUERIES = {f.__name__: f for f in (
     terms_in_order, glossary, cross_references, reference_lists, extract_info, extract_merge, extract_questions,
     important_sections, section_summaries, overall_summaries, key_points, contract_basics, response, digest,
     results_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
-    training_counts, qa_manifest, label_encoding, train_split, train_eval_classifier, prediction_quality,
+    training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
     evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, result_store)}

@@ -223,7 +223,7 @@ def build() -> dict[str, str]:
                      "'%d/%m/%Y %H:%M') END AS shown FROM events",
         "merge_maps": "SELECT event_id, 'props=' || props || ';type=' || event_type || ';user=hidden' AS merged FROM events",
     }
-    return {**out, "result_store": out["digest"]}
+    return {**out, "result_store": out["digest"], "clause_csv_training": out["training_section"]}
 
 
 def _contracts_cte() -> str:
