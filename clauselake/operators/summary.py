@@ -16,6 +16,7 @@ from clauselake.rules.model import java_pattern, whole_words
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import KEY_POINT_SECTION_TYPES, SUMMARY_SECTION_TYPES
 
+# Length limits, section counts and the fallback sentence.
 MAX_WORDS, MIN_WORDS = 150, 30
 MIN_SUMMARY_CHARS = 50
 LONG_TEXT = 10000

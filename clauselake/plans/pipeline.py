@@ -23,6 +23,7 @@ from clauselake.rules.vocab import KEY_POINT_SECTION_TYPES
 from clauselake.sources.files import with_status
 from clauselake.sources.sinks import nested
 
+# Fixed value: the summary of a document that could not be analysed.
 FAILED_SUMMARY = "Analysis failed"
 CATEGORIES = tuple(dict.fromkeys(r.category for r in RISK_RULES))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.text import unique_id
 
-TEXT_SUFFIXES = ("txt", "md", "json")
+# Suffixes without plain text (every other suffix is read as text) and the error of a missing input.
 BINARY_SUFFIXES = ("pdf", "docx", "doc", "xlsx", "xls")
 NO_INPUT = "Either file_content and filename, or text must be provided"
 

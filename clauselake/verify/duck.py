@@ -97,7 +97,7 @@ def _body() -> str:
     FROM clean c LEFT JOIN (
       SELECT doc_id, list(value || chr(1) || {mark} ORDER BY ti, length(value) DESC, value) AS marks,
              list({mark} || chr(1) || {tag} ORDER BY ti, length(value) DESC, value) AS finals,
-             (SELECT 1) AS one, string_agg(DISTINCT ti || ':' || pii_type, ',' ORDER BY ti || ':' || pii_type) AS pii_types
+             string_agg(DISTINCT ti || ':' || pii_type, ',' ORDER BY ti || ':' || pii_type) AS pii_types
       FROM pii GROUP BY doc_id) p USING (doc_id)"""
 
 
@@ -150,12 +150,10 @@ def finds(rules, source: str, key: str, prefix: str, extra) -> str:
     arms = []
     for no, r in enumerate(rules):
         idx = " ".join(f"WHEN regexp_matches(text, {ci(p)}) THEN {i}" for i, p in enumerate(r.patterns))
-        pat = " ".join(f"WHEN {i} THEN {ci(p)}" for i, p in enumerate(r.patterns))
         context = " OR ".join(f"contains(lower(text), {q(w)})" for w in r.context) or "true"
         stop = " OR ".join(f"regexp_matches(text, {ci(p)})" for p in r.exceptions) or "false"
         cols = ", ".join(f"{v} AS {n}" for n, v in extra(r).items())
         match = " ".join(f"WHEN {i} THEN regexp_extract(text, {ci(p)})" for i, p in enumerate(r.patterns))
-        del pat
         arms.append(f"""SELECT doc_id, para_idx, section_id, {no} AS rule_no, {q(r.key)} AS {key}, CAST(pattern_idx AS BIGINT)
           AS pattern_idx, text, CASE pattern_idx {match} END AS matched_text, {cols}
           FROM (SELECT *, CASE {idx} END AS pattern_idx FROM {source} WHERE ({context}) AND NOT ({stop}))
@@ -232,10 +230,8 @@ def _extracted(source: str, text: str) -> str:
         values = []
         for p in EXTRACTION_PATTERNS.get(name, ()):
             groups = (1, 2) if name == "parties" else (1,)
-            parts = ", ".join(f"nullif({strip(f'regexp_extract({text}, {ci(p)}, {g})')}, '')" for g in groups)
             whole = ", ".join(f"CASE WHEN {strip(f'regexp_extract({text}, {ci(p)}, {g})')} <> '' "
                               f"THEN regexp_extract({text}, {ci(p)}, {g}) END" for g in groups)
-            del parts
             values.append(f"WHEN regexp_matches({text}, {ci(p)}) THEN {strip(f'''concat_ws(' and ', {whole})''')}")
         value = f"CASE {' '.join(values)} END" if values else "NULL"
         arms.append(f"SELECT doc_id, {i} AS type_order, {q(name)} AS ext_type, {value} AS v, length({text}) AS chars FROM {source}")
