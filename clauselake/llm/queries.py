@@ -7,16 +7,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clauselake.llm import language, linededup, packing, secrets, simhash
+from clauselake.llm import chat, fingerprint, language, linededup, packing, quality, secrets, simhash
 from clauselake.sources.tables import read
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     light = cut.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(light).withColumnRenamed("id", "doc_id")
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprint.with_next(read(spark, sf_dir, "documents")).withColumn(
+        "edited", fingerprint.edited(F.col("text"), F.col("next_text")))
+    known = pairs.withColumns({"n_chars": F.char_length("text").cast("bigint"),
+                               "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
+    return fingerprint.compare_versions(known, carry=("n_chars", "edited_sha256")).withColumnRenamed("id", "doc_id")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :says), (-7L, 1L, 'assistant', :says) AS t(conv_id, turn, role, text)",
+                     args={"says": says})
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    made = chat.format_conversations(rows)
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(chat.loss_texts(F.col("segments")), "")
+    return (made.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", loss)
+            .select("conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+                    F.sha2(F.array_join(told, "").cast("binary"), 256).alias("turns_sha256"),
+                    F.char_length("loss").cast("bigint").alias("loss_chars"),
+                    F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                    F.char_length("formatted").cast("bigint").alias("formatted_chars"), "valid"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -41,5 +70,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_line_dedup, op8_secret_scans, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op6_line_dedup, op8_secret_scans, op9_language_id, op10_simhash_near_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
