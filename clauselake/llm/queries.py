@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clauselake.llm import chat, fingerprint, language, linededup, packing, quality, secrets, simhash
+from clauselake.llm import chat, fingerprint, language, linededup, packing, pieces, quality, secrets, simhash, suffix
 from clauselake.sources.tables import read
 
 
@@ -46,11 +46,25 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.char_length("formatted").cast("bigint").alias("formatted_chars"), "valid"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), model), model)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in secrets.BASE_KINDS]
@@ -70,5 +84,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op6_line_dedup, op8_secret_scans, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op5_sentencepiece, op6_line_dedup,
+                                       op7_suffix_dedup, op8_secret_scans, op9_language_id, op10_simhash_near_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
