@@ -11,11 +11,14 @@ task looks up for its own pieces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,36 +27,69 @@ from clauselake.llm.shared import bucket_count, slices, utf8, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
+CACHE_PARTS = 300_000
 PIECES = "id bigint, piece int, start bigint, length bigint, ids binary"
 
 
+# words of these characters only are cut into parts here: they are their own normal form, and none is a blank
+PLAIN = re.compile(r"[\x21-\x7e\xa1-\u024f]+")
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class WordIds:
-    """Token ids of texts by a word tokenizer, each distinct word encoded once.
+    """Token ids of texts by a word tokenizer, each distinct part of a word encoded once.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words one after the other.
+    text are those of its words one after the other; it lower-cases words and
+    cuts them into letters, digits and other signs, so the ids of a plain word
+    are those of these parts.  Other words are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        cut, whole = {}, []
+        for w in words:
+            text = w.decode()
+            low = text.lower()
+            if PLAIN.fullmatch(text) and len(low) == len(text) and "<|" not in text:
+                cut[w] = PART.findall(low)
+            else:
+                whole.append(w)
+        known = self.parts
+        new = list({p for ps in cut.values() for p in ps if p not in known})
+        for at in range(0, len(new), 1 << 13):
+            some = new[at:at + (1 << 13)]
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            ends = [4 * x for x in np.searchsorted(np.array(coded.word_ids), np.arange(len(some)), "right").tolist()]
+            known.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        for w, ps in cut.items():
+            self.words[w] = b"".join([known[p] for p in ps])
+        for w in whole:
+            self.words[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def packed(self, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then `end_id`."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known, words = self.known, [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 1 << 14):
-            part = new[at:at + (1 << 14)]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        for cache, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
+            if len(cache) > most:
+                cache.clear()
+        known, words = self.words, [t.split() for t in texts]
+        self.learn(list({w for ws in words for w in ws if w not in known}))
         end = np.array([end_id], "<u4").tobytes()
         return [b"".join([known[w] for w in ws]) + end for ws in words]
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """id, piece, start, length and ids (binary, little-endian unsigned 32 bits) of the pieces of every text.
 
@@ -63,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = _tokenizer(tokenizer)
         for part in slices(batches, "text"):
             rows = []
             for doc, packed in zip(part.column("id").to_pylist(), words.packed(utf8(part.column("text")))):

@@ -27,8 +27,8 @@ from clauselake.llm.shared import slices
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 250_000
+CACHE_PAIRS = 250_000
 UNKNOWN_COST = 1e6
 
 
