@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clauselake.functions.text import let
 from clauselake.rules.model import java_pattern
 from clauselake.rules.privacy import ENTITY_PATTERNS, PII_PATTERNS
 
@@ -44,29 +45,36 @@ def redaction_tag(pii_type: Column, value: Column) -> Column:
 
 
 def redact(text: Column, groups: Column) -> Column:
-    """Replace every occurrence of every found value by its tag.
+    """Replace every match of every type by its tag, type by type in declared order.
 
-    Types go in declared order, longer values first.  Values are first replaced
-    by markers without digits, so that a later value can never match inside an
-    earlier replacement; one linear pass then spells the markers out.
+    A type's matches are looked up in what earlier types have left, in one
+    linear pass.  They become markers without digits first, so that no later
+    type can match inside an earlier replacement; a last pass spells them out.
+    A value that also stands where its pattern does not match (inside a longer
+    word) stays there.
     """
-    def type_letter(pii_type):
-        chain = F
-        for name, code in zip(PII_TYPES, _TYPE_LETTERS):
-            chain = chain.when(pii_type == name, F.lit(code))
-        return chain
+    marked = text
+    for (name, pattern, ignore_case), code in zip(PII_PATTERNS, _TYPE_LETTERS):
+        marked = let(marked, _marker_pass(java_pattern(_JVM_FORM.get(name, pattern), ignore_case), code, _NEEDLE.get(name)))
+    return F.when(F.size(groups) == 0, text).otherwise(let(marked, _spell_out))
 
-    def ordered(values):
-        keyed = F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))
-        return F.transform(F.array_sort(keyed), lambda k: k["v"])
 
-    pairs = F.flatten(F.transform(groups, lambda g: F.transform(ordered(g["values"]), lambda v: F.struct(
-        v.alias("value"),
-        F.concat(F.lit(_MARK_OPEN), type_letter(g["pii_type"]),
-                 F.translate(F.left(F.md5(v.cast("binary")), F.lit(8)), _DIGITS, _DIGIT_LETTERS),
-                 F.lit(_MARK_CLOSE)).alias("marker")))))
-    marked = F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["value"], p["marker"]))
-    return F.when(F.size(groups) == 0, text).otherwise(_spell_out(marked))
+def _marker_pass(pattern: str, code: str, needle: str | None):
+    def mark(value: Column) -> Column:
+        digest = F.translate(F.left(F.md5(value.cast("binary")), F.lit(8)), _DIGITS, _DIGIT_LETTERS)
+        return F.concat(F.lit(_MARK_OPEN + code), digest, F.lit(_MARK_CLOSE))
+
+    def run(t: Column) -> Column:
+        there = F.contains(t, F.lit(needle)) if needle else t.rlike(pattern)
+        return F.when(there, _between(F.split(t, pattern), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), mark))).otherwise(t)
+
+    return run
+
+
+def _between(pieces: Column, put: Column) -> Column:
+    zipped = F.arrays_zip(pieces.alias("piece"), put.alias("put"))
+    # the last piece has nothing after it; its null is skipped by the join
+    return F.array_join(F.flatten(F.transform(zipped, lambda z: F.array(z["piece"], z["put"]))), "")
 
 
 def _spell_out(marked: Column) -> Column:
@@ -82,9 +90,7 @@ def _spell_out(marked: Column) -> Column:
         digits = F.translate(F.substring(marker, 3, 8), _DIGIT_LETTERS, _DIGITS)
         return F.concat(F.lit("[REDACTED-"), name, F.lit("-"), digits, F.lit("]"))
 
-    zipped = F.arrays_zip(pieces.alias("piece"), F.transform(markers, tag).alias("tag"))
-    # the last piece has no marker after it; its null is skipped by the join
-    return F.array_join(F.flatten(F.transform(zipped, lambda z: F.array(z["piece"], z["tag"]))), "")
+    return _between(pieces, F.transform(markers, tag))
 
 
 def legal_entities(text: Column) -> Column:

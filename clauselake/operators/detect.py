@@ -27,6 +27,8 @@ from clauselake.rules.vocab import DEFAULT_RISK_CLASS, RISK_CLASSES
 
 MIN_RISK_WORDS = 10
 RISK_CONTEXT, TERM_CONTEXT = 100, 50
+# Characters per piece of a text from which contexts are cut.
+BLOCK = 512
 
 
 def contains_any(text: Column, words) -> Column:
@@ -94,6 +96,16 @@ def snippet(text: Column, start: Column, length: Column, around: int) -> Column:
                     F.when(hi < F.length(text), F.lit("...")).otherwise(F.lit("")))
 
 
+def block_snippet(blocks: Column, chars: Column, start: Column, length: Column, around: int) -> Column:
+    """`snippet` from the blocks of a text, so that its cost does not depend on where in the text the match is."""
+    lo = F.greatest(start - around, F.lit(0))
+    hi = F.least(start + length + around, chars)
+    first, last = F.floor(lo / BLOCK).cast("int"), F.floor((hi - 1) / BLOCK).cast("int")
+    part = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.concat(F.when(lo > 0, F.lit("...")).otherwise(F.lit("")), F.substring(part, lo - first * BLOCK + 1, hi - lo),
+                    F.when(hi < chars, F.lit("...")).otherwise(F.lit("")))
+
+
 def find(rows: DataFrame, rules, keys: list[str], around: int = RISK_CONTEXT) -> DataFrame:
     """One row per (input row, rule that fires), with the first pattern's first match."""
     text = F.col("text")
@@ -214,7 +226,8 @@ def detect_terms(rows: DataFrame, keys: list[str], terms=LEGAL_TERMS) -> DataFra
     """Every whole-word match of every term and variation, with its position.
 
     A word's matches and the text between them come from one pair of array
-    expressions; match positions are prefix sums over their lengths.
+    expressions; match positions are prefix sums over their lengths, contexts
+    are cut from blocks of the text, and only these small strings are exploded.
     """
     text, low = F.col("text"), F.col("low")
     flat = [(t_no, t, w_no, w, p) for t_no, t in enumerate(terms)
@@ -226,22 +239,27 @@ def detect_terms(rows: DataFrame, keys: list[str], terms=LEGAL_TERMS) -> DataFra
     hit = hit.withColumns({
         "found": pick(no, [F.regexp_extract_all(text, F.lit(java_pattern(p)), F.lit(0)) for *_, p in flat]),
         "gaps": F.transform(pick(no, [F.split(text, java_pattern(p)) for *_, p in flat]), F.length),
+        "blocks": F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)),
+        "chars": F.length(text),
     }).where(F.size("found") > 0)
     lengths = F.transform("found", F.length)
     hit = hit.withColumn("before", prefix_sums(F.zip_with(F.slice("gaps", 1, F.size("found")), lengths,
                                                           lambda g, n: g + n)))
-    matches = F.arrays_zip(F.col("found"), F.col("gaps"), F.col("before"))
-    hit = (hit.select(*keys, "text", "word_id", F.inline(matches))
-           .where(F.col("found").isNotNull())
-           .withColumn("position", F.col("gaps") + F.col("before")))
+
+    def placed(m: Column) -> Column:
+        at = m["gaps"] + m["before"]
+        return F.struct(m["found"].alias("matched_text"), at.alias("position"),
+                        block_snippet(F.col("blocks"), F.col("chars"), at, F.length(m["found"]), TERM_CONTEXT).alias("context"))
+
+    matches = F.filter(F.arrays_zip(F.col("found"), F.col("gaps"), F.col("before")), lambda m: m["found"].isNotNull())
+    hit = hit.select(*keys, "word_id", F.inline(F.transform(matches, placed)))
     return hit.select(
         *keys,
         pick(no, [F.lit(t.category) for _, t, *_ in flat]).alias("category"),
         pick(no, [F.lit(t.key) for _, t, *_ in flat]).alias("term"),
         pick(no, [F.lit(n) for n, *_ in flat]).alias("term_order"),
         pick(no, [F.lit(n) for _, _, n, *_ in flat]).alias("word_order"),
-        F.col("found").alias("matched_text"), "position",
-        snippet(text, F.col("position"), F.length("found"), TERM_CONTEXT).alias("context"),
+        "matched_text", "position", "context",
         pick(no, [F.lit(t.importance) for _, t, *_ in flat]).alias("importance"))
 
 

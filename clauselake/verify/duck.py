@@ -85,19 +85,24 @@ def _pii(source: str = "clean") -> str:
 
 
 def _body() -> str:
-    tag = "'[REDACTED-' || pii_type || '-' || substr(md5(value), 1, 8) || ']'"
-    mark = ("chr(57344) || substr('ABCDEFGHI', ti + 1, 1) || translate(substr(md5(value), 1, 8), '0123456789', "
-            "'ghijklmnop') || chr(57345)")
+    """Type by type, matches become markers without digits; the markers are spelled out at the end."""
+    text = "SELECT doc_id, file_name, text AS raw, clean, clean AS t FROM clean"
+    for i, (_, pattern, ignore_case) in enumerate(PII_PATTERNS):
+        p = ci(pattern) if ignore_case else q(pattern)
+        mark = f"chr(57344) || '{'ABCDEFGHI'[i]}' || translate(substr(md5(v), 1, 8), '0123456789', 'ghijklmnop') || chr(57345)"
+        text = (f"SELECT doc_id, file_name, raw, clean, array_to_string(flatten(list_transform(list_zip(regexp_split_to_array(t, {p}), "
+                f"list_transform(regexp_extract_all(t, {p}), lambda v: {mark})), lambda z: [z[1], coalesce(z[2], '')])), '') AS t "
+                f"FROM ({text})")
+    marked = f"chr(57344) || '[A-I][a-p]{{8}}' || chr(57345)"
+    names = " ".join(f"WHEN '{'ABCDEFGHI'[i]}' THEN {q(n)}" for i, (n, _, _) in enumerate(PII_PATTERNS))
+    tag = f"'[REDACTED-' || CASE v[2] {names} END || '-' || translate(v[3:10], 'ghijklmnop', '0123456789') || ']'"
     return f"""
-    SELECT c.doc_id, c.file_name, c.text AS raw, c.clean, p.pii_types,
-           CASE WHEN p.doc_id IS NULL THEN c.clean ELSE
-             list_reduce(finals, lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2)),
-               list_reduce(marks, lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), c.clean))
-           END AS body
-    FROM clean c LEFT JOIN (
-      SELECT doc_id, list(value || chr(1) || {mark} ORDER BY ti, length(value) DESC, value) AS marks,
-             list({mark} || chr(1) || {tag} ORDER BY ti, length(value) DESC, value) AS finals,
-             string_agg(DISTINCT ti || ':' || pii_type, ',' ORDER BY ti || ':' || pii_type) AS pii_types
+    SELECT c.doc_id, c.file_name, c.raw, c.clean, p.pii_types,
+           CASE WHEN p.doc_id IS NULL THEN c.clean ELSE array_to_string(flatten(list_transform(list_zip(
+             regexp_split_to_array(t, {marked}), list_transform(regexp_extract_all(t, {marked}), lambda v: {tag})),
+             lambda z: [z[1], coalesce(z[2], '')])), '') END AS body
+    FROM ({text}) c LEFT JOIN (
+      SELECT doc_id, string_agg(DISTINCT ti || ':' || pii_type, ',' ORDER BY ti || ':' || pii_type) AS pii_types
       FROM pii GROUP BY doc_id) p USING (doc_id)"""
 
 
