@@ -1,25 +1,22 @@
 """Documents -> paragraphs -> sections.
 
 Everything that a section needs from its own text is computed on the exploded
-row without a shuffle.  Only the columns that look at neighbouring sections
-(parent, offsets, children) need the sections of a document together; a query
-that does not select them pays for no exchange, because Catalyst drops the
-unused window.
+row.  The columns that look at neighbouring sections (parent, offsets, children)
+are arrays of the document's row before that.  Neither needs a shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from clauselake.functions.text import is_upper, strip, word_count
+from clauselake.functions.text import is_upper, let, prefix_sums, strip, word_count
 from clauselake.rules.model import java_pattern
 from clauselake.rules.vocab import HEADER_PATTERNS, SECTION_TYPES
 
 MIN_PARAGRAPH = 10
-# Headings deeper than this share one level when parents are looked up.
-MAX_DEPTH = 10
+# Lines folded before their results are put aside.
+BLOCK = 512
 
 
 def paragraph_array(text: Column) -> Column:
@@ -68,106 +65,146 @@ def header_group(text: Column, kind: Column, group: int) -> Column:
     return chain.otherwise(F.lit(None).cast("string"))
 
 
-def sections(docs: DataFrame, hierarchical: bool = True, text: str = "text", id_col: str = "doc_id",
-             keep: tuple[str, ...] = ()) -> DataFrame:
-    """Section rows without neighbour columns: narrow, shuffle-free."""
-    rows = paragraphs(docs, text, id_col, keep)
+def header_parts(t: Column, kind: Column, words: Column, number: Column, hierarchical: bool) -> tuple[Column, Column, Column]:
+    """(is_header, level, title guessed from a paragraph that fits no pattern)."""
+    if not hierarchical:
+        caps = kind.isNull() & (words <= 5) & is_upper(t)
+        return kind.isNotNull() | caps, F.lit(0), F.when(caps, t)
+    caps = kind.isNull() & (words <= 10) & is_upper(t) & (F.length(t) > 3)
+    colon = kind.isNull() & ~caps & (words <= 5) & F.endswith(t, F.lit(":"))
+    dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
+    level = (F.when(kind == "numbered", dots + 1).when(kind.isin("article", "roman"), 1)
+             .when(kind == "alphabetical", 2).when(colon, 1).otherwise(0))
+    return kind.isNotNull() | caps | colon, level.cast("int"), F.when(caps, t).when(colon, F.rtrim(t, F.lit(":")))
+
+
+def attributes(rows: DataFrame, hierarchical: bool, keep: list[str]) -> DataFrame:
+    """What a paragraph (para_idx, text) tells about itself: type, heading, number, title, length."""
     t = F.col("text")
     rows = rows.withColumns({"kind": header_kind(t), "word_count": word_count(t), "low": F.lower(t)})
     kind, words = F.col("kind"), F.col("word_count")
-    if hierarchical:
-        caps = kind.isNull() & (words <= 10) & is_upper(t) & (F.length(t) > 3)
-        colon = kind.isNull() & ~caps & (words <= 5) & F.endswith(t, F.lit(":"))
-        guess = F.when(caps, t).when(colon, F.rtrim(t, F.lit(":")))
-        is_header = kind.isNotNull() | caps | colon
-        dots = F.length(F.col("section_number")) - F.length(F.replace("section_number", F.lit("."), F.lit("")))
-        level = (F.when(kind == "numbered", dots + 1).when(kind.isin("article", "roman"), 1)
-                 .when(kind == "alphabetical", 2).when(colon, 1).otherwise(0))
-    else:
-        caps = kind.isNull() & (words <= 5) & is_upper(t)
-        guess = F.when(caps, t)
-        is_header = kind.isNotNull() | caps
-        level = F.lit(0)
-    rows = rows.withColumns({
-        "section_number": header_group(t, kind, 1),
-        "is_header": is_header,
-        "guess": F.coalesce(header_group(t, kind, 2), guess),
-    })
+    rows = rows.withColumn("section_number", header_group(t, kind, 1))
+    is_header, level, guess = header_parts(t, kind, words, F.col("section_number"), hierarchical)
+    rows = rows.withColumns({"is_header": is_header, "guess": F.coalesce(header_group(t, kind, 2), guess)})
     return rows.select(
-        id_col, *keep, "para_idx", section_id(F.col("para_idx")).alias("section_id"),
+        *keep, "para_idx", section_id(F.col("para_idx")).alias("section_id"),
         F.coalesce(F.nullif("guess", F.lit("")), F.concat(F.lit("Section "), (F.col("para_idx") + 1).cast("string")))
         .alias("title"),
         "text", section_type(t, F.col("low"), words).alias("section_type"), "is_header", "section_number",
-        level.cast("int").alias("level"), "word_count")
+        level.alias("level"), "word_count")
 
 
-def with_parent(rows: DataFrame, hierarchical: bool = True, id_col: str = "doc_id") -> DataFrame:
-    """Add parent_id.
+def sections(docs: DataFrame, hierarchical: bool = True, text: str = "text", id_col: str = "doc_id",
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """Section rows without neighbour columns: narrow, shuffle-free."""
+    return attributes(paragraphs(docs, text, id_col, keep), hierarchical, [id_col, *keep])
 
-    A header's parent is the nearest earlier header of a smaller level; content
-    belongs to the last header.  `last(.. ignore nulls)` per level over one
-    running window answers both with a single exchange and sort.
-    """
-    if not hierarchical:
-        return rows.withColumn("parent_id", F.lit(None).cast("string"))
-    before = W.partitionBy(id_col).orderBy("para_idx").rowsBetween(W.unboundedPreceding, -1)
-    depth = F.least(F.col("level"), F.lit(MAX_DEPTH))
-    seen = {k: F.last(F.when(F.col("is_header") & (depth == k), F.col("para_idx")), ignorenulls=True).over(before)
-            for k in range(MAX_DEPTH)}
-    smaller = F.greatest(*[F.when(depth > k, idx) for k, idx in seen.items()])
-    last_header = F.last(F.when(F.col("is_header"), F.col("para_idx")), ignorenulls=True).over(before)
-    parent = F.when(F.col("is_header"), smaller).otherwise(last_header)
-    return (rows.withColumn("parent_idx", parent)
-            .withColumn("parent_id", F.when(F.col("parent_idx").isNotNull(), section_id(F.col("parent_idx"))))
-            .drop("parent_idx"))
-
-
-def with_offsets(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Add character offsets in the text that joins the paragraphs with blank lines.
-
-    `ref_*` keep the numbers of the original hierarchical mode, which counts
-    every separator twice.
+
+def outline(paras: Column, hierarchical: bool) -> Column:
+    """Per paragraph whether it is a heading, its level and its number."""
+
+    def of(p, i):
+        def parts(s):
+            number = F.when(s["kind"] == "numbered", header_group(p, s["kind"], 1))
+            is_header, level, _ = header_parts(p, s["kind"], s["words"], number, hierarchical)
+            return F.struct(is_header.alias("is_header"), level.alias("level"), i.alias("idx"))
+
+        return let(F.struct(header_kind(p).alias("kind"), word_count(p).alias("words")), parts)
+
+    return F.transform(paras, of)
+
+
+def parents(lines: Column) -> Column:
+    """Index of the parent of each line of an outline, or null.
+
+    A fold with a stack of open headings, of any depth: a heading closes those
+    of its level and below and belongs to the one left on top; content belongs
+    to the last heading.  Results are gathered per block, so that a very long
+    document does not cost the square of its lines.
     """
-    upto = W.partitionBy(id_col).orderBy("para_idx").rowsBetween(W.unboundedPreceding, 0)
-    size = F.length("text")
-    idx = F.col("para_idx")
-    return (rows.withColumn("chars", F.sum(size).over(upto).cast("int"))
-            .withColumns({
-                "start_char": F.col("chars") - size + 2 * idx,
-                "end_char": F.col("chars") + 2 * idx,
-                "ref_start_char": F.when(idx > 0, F.col("chars") - size + 4 * idx - 2).otherwise(0),
-                "ref_end_char": F.col("chars") + 4 * idx,
-            }).drop("chars"))
-
-
-def with_children(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Add children_ids in document order.
-
-    Every section is sent to itself and, as a child, to its parent; one grouping
-    inside the partitioning that the parent window already made joins the two,
-    so no further exchange is planned.
+    empty = F.array().cast("array<struct<level:int,idx:int>>")
+
+    def top(stack):
+        return F.get(stack, F.size(stack) - 1)["idx"]
+
+    def step(acc, x):
+        above = F.when(x["is_header"], F.filter(acc["stack"], lambda h: h["level"] < x["level"])).otherwise(acc["stack"])
+        more = F.concat(above, F.array(F.struct(x["level"].alias("level"), x["idx"].alias("idx"))))
+        return F.struct(F.when(x["is_header"], more).otherwise(acc["stack"]).alias("stack"),
+                        F.concat(acc["out"], F.array(top(above))).alias("out"))
+
+    def block(acc, start):
+        begin = F.struct(acc["stack"].alias("stack"), F.array().cast("array<int>").alias("out"))
+        done = F.aggregate(F.slice(lines, start, BLOCK), begin, step)
+        return let(done, lambda d: F.struct(d["stack"].alias("stack"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    start = F.struct(empty.alias("stack"), F.array().cast("array<array<int>>").alias("out"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(lines), F.lit(BLOCK)), start, block, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(lines) == 0, F.array().cast("array<int>")).otherwise(folded)
+
+
+def children(parent: Column) -> Column:
+    """Indexes of the children of each line, given every line's parent.
+
+    Lines and child entries are sorted into one array, where each line stands
+    before its children; the places of the lines bound the children's slices.
     """
-    payload = [c for c in rows.columns if c not in (id_col, "section_id")]
-    me = F.struct(*payload)
-    child = F.struct(F.col("para_idx").alias("idx"), F.col("section_id").alias("id"))
-    none_me, none_child = F.lit(None).cast(rows.select(me.alias("m")).schema["m"].dataType), \
-        F.lit(None).cast("struct<idx:int,id:string>")
-    sent = F.array(
-        F.struct(F.col("section_id").alias("node"), me.alias("me"), none_child.alias("child")),
-        F.struct(F.col("parent_id").alias("node"), none_me.alias("me"), child.alias("child")))
-    out = (rows.select(id_col, F.explode(sent).alias("s"))
-           .where(F.col("s.node").isNotNull())
-           .groupBy(id_col, F.col("s.node").alias("section_id"))
-           .agg(F.first("s.me", ignorenulls=True).alias("me"), F.collect_list("s.child").alias("kids")))
-    return out.select(id_col, "section_id", "me.*",
-                      F.transform(F.array_sort("kids"), lambda k: k["id"]).alias("children_ids"))
+    none = F.array().cast("array<array<int>>")
+
+    def cut(entries):
+        marks = F.filter(F.transform(entries, lambda e, i: F.when(e["idx"] < 0, i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(marks, 2, F.size(marks)), F.array(F.size(entries)))
+        return F.transform(F.arrays_zip(marks.alias("a"), ends.alias("b")), lambda z: F.transform(
+            F.slice(entries, z["a"] + 2, z["b"] - z["a"] - 1), lambda e: e["idx"]))
+
+    lines = F.transform(parent, lambda p, i: F.struct(i.alias("parent"), F.lit(-1).alias("idx")))
+    kids = F.filter(F.transform(parent, lambda p, i: F.struct(p.alias("parent"), i.alias("idx"))), lambda k: k["parent"].isNotNull())
+    return F.when(F.size(parent) == 0, none).otherwise(let(F.array_sort(F.concat(lines, kids)), cut))
 
 
 def segment(docs: DataFrame, hierarchical: bool = True, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The full section table: attributes, parent, offsets and children."""
-    rows = with_offsets(sections(docs, hierarchical, text, id_col), id_col)
-    rows = with_parent(rows, hierarchical, id_col)
-    if not hierarchical:
-        return rows.drop("ref_start_char", "ref_end_char").withColumn(
-            "children_ids", F.array().cast("array<string>"))
-    return with_children(rows, id_col)
+    """The full section table: attributes, parent, offsets and children.
+
+    The tree is worked out inside the document's row, before sections become
+    rows, so no exchange is planned.  Offsets count in the text that joins the
+    paragraphs with blank lines; `ref_*` keep the numbers of the original
+    hierarchical mode, which counts every separator twice.
+    """
+    rows = docs.select(id_col, paragraph_array(F.col(text)).alias("ps"))
+    rows = rows.withColumn("before", prefix_sums(F.transform("ps", F.length)))
+    if hierarchical:
+        rows = rows.withColumn("parent", parents(outline(F.col("ps"), True))).withColumn("kids", children(F.col("parent")))
+    else:
+        rows = rows.withColumns({"parent": F.transform("ps", lambda p: F.lit(None).cast("int")),
+                                 "kids": F.transform("ps", lambda p: F.array().cast("array<int>"))})
+    zipped = F.arrays_zip(F.col("ps").alias("text"), F.col("before").alias("chars"), F.col("parent"), F.col("kids"))
+    each = rows.select(id_col, F.posexplode(zipped).alias("para_idx", "z")).select(id_col, "para_idx", "z.*")
+    place = [id_col, "chars", "parent", "kids"]
+    size, idx, chars = F.length("text"), F.col("para_idx"), F.col("chars")
+    out = attributes(each, hierarchical, place).withColumns({
+        "start_char": chars + 2 * idx,
+        "end_char": chars + size + 2 * idx,
+        "ref_start_char": F.when(idx > 0, chars + 4 * idx - 2).otherwise(0),
+        "ref_end_char": chars + size + 4 * idx,
+        "parent_id": F.when(F.col("parent").isNotNull(), section_id(F.col("parent"))),
+        "children_ids": F.transform("kids", section_id)}).drop("chars", "parent", "kids")
+    return out if hierarchical else out.drop("ref_start_char", "ref_end_char")
+
+
+def section_array(paras: Column, hierarchical: bool) -> Column:
+    """Per paragraph its text, length, title and type, as an array of the document's row."""
+
+    def basics(p, i):
+        return F.struct(i.alias("idx"), p.alias("text"), F.lower(p).alias("low"), word_count(p).alias("words"),
+                        header_kind(p).alias("kind"))
+
+    def finish(s):
+        p, kind = s["text"], s["kind"]
+        _, _, guess = header_parts(p, kind, s["words"], F.lit(""), hierarchical)
+        title = F.nullif(F.coalesce(header_group(p, kind, 2), guess), F.lit(""))
+        return F.struct(
+            s["idx"].alias("idx"), p.alias("text"), s["words"].alias("words"),
+            F.coalesce(title, F.concat(F.lit("Section "), (s["idx"] + 1).cast("string"))).alias("title"),
+            section_type(p, s["low"], s["words"]).alias("type"))
+
+    return F.transform(F.transform(paras, basics), finish)

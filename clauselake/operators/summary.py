@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clauselake.functions.text import strip, word_count
+from clauselake.operators.segment import paragraph_array, section_array, section_id
 from clauselake.rules.model import java_pattern, whole_words
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import KEY_POINT_SECTION_TYPES, SUMMARY_SECTION_TYPES
@@ -52,17 +53,21 @@ def is_important(section_type: Column, words: Column) -> Column:
     return section_type.isin(*SUMMARY_SECTION_TYPES) | (words > 100)
 
 
-def important_sections(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """At most ten important sections per document: all in reading order, or the ten longest by length."""
-    by_length = W.partitionBy(id_col).orderBy(F.col("word_count").desc(), "para_idx")
-    top = (sections.where(is_important(F.col("section_type"), F.col("word_count")))
-           .withColumn("length_rank", F.row_number().over(by_length)).where(F.col("length_rank") <= MAX_SECTIONS + 1))
-    # an eleventh row tells that the document has more than ten, without counting all of them
-    many = F.max("length_rank").over(W.partitionBy(id_col)) > MAX_SECTIONS
-    top = top.withColumn("many", many).where(F.col("length_rank") <= MAX_SECTIONS)
-    return (top.withColumn("sort_key", F.when(F.col("many"), F.col("length_rank")).otherwise(F.col("para_idx")))
-            .withColumn("position", F.row_number().over(W.partitionBy(id_col).orderBy("sort_key")))
-            .drop("many", "sort_key", "length_rank"))
+def important_sections(docs: DataFrame, hierarchical: bool = True, text: str = "text", id_col: str = "doc_id",
+                       most: int | None = MAX_SECTIONS) -> DataFrame:
+    """At most `most` important sections per document (None: all): all in reading order, or the longest by length.
+
+    They are chosen inside the document's row; only their texts become rows.
+    """
+    secs = F.filter(section_array(paragraph_array(F.col(text)), hierarchical), lambda s: is_important(s["type"], s["words"]))
+    rows = docs.select(id_col, secs.alias("secs"))
+    chosen = F.col("secs")
+    if most is not None:
+        by_length = F.array_sort(F.transform("secs", lambda s: F.struct((-s["words"]).alias("k"), s["idx"].alias("idx"), s.alias("s"))))
+        chosen = F.when(F.size("secs") > most, F.transform(F.slice(by_length, 1, most), lambda x: x["s"])).otherwise(chosen)
+    return (rows.select(id_col, F.posexplode(chosen).alias("n", "s"))
+            .select(id_col, F.col("s.idx").alias("para_idx"), section_id(F.col("s.idx")).alias("section_id"), "s.title", "s.text",
+                    F.col("s.type").alias("section_type"), F.col("s.words").alias("word_count"), (F.col("n") + 1).alias("position")))
 
 
 def section_summaries(important: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -161,7 +161,7 @@ def sections_hier(spark, sf):
 
 
 def section_tree(spark, sf):
-    rows = segment.with_parent(contract_sections(spark, sf))
+    rows = full_segments(spark, sf)
     return (rows.groupBy("level", "is_header")
             .agg(F.count("*").alias("n"), F.count("parent_id").alias("with_parent")).transform(flat))
 
@@ -172,7 +172,7 @@ def section_types(spark, sf):
 
 
 def section_offsets(spark, sf):
-    rows = segment.with_offsets(contract_sections(spark, sf))
+    rows = full_segments(spark, sf)
     return flat(rows.select("doc_id", "para_idx", "start_char", "end_char", "ref_start_char", "ref_end_char"))
 
 
@@ -337,12 +337,12 @@ def extract_questions(spark, sf):
 
 
 def important_sections(spark, sf):
-    rows = summary.important_sections(contract_sections(spark, sf))
+    rows = summary.important_sections(cleaned_contracts(spark, sf), text="clean")
     return flat(rows.select("doc_id", "section_id", "section_type", "word_count", "position"))
 
 
 def section_summaries(spark, sf):
-    return flat(summary.section_summaries(summary.important_sections(contract_sections(spark, sf))))
+    return flat(summary.section_summaries(summary.important_sections(cleaned_contracts(spark, sf), text="clean")))
 
 
 def overall_summaries(spark, sf):

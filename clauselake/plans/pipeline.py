@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clauselake.config import AnalysisConfig
 from clauselake.functions.privacy import legal_entities
-from clauselake.functions.text import clean_text, is_upper, word_count
+from clauselake.functions.text import clean_text, let, word_count
 from clauselake.operators import detect, extract, segment, summary, xref
 from clauselake.operators.metadata import with_metadata
 from clauselake.operators.privacy import with_pii, without_pii
@@ -46,47 +46,19 @@ def stage(rows: DataFrame, path: str | None) -> DataFrame:
 # --- one row per document -------------------------------------------------------------------------
 
 
-def _basics() -> Column:
-    return F.transform(F.col("paras"), lambda p, i: F.struct(
-        i.alias("idx"), p.alias("text"), F.lower(p).alias("low"), word_count(p).alias("words"),
-        segment.header_kind(p).alias("kind")))
-
-
-def _guessed_header(s: Column, cfg: AnalysisConfig) -> tuple[Column, Column]:
-    """(capital line, colon line) for paragraphs that fit no header pattern."""
-    p, none, words = s["text"], s["kind"].isNull(), s["words"]
-    if not cfg.hierarchical:
-        return none & (words <= 5) & is_upper(p), F.lit(False)
-    caps = none & (words <= 10) & is_upper(p) & (F.length(p) > 3)
-    return caps, none & ~caps & (words <= 5) & F.endswith(p, F.lit(":"))
-
-
-def _fired(cfg: AnalysisConfig) -> Column:
+def _fired(paras: Column, cfg: AnalysisConfig, rules=RISK_RULES) -> Column:
     """Per paragraph the rules that fire on it; headers and short paragraphs are not checked."""
-    def rules_of(s):
-        caps, colon = _guessed_header(s, cfg)
-        eligible = s["words"] >= detect.MIN_RISK_WORDS
-        if not cfg.include_long_headers:
-            eligible = eligible & ~(s["kind"].isNotNull() | caps | colon)
-        return F.when(eligible, detect.fired_rules(RISK_RULES, s["text"], s["low"])).otherwise(
-            F.array().cast("array<int>"))
-
-    return F.transform(F.col("basics"), rules_of)
-
+    def rules_of(p):
+        def check(s):
+            is_header, _, _ = segment.header_parts(p, s["kind"], s["words"], F.lit(""), cfg.hierarchical)
+            eligible = s["words"] >= detect.MIN_RISK_WORDS
+            if not cfg.include_long_headers:
+                eligible = eligible & ~is_header
+            return F.when(eligible, detect.fired_rules(rules, p, s["low"])).otherwise(F.array().cast("array<int>"))
 
-def _sections(cfg: AnalysisConfig) -> Column:
-    """Per paragraph its text, length, title and type."""
-    def finish(s):
-        p, kind = s["text"], s["kind"]
-        caps, colon = _guessed_header(s, cfg)
-        guess = F.when(caps, p).when(colon, F.rtrim(p, F.lit(":")))
-        title = F.nullif(F.coalesce(segment.header_group(p, kind, 2), guess), F.lit(""))
-        return F.struct(
-            s["idx"].alias("idx"), p.alias("text"), s["words"].alias("words"),
-            F.coalesce(title, F.concat(F.lit("Section "), (s["idx"] + 1).cast("string"))).alias("title"),
-            segment.section_type(p, s["low"], s["words"]).alias("type"))
+        return let(F.struct(segment.header_kind(p).alias("kind"), word_count(p).alias("words"), F.lower(p).alias("low")), check)
 
-    return F.transform(F.col("basics"), finish)
+    return F.transform(paras, rules_of)
 
 
 def _overall_summary(body: Column, secs: Column) -> Column:
@@ -130,8 +102,7 @@ def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepa
     return (rows
             .withColumn("paras", segment.paragraph_array(F.col("body")))
             .withColumn("sections_count", F.size("paras"))
-            .withColumn("basics", _basics())
-            .withColumns({"secs": _sections(cfg), "fired": _fired(cfg)})
+            .withColumns({"secs": segment.section_array(F.col("paras"), cfg.hierarchical), "fired": _fired(F.col("paras"), cfg)})
             .withColumn("body_low", F.lower("body"))
             .withColumn("answers", extract.answers(F.col("body"), F.col("body_low")))
             .withColumn("risks", F.flatten(F.transform("fired", lambda rules, i: F.transform(rules, lambda r: F.struct(
@@ -140,7 +111,7 @@ def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepa
             .withColumn("summary", F.when(ok, summary.with_prefix(F.col("plain_summary"), F.col("contract_type")))
                         .otherwise(F.lit(FAILED_SUMMARY)))
             .withColumn("key_points", F.when(ok, points).otherwise(F.slice(points, 1, 0)))
-            .drop("paras", "basics", "body_low", "fired", "plain_summary"))
+            .drop("paras", "body_low", "fired", "plain_summary"))
 
 
 def category_counts(risks: Column) -> Column:
@@ -254,7 +225,8 @@ def analyze(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), predictions
         "terms": detect.detect_terms(rows, ["doc_id", "section_id"]),
         "extracted": found.select("doc_id", "type_order", "ext_type", "value", "confidence", "method"),
         "key_points": summary.key_points(found, rows),
-        "section_summaries": summary.section_summaries(summary.important_sections(rows)),
+        "section_summaries": summary.section_summaries(summary.important_sections(
+            good.select("doc_id", F.col("body").alias("text")), cfg.hierarchical)),
         "responses": response_of(analysis_rows(docs, cfg, prepared)),
         "metrics": metrics(docs, cfg, prepared),
     }

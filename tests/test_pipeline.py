@@ -82,11 +82,12 @@ def test_prefix_names_the_type(spark):
 def test_important_sections_keep_order_or_take_the_longest(spark):
     many = "\n\n".join(f"They shall pay sum number {i} " + "again " * (i % 7) for i in range(14))
     few = "\n\n".join(["They shall pay it now.", "Blue sky and sea.", "word " * 101, "It may cease soon."])
-    rows = secs(spark, [(1, many), (2, few)])
-    got = summary.important_sections(rows).orderBy("doc_id", "position").collect()
+    docs = spark.createDataFrame([(1, many), (2, few)], "doc_id int, text string")
+    got = summary.important_sections(docs).orderBy("doc_id", "position").collect()
     first = sorted(range(14), key=lambda i: (-(6 + i % 7), i))[:10]
     assert [r.para_idx for r in got if r.doc_id == 1] == first
     assert [r.para_idx for r in got if r.doc_id == 2] == [0, 2, 3]
+    assert summary.important_sections(docs, most=None).where("doc_id = 1").count() == 14
 
 
 def test_row_arrays_equal_the_tables(spark):

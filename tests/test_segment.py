@@ -70,18 +70,28 @@ def test_header_shapes_match_python(spark):
         assert got[i] == want, s
 
 
-def test_parent_window_equals_the_fold(spark):
+def test_parents_and_children_equal_the_fold(spark, monkeypatch):
     rng = random.Random(3)
     rows, want = [], {}
     for doc in range(40):
-        levels = [rng.choice([None, None, 0, 1, 1, 2, 2, 3, 4, 6]) for _ in range(rng.randrange(1, 40))]
-        for i, p in enumerate(fold_parents(levels)):
-            want[doc, i] = p
-        rows += [(doc, i, f"sec-{i:03d}", level is not None, level or 0) for i, level in enumerate(levels)]
-    df = spark.createDataFrame(rows, "doc_id int, para_idx int, section_id string, is_header boolean, level int")
-    for parts in (1, 5):
-        got = {(r.doc_id, r.para_idx): r.parent_id for r in sg.with_parent(df.repartition(parts)).collect()}
-        assert got == {k: None if p is None else f"sec-{p:03d}" for k, p in want.items()}
+        levels = [rng.choice([None, None, 0, 1, 1, 2, 2, 3, 4, 6, 14, 15]) for _ in range(rng.randrange(40))]
+        want[doc] = fold_parents(levels)
+        rows.append((doc, [(level is not None, level or 0, i) for i, level in enumerate(levels)]))
+    df = spark.createDataFrame(rows, "doc_id int, lines array<struct<is_header:boolean,level:int,idx:int>>")
+    for block in (4, 512):
+        monkeypatch.setattr(sg, "BLOCK", block)
+        found = df.select("doc_id", sg.parents(F.col("lines")).alias("p")).withColumn("k", sg.children(F.col("p"))).collect()
+        for r in found:
+            assert r.p == want[r.doc_id]
+            assert r.k == [[j for j, p in enumerate(r.p) if p == i] for i in range(len(r.p))]
+
+
+def test_deep_headings_keep_their_parents(spark):
+    numbers = [".".join(["1"] * n) for n in range(1, 16)]
+    text = "\n\n".join(f"{n} Heading number {len(n)}" for n in numbers)
+    rows = sg.segment(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("para_idx").collect()
+    assert [r.level for r in rows] == list(range(1, 16))
+    assert [r.parent_id for r in rows] == [None] + [f"sec-{i:03d}" for i in range(14)]
 
 
 def test_section_type_first_match_wins(spark):
@@ -105,10 +115,8 @@ def test_flat_mode_has_no_tree(agreement):
     assert all(r.children_ids == [] for r in rows) and rows[0].is_header
 
 
-def test_unread_tree_columns_cost_no_exchange(agreement):
-    docs = agreement.select("doc_id", clean_text(F.col("text")).alias("text"))
-    rows = sg.with_parent(sg.with_offsets(sg.sections(docs)))
-    plan = rows.select("doc_id", "section_type")._jdf.queryExecution().executedPlan().toString()
+def test_the_tree_needs_no_exchange(spark, tmp_path, agreement):
+    path = str(tmp_path / "docs")
+    agreement.select("doc_id", clean_text(F.col("text")).alias("text")).write.parquet(path)
+    plan = sg.segment(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
-    full = sg.segment(docs)._jdf.queryExecution().executedPlan().toString()
-    assert full.count("Exchange hashpartitioning") == 1
