@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -29,26 +30,36 @@ def label_name(index: Column, labels: list[str]) -> Column:
     return chain.otherwise(F.concat(F.lit("unknown_"), index.cast("string")))
 
 
-def split_rows(rows: DataFrame, key: str, label: str | None = None, share: float = 0.2, seed: int = 42) -> DataFrame:
+def split_rows(rows: DataFrame, key: str, label: str | None = None, share: float = 0.2, seed: int = 42,
+               per_bucket: int = 10_000, buckets: int | None = None) -> DataFrame:
     """Add is_validation: a fixed share of the rows, of every label when a label is given.
 
-    The order within a label is a seeded hash of the key.  The cut is taken per
-    hash bucket first, so a label that holds most of the rows is ranked by many
-    tasks and not by one.
+    The order within a label is a seeded hash of the key.  Hash buckets are
+    counted first: all but one of a label lie wholly on one side of the cut, so
+    only the keys of that bucket are ranked.  There are more buckets the more
+    rows there are (`per_bucket` on average).
     """
-    buckets = 256
+    if buckets is None:
+        buckets = min(1 << 20, max(16, rows.count() // per_bucket))
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
-    out = rows.withColumn("h", digest).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
+    out = rows.withColumn("h", digest).withColumn("b", 
+        F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * buckets / (1 << 32)).cast("int"))
     group = [label] if label else []
-    # rows per (label, bucket): at most 256 rows per label, small enough to rank in one task
+    # a count per label and bucket
     sizes = out.groupBy(*group, "b").agg(F.count("*").alias("size"))
     upto = W.partitionBy(*group).orderBy("b")
     sizes = (sizes.withColumn("before", F.sum("size").over(upto.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
              .withColumn("total", F.sum("size").over(W.partitionBy(*group)))
              .withColumn("quota", F.ceil(F.col("total") * share)))
-    ranked = out.withColumn("r", F.row_number().over(W.partitionBy(*group, "b").orderBy("h", key)))
-    return (ranked.join(sizes.select(*group, "b", "before", "quota"), [*group, "b"])
-            .withColumn("is_validation", F.col("before") + F.col("r") <= F.col("quota"))
+    sizes = sizes.where("before < quota").select(*[F.col(g).alias("_g") for g in group], F.col("b").alias("_b"), "before", "quota",
+                                                 (F.col("before") + F.col("size") <= F.col("quota")).alias("whole"))
+    same = [F.col(g).eqNullSafe(F.col("_g")) for g in group] + [F.col("b") == F.col("_b")]
+    placed = out.join(sizes, reduce(lambda a, b: a & b, same), "left")
+    cut = (placed.where("not whole").select(key, *group, "h", "before", "quota")
+           .withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("h", key)))
+           .where(F.col("before") + F.col("r") <= F.col("quota")).select(F.col(key).alias("_key"), F.lit(True).alias("in")).distinct())
+    return (placed.join(cut, placed[key] == F.col("_key"), "left")
+            .withColumn("is_validation", F.coalesce(F.col("whole") | F.col("in"), F.col("whole"), F.col("in"), F.lit(False)))
             .select(*rows.columns, "is_validation"))
 
 
@@ -110,14 +121,30 @@ def _session():
     return SparkSession.getActiveSession()
 
 
-def external_model(make_predict: Callable, max_chars: int = 4000, batch_size: int = 8) -> Callable[[Column], Column]:
+def external_model(make_predict: Callable, max_chars: int | None = None, batch_size: int = 8) -> Callable[[Column], Column]:
     """Hook for a model of your own.
 
     `make_predict()` runs once per Python worker, loads the model and returns a
     function from an array of texts to {"label": …, "confidence": …}; Spark
-    hands it Arrow batches.
+    hands it Arrow batches.  Texts are given whole; for a model that reads at
+    most so many characters use `score_windows`, or cut them by `max_chars`.
     """
     udf = predict_batch_udf(
         make_predict, batch_size=batch_size,
         return_type=T.StructType([T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType())]))
-    return lambda text: udf(F.left(text, F.lit(max_chars)))
+    return lambda text: udf(text if max_chars is None else F.left(text, F.lit(max_chars)))
+
+
+def score_windows(rows: DataFrame, model: Callable[[Column], Column], keys: list[str], text: str = "text", width: int = 4000,
+                  overlap: int = 200) -> DataFrame:
+    """(keys…, label, confidence) of whole texts by a model that reads `width` characters at a time.
+
+    Every text is cut into windows that overlap, all windows are scored, and the
+    surest window of a text decides (of equals the first label).
+    """
+    step = width - overlap
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - overlap, F.lit(1)), F.lit(step))
+    windows = rows.select(*keys, F.explode(F.transform(starts, lambda s: F.substring(F.col(text), s, F.lit(width)))).alias("window"))
+    best = F.struct((-F.col("s.confidence")).alias("order"), F.col("s.label").alias("label"))
+    scored = windows.select(*keys, model(F.col("window")).alias("s")).groupBy(*keys).agg(F.min(best).alias("best"))
+    return scored.select(*keys, "best.label", (-F.col("best.order")).alias("confidence"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ from clauselake.sources import sinks
 from clauselake.sources.clause_csv import read_clause_csv
 from clauselake.sources.files import from_text_table
 from clauselake.sources.tables import read, spread_scan
+from clauselake.session import shared_root
 from clauselake.streaming import drops
 
 
@@ -488,8 +488,9 @@ def evaluation_details(spark, sf):
 
 
 def error_documents(spark, sf):
-    """Documents that carry no text at all are reported, not lost: short ones are blanked to show it."""
-    docs = documents(spark, sf).select("doc_id", F.when(F.length("text") >= 200, F.col("text")).alias("text"))
+    """Documents asked for by key, by status: keys without a document and documents without text are errors, not lost."""
+    asked = read(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"))
+    docs = documents(spark, sf).select("doc_id", "text").join(asked, "doc_id", "full")
     rows = pipeline.metrics(from_text_table(docs, "doc_id", "text"))
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("errors").alias("errors"))
 
@@ -511,9 +512,8 @@ def merge_maps(spark, sf):
 def stream_analyze(spark, sf):
     """The documents table read as a stream of rows, analysed in micro-batches into a result store."""
     root = scratch(spark, "stream")
-    rows = (spark.readStream.schema("doc_id bigint, text string").option("pathGlobFilter", "documents.parquet").parquet(sf))
-    docs = rows.select(F.lit("document.txt").alias("file_name"), "text")
-    drops._start(docs, f"{root}/store", f"{root}/checkpoint", pipeline.AnalysisConfig()).awaitTermination()
+    schema = "doc_id bigint, text string"
+    drops.stream_table(spark, f"{sf}/documents.parquet", schema, f"{root}/store", f"{root}/checkpoint", key="doc_id").awaitTermination()
     return flat(spark.read.parquet(f"{root}/store").select("doc_id", "status", "word_count", "has_pii", "sections_count",
                                                            "risks_count"))
 
@@ -525,10 +525,16 @@ def result_store(spark, sf):
     return spark.read.parquet(f"{root}/digests")
 
 
+def result_lookup(spark, sf):
+    """One digest looked up by its id in a store on disk."""
+    root = scratch(spark, "lookup")
+    sinks.save_results(digest(spark, sf), f"{root}/digests", "overwrite")
+    return sinks.get_result(spark, f"{root}/digests", 7)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the session's shared folder; only where none is set (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name below the session's shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 QUERIES = {f.__name__: f for f in (
@@ -541,4 +547,4 @@ QUERIES = {f.__name__: f for f in (
     results_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
     training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
-    evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, result_store)}
+    evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, result_store, result_lookup)}

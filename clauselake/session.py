@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +17,14 @@ def local_session(cores: str | int = "*", app: str = "clauselake", memory: str =
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that the session names; where all tasks are local and none is set, one of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        root = tempfile.mkdtemp(prefix="clauselake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.text import unique_id
 
-# Suffixes without plain text (every other suffix is read as text) and the error of a missing input.
+# Fixed value: suffixes without plain text; every other suffix is read as text.
 BINARY_SUFFIXES = ("pdf", "docx", "doc", "xlsx", "xls")
-NO_INPUT = "Either file_content and filename, or text must be provided"
+NO_INPUT = "The document is empty or missing"
 
 
 def decode(content: Column) -> Column:
@@ -18,21 +18,35 @@ def decode(content: Column) -> Column:
     return F.replace(valid, F.lit("�"), F.lit(""))
 
 
-def read_files(spark: SparkSession, path: str, max_mb: int = 25, recursive: bool = False,
+def read_files(spark: SparkSession, path: str, max_mb: int | None = 25, recursive: bool = False,
                pattern: str | None = None) -> DataFrame:
-    """doc_id, file_name, text, status, errors: one row per file.
+    """doc_id, file_name, text, status, errors: one row per file, empty files included.
 
     The size test reaches the scan, so the bytes of an oversized file are never
-    loaded; such a file and a format without plain text become status rows.
+    loaded; such a file, a format without plain text and an empty file become
+    status rows.  `max_mb` None sets no limit.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return classify_files(reader.load(path), max_mb)
+    files = reader.load(path)
+    return classify_files(files, max_mb).unionByName(_empty_files(files))
 
 
-def classify_files(files: DataFrame, max_mb: int = 25) -> DataFrame:
-    limit = max_mb * 1024 * 1024
+def _empty_files(files: DataFrame) -> DataFrame:
+    """Error rows for files without a byte: the scan skips them, so they are what the file listing has beyond the scan."""
+    spark = files.sparkSession
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "uri string")
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    listed = listed.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    return empty.select(unique_id(F.col("path"), length=32).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
+                        F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"),
+                        F.array(F.lit(NO_INPUT)).alias("errors"))
+
+
+def classify_files(files: DataFrame, max_mb: int | None = 25) -> DataFrame:
+    limit = (1 << 62) if max_mb is None else max_mb * 1024 * 1024
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
     unsupported = suffix.isin(*BINARY_SUFFIXES)
@@ -50,7 +64,7 @@ def classify_files(files: DataFrame, max_mb: int = 25) -> DataFrame:
     return small.unionByName(large)
 
 
-def read_dir(spark: SparkSession, path: str, max_mb: int = 25) -> DataFrame:
+def read_dir(spark: SparkSession, path: str, max_mb: int | None = 25) -> DataFrame:
     """Every .txt, .pdf and .docx file below a directory."""
     return read_files(spark, path, max_mb, recursive=True, pattern="*.{txt,pdf,docx}")
 

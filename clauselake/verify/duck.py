@@ -346,8 +346,8 @@ CTES = {
 }
 
 
-def sql(select: str, *names: str) -> str:
-    """`WITH` the named tables and everything they read, then the select."""
+def sql(select: str, *names: str, contracts: str | None = None) -> str:
+    """`WITH` the named tables and everything they read, then the select; `contracts` reads other documents."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -358,5 +358,5 @@ def sql(select: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    with_list = ", ".join(f"{n} AS MATERIALIZED ({CTES[n][0]()})" for n in order)
+    with_list = ", ".join(f"{n} AS MATERIALIZED ({contracts if contracts and n == 'contracts' else CTES[n][0]()})" for n in order)
     return f"WITH {with_list} {select}" if order else select

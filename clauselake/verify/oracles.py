@@ -217,13 +217,17 @@ def build() -> dict[str, str]:
                              "least(floor((value - lo) / w), 19)::BIGINT AS bin FROM events, (SELECT min(value) AS lo, "
                              "(max(value) - min(value)) / 20 AS w FROM events)) GROUP BY bin",
         "evaluation_details": _stats("SELECT filename, contract_type, risks_count, sections_count FROM metrics"),
-        "error_documents": "SELECT CASE WHEN length(text) >= 200 THEN 'success' ELSE 'error' END AS status, count(*) AS n, "
-                           "sum(CASE WHEN length(text) >= 200 THEN 0 ELSE 1 END)::BIGINT AS errors FROM documents GROUP BY 1",
+        "error_documents": "SELECT CASE WHEN text <> '' THEN 'success' ELSE 'error' END AS status, count(*) AS n, "
+                           "sum(CASE WHEN text <> '' THEN 0 ELSE 1 END)::BIGINT AS errors FROM documents "
+                           "FULL JOIN (SELECT c_custkey AS doc_id FROM customer) USING (doc_id) GROUP BY 1",
+        "stream_analyze": sql("SELECT m.doc_id, m.status, t.word_count, m.has_pii, m.sections_count, m.risks_count FROM metrics m "
+                              "JOIN meta t USING (doc_id)", "metrics",
+                              contracts="SELECT doc_id, 'document.txt' AS file_name, text FROM documents"),
         "format_ts": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'not a time ' || event_id ELSE strftime(ts, "
                      "'%d/%m/%Y %H:%M') END AS shown FROM events",
         "merge_maps": "SELECT event_id, 'props=' || props || ';type=' || event_type || ';user=hidden' AS merged FROM events",
     }
-    return {**out, "result_store": out["digest"], "clause_csv_training": out["training_section"]}
+    return {**out, "result_store": out["digest"], "result_lookup": f"SELECT * FROM ({out['digest']}) WHERE doc_id = 7", "clause_csv_training": out["training_section"]}
 
 
 def _contracts_cte() -> str:

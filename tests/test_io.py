@@ -14,16 +14,18 @@ def test_files_are_classified(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff ok")
     (tmp_path / "noext").write_bytes(b"plain")
+    (tmp_path / "no bytes+.txt").write_bytes(b"")
     (tmp_path / "sub" / "b.pdf").write_bytes(b"%PDF")
     (tmp_path / "sub" / "c.txt").write_bytes(b"x" * (1024 * 1024 + 1))
     (tmp_path / "sub" / "d.docx").write_bytes(b"PK")
     got = {r.file_name: r for r in files.read_files(spark, str(tmp_path), max_mb=1, recursive=True).collect()}
     assert got["a.txt"].text == "café  ok" and got["noext"].text == "plain"
+    assert got["no bytes+.txt"].status == "error" and got["no bytes+.txt"].errors == [files.NO_INPUT]
     assert got["b.pdf"].status == "unsupported" and got["c.txt"].status == "error" and "1MB" in got["c.txt"].errors[0]
     listed = {r.file_name for r in files.read_dir(spark, str(tmp_path)).collect()}
-    assert listed == {"a.txt", "b.pdf", "c.txt", "d.docx"}
+    assert listed == {"a.txt", "b.pdf", "c.txt", "d.docx", "no bytes+.txt"}
     good, bad = files.split_by_status(files.with_status(files.read_dir(spark, str(tmp_path), 1)))
-    assert good.count() == 1 and bad.count() == 3
+    assert good.count() == 1 and bad.count() == 4
     r = {x.metadata.file_name: x for x in pipeline.response(files.read_dir(spark, str(tmp_path), 1)).collect()}
     assert r["b.pdf"].status == "unsupported" and r["a.txt"].status == "success"
 
@@ -38,7 +40,8 @@ def test_result_store_and_json(spark, tmp_path):
     sinks.save_results(df, str(tmp_path / "store"))
     found = sinks.get_result(spark, str(tmp_path / "store"), 2)
     assert [r.v for r in found.collect()] == ["b"]
-    assert "EqualTo(doc_id,2)" in found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,2)" in plan and "PartitionFilters: [isnotnull(bucket" in plan
     assert sinks.get_result(spark, str(tmp_path / "store"), 9).count() == 0
     sinks.write_json(df, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
@@ -121,6 +124,9 @@ def test_external_model_hook(spark):
     score = learn.external_model(load)
     df = spark.createDataFrame([("tiny",), ("much longer",)], "t string")
     assert [r.x.label for r in df.select(score(F.col("t")).alias("x")).collect()] == ["short", "long"]
+    whole = spark.createDataFrame([(1, "x" * 9000), (2, "tiny"), (3, "")], "id int, t string")
+    got = {r.id: r.label for r in learn.score_windows(whole, score, ["id"], "t", width=100, overlap=20).collect()}
+    assert got == {1: "long", 2: "short", 3: "short"}
 
 
 def test_stream_analyses_each_file_once(spark, tmp_path):
@@ -145,4 +151,7 @@ def test_stream_of_rows_collapses_copies(spark, tmp_path):
                           "id bigint, text string").repartition(3).write.parquet(src)
     drops.stream_table(spark, src, "id bigint, text string", str(tmp_path / "st"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "st")).count() == 31
-    assert drops.checkpoint_root(spark, "/x") == spark.conf.get("spark.checkpoint.dir", "/x")
+    keyed = str(tmp_path / "keyed")
+    for check in "ab":  # a second run finds every row in its bucket of the store
+        drops.stream_table(spark, src, "id bigint, text string", keyed, str(tmp_path / check), key="id", files_per_batch=2).awaitTermination()
+        assert sorted(r.doc_id for r in spark.read.parquet(keyed).collect()) == list(range(90))
