@@ -215,11 +215,28 @@ def detect_clauses(sections: DataFrame, rules=CLAUSE_RULES, id_col: str = "doc_i
         .alias("risk_factors"))
 
 
-def clause_risks(clauses: DataFrame, risks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Link every clause to the findings of the same section that it is known to carry."""
-    left = clauses.select(id_col, "section_id", "clause_key", F.explode("risk_factors").alias("rule_key"))
-    right = risks.select(id_col, "section_id", "rule_key", "finding_id")
-    return left.join(right, [id_col, "section_id", "rule_key"], "left")
+def clause_risks(sections: DataFrame, clauses=CLAUSE_RULES, risks=RISK_RULES, id_col: str = "doc_id",
+                 include_long_headers: bool = False) -> DataFrame:
+    """Link every clause to the findings of the same section that it is known to carry.
+
+    Both kinds of rules are looked up in one pass, inside the section's row; nothing is shuffled.
+    """
+    text, low = F.col("text"), F.col("low")
+    eligible = F.col("word_count") >= MIN_RISK_WORDS
+    if not include_long_headers:
+        eligible = eligible & ~F.col("is_header")
+    rows = sections.select(id_col, "section_id", "text", eligible.alias("eligible"), F.lower("text").alias("low"))
+    rows = rows.select(id_col, "section_id", "text", fired_rules(clauses, text, low).alias("clause_nos"), F.when(
+        F.col("eligible"), fired_rules(risks, text, low)).otherwise(F.array().cast("array<int>")).alias("risk_nos"))
+    rows = rows.select(id_col, "section_id", "text", "risk_nos", F.explode("clause_nos").alias("no"))
+    factors = pick(F.col("no"), [F.array(*[F.lit(f) for f in r.risk_factors]).cast("array<string>") for r in clauses])
+    rows = rows.select(id_col, "section_id", "text", "risk_nos", pick(F.col("no"), [F.lit(r.key) for r in clauses]).alias("clause_key"),
+                       F.explode(factors).alias("rule_key"))
+    at = lookup(F.col("rule_key"), {r.key: str(i) for i, r in enumerate(risks)}).cast("int")
+    rows = rows.withColumn("rule_no", F.when(F.array_contains("risk_nos", at), at))
+    found = F.when(F.col("rule_no").isNotNull(), pick(F.col("rule_no"), [first_pattern(r, text) for r in risks]))
+    return rows.select(id_col, "section_id", "rule_key", "clause_key",
+                       F.concat("rule_key", F.lit("_"), found.cast("string")).alias("finding_id"))
 
 
 def detect_terms(rows: DataFrame, keys: list[str], terms=LEGAL_TERMS) -> DataFrame:

@@ -15,6 +15,7 @@ from clauselake.operators import detect, evaluate, extract, learn, privacy, segm
 from clauselake.operators.metadata import METADATA_COLUMNS, contract_types, with_metadata
 from clauselake.plans import pipeline
 from clauselake.plans.corpus import base, clause_sql, contracts
+from clauselake.rules.custom import rules_from_dataframe
 from clauselake.rules.vocab import RISK_CLASSES, SECTION_LABELS
 from clauselake.sources import sinks
 from clauselake.sources.clause_csv import read_clause_csv
@@ -279,6 +280,41 @@ def risk_union_predictions(spark, sf):
                        "matched_text", "context", "confidence", "method")
 
 
+OWN_RULES = (
+    ("price_named", "Named price", "financial", "medium", ["price of .{1,40} dollars", "invoice"], [], []),
+    ("meeting_duty", "Duty to meet", "operational", "low", ["will meet"], ["never meet"], ["meetings", "record"]),
+)
+
+
+def own_rules(spark):
+    """Two rules of one's own, as a table."""
+    rows = spark.createDataFrame(OWN_RULES, "key string, name string, category string, severity string, patterns array<string>, "
+                                            "exceptions array<string>, context array<string>")
+    return rules_from_dataframe(rows.selectExpr("*", "'' AS impact", "'' AS explanation", "'' AS suggestion"))
+
+
+def custom_rules(spark, sf):
+    """Responses by rules of one's own."""
+    r = pipeline.response(contracts(spark, sf), rules=own_rules(spark))
+    return flat(r.select("doc_id", "risks_count", F.array_join(F.array_sort(F.transform(
+        F.map_entries("risks_by_category"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), "|").alias("categories")))
+
+
+def analyze_with_predictions(spark, sf):
+    """Counts of the responses and metrics of one analysis with model findings, next to its risk rows."""
+    docs = contracts(spark, sf)
+    staging = scratch(spark, "analysis")
+    bodies = pipeline.stage(pipeline.prepare(docs), staging)
+    guesses = predictions(pipeline.section_rows(bodies))
+    tables = pipeline.analyze(docs, predictions=guesses, prepared=bodies)
+    found = tables["risks"].groupBy("doc_id").agg(F.count("*").alias("risk_rows"))
+    responses = tables["responses"].select("doc_id", "risks_count")
+    measured = tables["metrics"].select("doc_id", F.col("risks_count").alias("measured_risks"), "unique_risk_categories")
+    return (responses.join(measured, "doc_id").join(found, "doc_id", "left")
+            .select("doc_id", F.col("risks_count").cast("bigint").alias("risks_count"), "measured_risks", "unique_risk_categories",
+                    F.coalesce("risk_rows", F.lit(0)).cast("bigint").alias("risk_rows")))
+
+
 def clause_rows(spark, sf):
     return detect.detect_clauses(contract_sections(spark, sf))
 
@@ -290,7 +326,7 @@ def clauses(spark, sf):
 
 
 def clause_risk_link(spark, sf):
-    return detect.clause_risks(clause_rows(spark, sf), risk_rows(spark, sf))
+    return detect.clause_risks(contract_sections(spark, sf))
 
 
 def term_rows(spark, sf):
@@ -350,8 +386,7 @@ def overall_summaries(spark, sf):
 
 
 def key_points(spark, sf):
-    docs = cleaned_contracts(spark, sf)
-    return summary.key_points(extract.extract(docs, "clean"), contract_sections(spark, sf))
+    return pipeline.key_point_rows(cleaned_contracts(spark, sf), "clean")
 
 
 def contract_basics(spark, sf):
@@ -548,4 +583,5 @@ QUERIES = {f.__name__: f for f in (
     results_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
     training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
-    evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, result_store, result_lookup)}
+    evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, result_store, result_lookup,
+    custom_rules, analyze_with_predictions)}

@@ -25,7 +25,6 @@ from clauselake.sources.sinks import nested
 
 # Fixed value: the summary of a document that could not be analysed.
 FAILED_SUMMARY = "Analysis failed"
-CATEGORIES = tuple(dict.fromkeys(r.category for r in RISK_RULES))
 
 
 def prepare(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -97,15 +96,18 @@ def _key_points(found: Column, secs: Column) -> Column:
         k["extracted_value"].alias("extracted_value")))
 
 
-def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepared: DataFrame | None = None) -> DataFrame:
-    """One wide row per document; parts that are not selected are pruned before they are computed."""
+def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepared: DataFrame | None = None,
+                  rules=RISK_RULES) -> DataFrame:
+    """One wide row per document; parts that are not selected are pruned before they are computed.
+
+    `risks` number the given rules."""
     rows = with_metadata(prepare(docs, cfg) if prepared is None else prepared)
     ok = F.col("status") == "success"
     points = _key_points(F.col("answers"), F.col("secs"))
     return (rows
             .withColumn("paras", segment.paragraph_array(F.col("body")))
             .withColumn("sections_count", F.size("paras"))
-            .withColumns({"secs": segment.section_array(F.col("paras"), cfg.hierarchical), "fired": _fired(F.col("paras"), cfg)})
+            .withColumns({"secs": segment.section_array(F.col("paras"), cfg.hierarchical), "fired": _fired(F.col("paras"), cfg, rules)})
             .withColumn("body_low", F.lower("body"))
             .withColumn("answers", extract.answers(F.col("body"), F.col("body_low")))
             .withColumn("risks", F.flatten(F.transform("fired", lambda rules, i: F.transform(rules, lambda r: F.struct(
@@ -117,12 +119,12 @@ def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepa
             .drop("paras", "body_low", "fired", "plain_summary"))
 
 
-def category_counts(risks: Column) -> Column:
+def category_counts(risks: Column, rules=RISK_RULES) -> Column:
     """Map category -> number of findings, categories in rule order, only those that occur."""
     counts = F.array(*[F.struct(
         F.lit(c).alias("key"),
-        F.size(F.filter(risks, lambda r: r["rule_no"].isin(*[i for i, x in enumerate(RISK_RULES) if x.category == c])))
-        .alias("value")) for c in CATEGORIES])
+        F.size(F.filter(risks, lambda r: r["rule_no"].isin(*[i for i, x in enumerate(rules) if x.category == c])))
+        .alias("value")) for c in dict.fromkeys(r.category for r in rules)])
     return F.map_from_entries(F.filter(counts, lambda e: e["value"] > 0))
 
 
@@ -131,12 +133,12 @@ def basics(contract_type: Column, sections: Column, body: Column) -> Column:
                     summary.length_class(body).alias("estimated_length"))
 
 
-def response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), rules=RISK_RULES) -> DataFrame:
     """The answer to one analysis request, one row per document."""
-    return response_of(analysis_rows(docs, cfg))
+    return response_of(analysis_rows(docs, cfg, rules=rules), rules=rules)
 
 
-def response_of(a: DataFrame, *more) -> DataFrame:
+def response_of(a: DataFrame, *more, rules=RISK_RULES) -> DataFrame:
     """The response columns of analysed documents, followed by `more`."""
     top, count = F.slice("key_points", 1, 3), F.col("sections_count")
     ok = F.col("status") == "success"
@@ -148,33 +150,34 @@ def response_of(a: DataFrame, *more) -> DataFrame:
                  F.col("contract_type_confidence").alias("type_confidence")).alias("metadata"),
         F.struct(F.col("summary").alias("overall"), top.alias("key_points"),
                  basics(F.col("contract_type"), count, F.col("body")).alias("basics")).alias("summary"),
-        F.size("risks").alias("risks_count"), category_counts(F.col("risks")).alias("risks_by_category"),
+        F.size("risks").alias("risks_count"), category_counts(F.col("risks"), rules).alias("risks_by_category"),
         count.alias("sections_count"), "has_pii", "pii_types", "errors", F.array().cast("array<string>").alias("warnings"), *more)
 
 
-def digest(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Short row: type, counts, summary and the first five risks."""
-    a = analysis_rows(docs, cfg)
+def digest(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), rules=RISK_RULES, most: int | None = 5) -> DataFrame:
+    """Short row: type, counts, summary and the first `most` risks (None: all)."""
+    a = analysis_rows(docs, cfg, rules=rules)
 
     def shown(r):
         no = r["rule_no"]
 
         def of(attribute):
-            return F.element_at(F.array(*[F.lit(getattr(x, attribute)) for x in RISK_RULES]), no + 1)
+            return F.element_at(F.array(*[F.lit(getattr(x, attribute)) for x in rules]), no + 1)
 
         return F.struct(of("name").alias("name"), of("severity").alias("level"), of("category").alias("category"),
                         of("explanation").alias("description"))
 
     return a.select("doc_id", "contract_type", F.size("risks").alias("risks_count"),
                     "sections_count", "summary",
-                    F.transform(F.slice("risks", 1, 5), shown).alias("key_risks"))
+                    F.transform(F.col("risks") if most is None else F.slice("risks", 1, most), shown).alias("key_risks"))
 
 
-def metrics(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepared: DataFrame | None = None) -> DataFrame:
+def metrics(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepared: DataFrame | None = None,
+            rules=RISK_RULES) -> DataFrame:
     """Evaluation metrics, one row per document, failed documents included."""
-    a = analysis_rows(docs, cfg, prepared)
+    a = analysis_rows(docs, cfg, prepared, rules)
     categories = F.array_distinct(F.transform("risks", lambda r: F.element_at(
-        F.array(*[F.lit(x.category) for x in RISK_RULES]), r["rule_no"] + 1)))
+        F.array(*[F.lit(x.category) for x in rules]), r["rule_no"] + 1)))
     ok = F.col("status") == "success"
     return a.select(
         "doc_id", F.col("file_name").alias("filename"), "contract_type",
@@ -205,12 +208,16 @@ def risk_findings(prepared: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), p
 
 
 def analyze(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), predictions: DataFrame | None = None,
-            model_answers: DataFrame | None = None, staging: str | None = None) -> dict[str, DataFrame]:
-    """All result tables.  Give a `staging` path when several of them are read.
+            model_answers: DataFrame | None = None, staging: str | None = None, rules=RISK_RULES,
+            prepared: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All result tables.  Give a `staging` path when several of them are read, or documents `prepared` before.
 
     The switches choose plan branches here, on the driver; an unread table costs nothing.
+    Predictions, model answers and rules of your own count in every table: responses and
+    metrics then take their findings and key points from the tables of the same call.
     """
-    prepared = stage(prepare(docs, cfg), staging)
+    if prepared is None:
+        prepared = stage(prepare(docs, cfg), staging)
     good = prepared.where("status = 'success'")
     rows = section_rows(good, cfg)
     seen = good if cfg.entities_on_redacted else good.drop("body").withColumnRenamed("clean", "body")
@@ -223,21 +230,56 @@ def analyze(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), predictions
         "sections": segment.segment(good.select("doc_id", F.col("body").alias("text")), cfg.hierarchical),
         "entities": segment.sections(seen.select("doc_id", F.col("body").alias("text")), cfg.hierarchical)
         .select("doc_id", "section_id", legal_entities(F.col("text")).alias("entities")).where(F.size("entities") > 0),
-        "risks": detect.with_risk_advice(risk_findings(good, cfg, predictions)),
+        "risks": detect.with_risk_advice(risk_findings(good, cfg, predictions, rules), rules),
         "clauses": detect.detect_clauses(rows),
         "terms": detect.detect_terms(rows, ["doc_id", "section_id"]),
         "extracted": found.select("doc_id", "type_order", "ext_type", "value", "confidence", "method"),
         "key_points": summary.key_points(found, rows),
         "section_summaries": summary.section_summaries(summary.important_sections(
             good.select("doc_id", F.col("body").alias("text")), cfg.hierarchical)),
-        "responses": response_of(analysis_rows(docs, cfg, prepared)),
-        "metrics": metrics(docs, cfg, prepared),
+        "responses": response_of(analysis_rows(docs, cfg, prepared, rules), rules=rules),
+        "metrics": metrics(docs, cfg, prepared, rules),
     }
+    if predictions is not None and cfg.model_risks:
+        out["responses"], out["metrics"] = _recounted(out["responses"], out["metrics"], out["risks"])
+    if model_answers is not None:
+        out["responses"] = _with_key_points(out["responses"], out["key_points"])
     if cfg.cross_references:
         out["cross_references"] = xref.reference_lists(xref.cross_references(rows))
     return out
 
 
+def _recounted(responses: DataFrame, measured: DataFrame, risks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Responses and metrics with the counts of the risk table; only counts are joined."""
+    per = risks.groupBy("doc_id", "risk_category").agg(F.count("*").alias("n"), F.min("risk_id").alias("first"))
+    listed = F.array_sort(F.collect_list(F.struct("first", F.col("risk_category").alias("key"), F.col("n").cast("int").alias("value"))))
+    counts = per.groupBy("doc_id").agg(F.sum("n").alias("_n"), F.count("*").alias("_kinds"), F.map_from_entries(F.transform(
+        listed, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))).alias("_map"))
+    none = F.create_map().cast("map<string,int>")
+    both = responses.join(counts, "doc_id", "left").withColumns({
+        "risks_count": F.coalesce("_n", F.lit(0)).cast("int"), "risks_by_category": F.coalesce("_map", none)})
+    rows = measured.join(counts, "doc_id", "left").withColumns({
+        "risks_count": F.coalesce("_n", F.lit(0)), "unique_risk_categories": F.coalesce("_kinds", F.lit(0))})
+    return both.select(*responses.columns), rows.select(*measured.columns)
+
+
+def _with_key_points(responses: DataFrame, points: DataFrame) -> DataFrame:
+    """Responses whose summary shows the first three of the given key points."""
+    fields = ("point_id", "category", "description", "importance", "context", "extracted_value")
+    first = points.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(*fields))), 1, 3).alias("_points"))
+    out = responses.join(first, "doc_id", "left")
+    shown = F.coalesce("_points", F.slice(F.col("summary.key_points"), 1, 0))
+    return out.withColumn("summary", F.col("summary").withField("key_points", shown)).select(*responses.columns)
+
+
+def key_point_rows(docs: DataFrame, text: str = "clean", cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Key points, one per row, worked out inside the document's row."""
+    rows = docs.select("doc_id", F.col(text).alias("t"), F.lower(text).alias("low"))
+    rows = rows.select("doc_id", extract.answers(F.col("t"), F.col("low")).alias("answers"),
+                       segment.section_array(segment.paragraph_array(F.col("t")), cfg.hierarchical).alias("secs"))
+    return rows.select("doc_id", F.inline(_key_points(F.col("answers"), F.col("secs"))))
+
+
 def detailed_response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), staging: str | None = None) -> DataFrame:
     """The response plus nested sections, risks, answers and references of each document.
 

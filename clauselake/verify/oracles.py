@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from clauselake.plans.catalog import (ANSWERS_SQL, DOCUMENT_NAME_SQL, PREDICTIONS_SQL, WIDE_COLUMNS)
+from clauselake.plans.catalog import ANSWERS_SQL, DOCUMENT_NAME_SQL, OWN_RULES, PREDICTIONS_SQL, WIDE_COLUMNS
 from clauselake.plans.corpus import DUCK_BASE, q
 from clauselake.rules import training as tr
+from clauselake.rules.model import RiskRule
 from clauselake.rules.risk import RISK_RULES
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import (ALL_EXTRACTION_TYPES, DEFAULT_RISK_CLASS, EXTRACTION_QUESTIONS, RISK_CLASSES,
                                     SECTION_LABELS)
-from clauselake.verify.duck import clean, sql, strip, words
+from clauselake.verify.duck import clean, finds, sql, strip, words
 
 
 def values(table: str, rows, *names: str) -> str:
@@ -17,6 +18,24 @@ def values(table: str, rows, *names: str) -> str:
     return f"(VALUES {body}) {table}({', '.join(names)})"
 
 
+def _custom_rules() -> str:
+    rules = [RiskRule(k, n, c, s, tuple(p), tuple(e), tuple(x)) for k, n, c, s, p, e, x in OWN_RULES]
+    found = finds(rules, "(SELECT * FROM bsecs WHERE word_count >= 10 AND NOT is_header)", "rule_key", "finding",
+                  lambda r: {"risk_category": q(r.category)})
+    return sql("SELECT doc_id, coalesce(n, 0)::BIGINT AS risks_count, coalesce(c, '') AS categories FROM body LEFT JOIN (SELECT doc_id, "
+               "sum(n) AS n, string_agg(risk_category || '=' || n, '|' ORDER BY risk_category) AS c FROM (SELECT doc_id, risk_category, "
+               f"count(*) AS n FROM ({found}) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)", "body", "bsecs")
+
+
+def _analyze_with_predictions(graded: str) -> str:
+    return sql("SELECT doc_id, coalesce(n, 0)::BIGINT AS risks_count, coalesce(n, 0)::BIGINT AS measured_risks, coalesce(c, 0)::BIGINT AS "
+               "unique_risk_categories, coalesce(n, 0)::BIGINT AS risk_rows FROM body LEFT JOIN (SELECT doc_id, count(*) AS n, "
+               "count(DISTINCT risk_category) AS c FROM (SELECT doc_id, risk_category FROM brisks UNION ALL SELECT g.doc_id, g.risk_category "
+               f"FROM {graded.replace('FROM secs', 'FROM bsecs')} g JOIN bsecs s USING (doc_id, section_id) WHERE s.word_count >= 10 AND NOT "
+               "s.is_header AND NOT EXISTS (SELECT 1 FROM brisks r WHERE r.doc_id = g.doc_id AND r.section_id = g.section_id AND "
+               "r.rule_key = g.label)) GROUP BY doc_id) USING (doc_id)", "body", "brisks", "bsecs")
+
+
 def _answers(provisions) -> str:
     """Long (doc_id, name, provision, answer) over the provisions the wide table has."""
     return " UNION ALL ".join(
@@ -220,6 +239,8 @@ def build() -> dict[str, str]:
         "error_documents": "SELECT CASE WHEN text <> '' THEN 'success' ELSE 'error' END AS status, count(*) AS n, "
                            "sum(CASE WHEN text <> '' THEN 0 ELSE 1 END)::BIGINT AS errors FROM documents "
                            "FULL JOIN (SELECT c_custkey AS doc_id FROM customer) USING (doc_id) GROUP BY 1",
+        "custom_rules": _custom_rules(),
+        "analyze_with_predictions": _analyze_with_predictions(graded),
         "stream_analyze": sql("SELECT m.doc_id, m.status, t.word_count, m.has_pii, m.sections_count, m.risks_count FROM metrics m "
                               "JOIN meta t USING (doc_id)", "metrics",
                               contracts="SELECT doc_id, 'document.txt' AS file_name, text FROM documents"),
