@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.shared import mixed, slices
+from clauselake.llm.shared import mixed, slices, written
 
 ORDER = 5
-SAMPLE_CHARS = 3_000_000
+SAMPLE_CHARS = 2_000_000
 CALIBRATION_SHARE = 0.2
 CACHE_WORDS = 150_000
 # a mean over n letters may lie this much over the square root of n above the limit
@@ -144,6 +144,9 @@ def fit_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = OR
         out.scores[k] = shorter + np.where(hit[:, None], out.backoffs[k - 1][at], 0)
         for j, lang in enumerate(langs):
             out.scores[k][np.searchsorted(out.grams[k], tables[lang, k][0]), j] = tables[lang, k][2]
+    for table in (out.scores, out.backoffs):
+        for k in table:
+            table[k] = table[k].astype(np.float32)
     return out
 
 
@@ -198,7 +201,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
             .where(~held_out(F.col(id_col)))
             .select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
-    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars"))
+    # a written table has a known size, so the optimizer sends it to the texts while it is small, and not the texts to it
+    sizes = written(rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars")), "language-sizes")
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.lit(float(sample_chars)) * (1 + CALIBRATION_SHARE) / F.greatest("chars", F.lit(1))
     chosen = (rows.join(sizes, "lang").withColumn("place", place / F.least(rate, F.lit(1.0))).where("place < 1")
