@@ -18,17 +18,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clauselake.llm.shared import bucket_count, slices, utf8, written
+from clauselake.llm.shared import bucket_count, slices, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 200_000
 CACHE_PARTS = 300_000
+SLICE_BYTES = 6 << 20
 PIECES = "id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -37,52 +38,85 @@ PLAIN = re.compile(r"[\x21-\x7e\xa1-\u024f]+")
 PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+class Remembered:
+    """A mapping of bounded size in two generations, so that what is used often stays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Keys that are not known; known ones are young afterwards."""
+        for k in keys & self.old.keys():
+            self.young[k] = self.old.pop(k)
+        return list(keys - self.young.keys())
+
+
 class WordIds:
     """Token ids of texts by a word tokenizer, each distinct part of a word encoded once.
 
     The tokenizer drops white space and never joins across it, so the ids of a
     text are those of its words one after the other; it lower-cases words and
     cuts them into letters, digits and other signs, so the ids of a plain word
-    are those of these parts.  Other words are encoded whole.
+    are those of these parts.  Other words are encoded whole.  Parts are
+    remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        cut, whole = {}, []
-        for w in words:
-            text = w.decode()
-            low = text.lower()
-            if PLAIN.fullmatch(text) and len(low) == len(text) and "<|" not in text:
-                cut[w] = PART.findall(low)
-            else:
-                whole.append(w)
-        known = self.parts
-        new = list({p for ps in cut.values() for p in ps if p not in known})
+        self.parts = Remembered(CACHE_PARTS)
+
+    def parts_of(self, word: bytes) -> tuple[bytes, ...]:
+        """The parts of a word, lower-cased; none if the word has to be encoded whole."""
+        if word.isalpha():
+            return (word.lower(),)
+        if word[:-1].isalpha() and word[-1:] in (b".", b","):
+            return word[:-1].lower(), word[-1:]
+        text = word.decode()
+        low = text.lower()
+        if PLAIN.fullmatch(text) and len(low) == len(text) and "<|" not in text:
+            return tuple(p.encode() for p in PART.findall(low))
+        return ()
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        self.parts.age()
+        cut = [self.parts_of(w) for w in words]
+        known = self.parts.young
+        new = self.parts.missing({p for parts in cut for p in parts})
         for at in range(0, len(new), 1 << 13):
             some = new[at:at + (1 << 13)]
-            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            coded = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
             ids = np.array(coded.ids, "<u4").tobytes()
             ends = [4 * x for x in np.searchsorted(np.array(coded.word_ids), np.arange(len(some)), "right").tolist()]
             known.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-        for w, ps in cut.items():
-            self.words[w] = b"".join([known[p] for p in ps])
-        for w in whole:
-            self.words[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def packed(self, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, then `end_id`."""
-        for cache, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
-            if len(cache) > most:
-                cache.clear()
-        known, words = self.words, [t.split() for t in texts]
-        self.learn(list({w for ws in words for w in ws if w not in known}))
+        return [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) if parts else np.array(
+            self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w, parts in zip(words, cut)]
+
+    def packed(self, texts: pa.Array, end_id: int = END_ID) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, then `end_id`; null counts as empty.
+
+        Arrow splits the texts and numbers the distinct words; the ids of all
+        words are put together by their numbers.
+        """
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        length = np.array([len(x) // 4 for x in ids], np.int64)
+        start = np.cumsum(length) - length
+        word = coded.indices.to_numpy()
+        size = length[word]
+        before = np.cumsum(size) - size
+        table = np.frombuffer(b"".join(ids), "<u4")
+        tokens = table[np.repeat(start[word] - before, size) + np.arange(int(size.sum()))]
+        bound = np.append(before, len(tokens))[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         end = np.array([end_id], "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) + end for ws in words]
+        return [tokens[a:b].tobytes() + end for a, b in zip(bound, bound[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -100,9 +134,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(tokenizer)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             rows = []
-            for doc, packed in zip(part.column("id").to_pylist(), words.packed(utf8(part.column("text")))):
+            for doc, packed in zip(part.column("id").to_pylist(), words.packed(part.column("text"))):
                 for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                     ids = packed[at:at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(ids) // 4, ids))

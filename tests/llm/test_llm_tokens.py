@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def random_texts(n, seed=1):
 def test_word_ids_equal_the_tokenizer():
     lib, own = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
     texts = ODD + random_texts(400) + [t or "" for _, t in llm_cases.texts()]
-    for text, ids in zip(texts, own.packed([t.encode() for t in texts])):
+    for text, ids in zip(texts, own.packed(pa.array(texts, pa.string()))):
         assert np.frombuffer(ids, "<u4").tolist() == [*lib.encode(text, add_special_tokens=False).ids, 0]
 
 
