@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from clauselake.llm.shared import mixed, slices, written
 ORDER = 5
 SAMPLE_CHARS = 2_000_000
 CALIBRATION_SHARE = 0.2
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 # a mean over n letters may lie this much over the square root of n above the limit
 SHORT_ALLOWANCE = 4.0
 UNKNOWN = "und"
@@ -157,11 +158,18 @@ def _by_suffix(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Identifier:
-    """A model and, per language, the usual and the largest cross-entropy that is accepted."""
+    """A model, sent to the tasks once, and the largest accepted cross-entropy of each language.
 
-    model: Model
+    The model's size is bounded by the fitted sample.
+    """
+
+    shared: Broadcast
     limits: np.ndarray
 
+    @property
+    def model(self) -> Model:
+        return self.shared.value
+
     def read(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
         """Each slice with one (lang, score, cross-entropy, letters, rejected) per text."""
         index: dict[str, int] = {}
@@ -232,7 +240,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         codes = np.frombuffer("".join(part["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, order)
         counts[lang] = (codes, part["n"].to_numpy())
     model = fit_counts(counts, order)
-    open_end = Identifier(model, np.full(len(model.langs), np.inf))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    open_end = Identifier(shared, np.full(len(model.langs), np.inf))
     cross = (predict(chosen.where("apart").select(F.lit(0).alias("doc_id"), "text"), open_end)
              .where("letters > 0").groupBy("lang_pred")
              .agg(F.percentile_approx("entropy", [0.5, 0.999], 10000).alias("q")).collect())
@@ -240,7 +249,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for r in cross:
         usual, high = r["q"]
         limits[model.langs.index(r["lang_pred"])] = high + max(high - usual, 0.5)
-    return Identifier(model, limits)
+    return Identifier(shared, limits)
 
 
 def predict(docs: DataFrame, fitted: Identifier | None, id_col: str = "doc_id", text_col: str = "text",
@@ -250,13 +259,11 @@ def predict(docs: DataFrame, fitted: Identifier | None, id_col: str = "doc_id",
     Null texts and texts without a letter are `und` with score 0 and rejected;
     so are all if nothing could be fitted.  Only the text is read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the fitted sample
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value is None:
+        if fitted is None:
             read = ((part, [(UNKNOWN, 0.0, None, 0, True)] * part.num_rows) for part in slices(batches, "text"))
         else:
-            read = shared.value.read(batches, "text")
+            read = fitted.read(batches, "text")
         for part, found in read:
             lang, score, entropy, letters, rejected = zip(*found)
             yield pa.RecordBatch.from_arrays(

@@ -28,8 +28,8 @@ from clauselake.llm.shared import bucket_count, slices, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_PARTS = 300_000
-SLICE_BYTES = 6 << 20
+CACHE_PARTS = 200_000
+SLICE_BYTES = 4 << 20
 PIECES = "id bigint, piece int, start bigint, length bigint, ids binary"
 
 

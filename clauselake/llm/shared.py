@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _LEFT: list[tuple[SparkSession, str]] = []
 
