@@ -25,17 +25,28 @@ SPECIAL_ASCII = {
 }
 
 
+# Spelling of Greek and Cyrillic small letters; capital letters are derived.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t y ph ch ps o".split()))
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёєіїґ",
+                    "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia io ie i i g".split()))
+MARKS = "\u0300-\u036f"
+
+
 def ascii_tables() -> tuple[str, str, list[tuple[str, str]]]:
     """(from, to) strings for one-to-one characters and pairs for the rest.
 
-    Accented Latin letters are derived from their Unicode decomposition.
+    Accented and joined letters are derived from their Unicode decomposition.
     """
+    letters = {k: v for table in (GREEK, CYRILLIC) for c, v in table.items() for k, v in ((c, v), (c.upper(), v.capitalize()))}
+    spelled = {}
+    for code in (*range(0x00C0, 0x0250), *range(0x0370, 0x0530)):
+        if unicodedata.category(chr(code)).startswith("L"):
+            parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+            plain = letters.get(chr(code)) or "".join(letters.get(c, c) for c in parts)
+            if plain.isascii():
+                spelled[chr(code)] = plain
     singles, many = {}, []
-    for code in range(0x00C0, 0x0250):
-        base = unicodedata.normalize("NFKD", chr(code))[0]
-        if chr(code) not in SPECIAL_ASCII and base.isascii() and base.isalpha():
-            singles[chr(code)] = base
-    for char, plain in SPECIAL_ASCII.items():
+    for char, plain in (spelled | SPECIAL_ASCII).items():
         if len(plain) == 1:
             singles[char] = plain
         else:
@@ -72,17 +83,24 @@ def is_ascii(text: Column) -> Column:
 
 
 def to_ascii(text: Column) -> Column:
+    """ASCII spelling of Latin, Greek and Cyrillic letters and of common signs; what has no spelling stays as it is."""
     source, target, many = ascii_tables()
 
+    def replaced(t, pairs):
+        return reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), pairs, t)
+
+    latin = [p for p in many if not "\u0370" <= p[0] < "\u0530"]
+    other = [p for p in many if "\u0370" <= p[0] < "\u0530"]
+
     def spell_out(t):
-        longer = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), many, t)
-        return F.when(is_ascii(t), t).otherwise(F.regexp_replace(longer, r"[^\x00-\x7F]", ""))
+        longer = let(replaced(t, latin), lambda x: F.when(x.rlike("[\u0370-\u052f]"), replaced(x, other)).otherwise(x))
+        return F.when(is_ascii(t), t).otherwise(F.regexp_replace(longer, f"[{MARKS}]", ""))
 
     return F.when(is_ascii(text), text).otherwise(let(F.translate(text, source, target), spell_out))
 
 
 def clean_text(text: Column) -> Column:
-    """ASCII, no control characters, single spaces, no page-number lines, trimmed.
+    """ASCII spelling where there is one, no control characters, single spaces, no page-number lines, trimmed.
 
     Every pattern starts with one rare character, so the matcher leaves most
     positions after a single comparison.

@@ -20,7 +20,6 @@ from clauselake.rules.vocab import KEY_POINT_SECTION_TYPES, SUMMARY_SECTION_TYPE
 # Length limits, section counts and the fallback sentence.
 MAX_WORDS, MIN_WORDS = 150, 30
 MIN_SUMMARY_CHARS = 50
-LONG_TEXT = 10000
 MAX_SECTIONS, KEY_SECTIONS = 10, 5
 NO_SUMMARY = "Contract analysis could not generate a summary."
 TERM_WORDS = whole_words(w for t in LEGAL_TERMS for w in t.words)

@@ -63,20 +63,9 @@ def _fired(paras: Column, cfg: AnalysisConfig, rules=RISK_RULES) -> Column:
     return F.transform(paras, rules_of)
 
 
-def _overall_summary(body: Column, secs: Column) -> Column:
-    important = F.filter(secs, lambda s: summary.is_important(s["type"], s["words"]))
-    by_length = F.transform(important, lambda s: F.struct((-s["words"]).alias("k"), s["idx"].alias("idx"),
-                                                          s["title"].alias("title"), s["text"].alias("text")))
-    in_order = F.transform(important, lambda s: F.struct(F.lit(0).alias("k"), s["idx"].alias("idx"),
-                                                         s["title"].alias("title"), s["text"].alias("text")))
-    chosen = F.when(F.size(important) > summary.MAX_SECTIONS,
-                    F.slice(F.array_sort(by_length), 1, summary.MAX_SECTIONS)).otherwise(in_order)
-    parts = F.filter(F.transform(chosen, lambda s: F.struct(s["title"].alias("t"),
-                                                            summary.summarize(s["text"]).alias("s"))),
-                     lambda x: x["s"] != "")
-    joined = F.array_join(F.transform(parts, lambda x: F.concat(x["t"], F.lit(": "), x["s"])), " ")
-    source = F.when(F.length(body) > summary.LONG_TEXT, joined).otherwise(body)
-    return F.coalesce(F.nullif(summary.summarize(source), F.lit("")), F.lit(summary.NO_SUMMARY))
+def _overall_summary(body: Column) -> Column:
+    """Summary of the whole text, however long."""
+    return F.coalesce(F.nullif(summary.summarize(body), F.lit("")), F.lit(summary.NO_SUMMARY))
 
 
 def _key_points(found: Column, secs: Column) -> Column:
@@ -112,7 +101,7 @@ def analysis_rows(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), prepa
             .withColumn("answers", extract.answers(F.col("body"), F.col("body_low")))
             .withColumn("risks", F.flatten(F.transform("fired", lambda rules, i: F.transform(rules, lambda r: F.struct(
                 i.alias("idx"), r.alias("rule_no"))))))
-            .withColumn("plain_summary", _overall_summary(F.col("body"), F.col("secs")))
+            .withColumn("plain_summary", _overall_summary(F.col("body")))
             .withColumn("summary", F.when(ok, summary.with_prefix(F.col("plain_summary"), F.col("contract_type")))
                         .otherwise(F.lit(FAILED_SUMMARY)))
             .withColumn("key_points", F.when(ok, points).otherwise(F.slice(points, 1, 0)))

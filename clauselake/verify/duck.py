@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from clauselake.functions.text import ascii_tables
+from clauselake.functions.text import MARKS, ascii_tables
 from clauselake.plans.corpus import duck_contracts, q
 from clauselake.rules.clause import CLAUSE_RULES
 from clauselake.rules.privacy import ENTITY_PATTERNS, PII_PATTERNS
@@ -48,7 +48,7 @@ def clean(x: str) -> str:
     out = f"translate({x}, {q(source)}, {q(target)})"
     for char, plain in many:
         out = f"replace({out}, {q(char)}, {q(plain)})"
-    for pattern, new in ((r"[^\x00-\x7F]", ""), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "), (" +", " "),
+    for pattern, new in ((f"[{MARKS}]", ""), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "), (" +", " "),
                          (r"\n{3,}", "\n\n"), ("([a-z])([A-Z])", r"\1 \2"), (r"\n\s*\d+\s*\n", "\n"),
                          (r"(?i)\n\s*Page\s+\d+\s+of\s+\d+\s*\n", "\n")):
         out = f"regexp_replace({out}, {q(pattern)}, {q(new)}, 'g')"
@@ -270,9 +270,7 @@ def _section_summaries(source: str) -> str:
 
 
 def _overall() -> str:
-    source = ("(SELECT b.doc_id, CASE WHEN length(b.body) > 10000 THEN coalesce(j.joined, '') ELSE b.body END AS text FROM body b "
-              "LEFT JOIN (SELECT doc_id, string_agg(title || ': ' || summary, ' ' ORDER BY position) AS joined "
-              "FROM bsums GROUP BY doc_id) j USING (doc_id))")
+    source = "(SELECT doc_id, body AS text FROM body)"
     return f"""
     SELECT m.doc_id, CASE WHEN m.contract_type = 'general' OR contains(lower(s), m.contract_type) THEN s
                      ELSE 'This ' || m.contract_type || ' agreement ' || lower(s[1]) || s[2:] END AS summary
@@ -338,7 +336,7 @@ CTES = {
     "bimportant": (lambda: _important("bsecs"), ("bsecs",)),
     "sums": (lambda: _section_summaries("important"), ("important",)),
     "bsums": (lambda: _section_summaries("bimportant"), ("bimportant",)),
-    "overall": (_overall, ("body", "bsums", "meta")),
+    "overall": (_overall, ("body", "meta")),
     "points": (lambda: _key_points("secs", "extracted"), ("secs", "extracted")),
     "bpoints": (lambda: _key_points("bsecs", "bextracted"), ("bsecs", "bextracted")),
     "metrics": (_metrics, ("meta", "body", "bsecs", "brisks")),

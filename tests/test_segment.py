@@ -32,7 +32,7 @@ def test_inline_agreement(agreement):
         (True, "3", 1, "sec-000"), (False, None, 0, "sec-008"), (False, None, 0, "sec-008")]
     assert rows[0].children_ids == ["sec-001", "sec-002", "sec-005", "sec-008"]
     assert rows[2].children_ids == ["sec-003", "sec-004"] and rows[1].children_ids == []
-    assert rows[1].title == "Section 2" and rows[5].title == "TERM AND TERMINATION"
+    assert rows[1].title == "Section 2" and rows[5].title == "HOW IT RUNS"
 
 
 def test_offsets_slice_back(agreement):

@@ -22,7 +22,8 @@ def test_cleaning_follows_the_steps(spark):
 
 
 def test_ascii_spelling(spark):
-    assert one(spark, "Straße “Zürich” – œuvre… 中x", tx.clean_text) == 'Strasse "Zurich" - oeuvre... x'
+    assert one(spark, "Straße “Zürich” – œuvre… 中x", tx.clean_text) == 'Strasse "Zurich" - oeuvre... 中x'
+    assert one(spark, "Договор и ΑΒΓ Άλφα, ĳ Щука ё é", tx.clean_text) == "Dogovor i ABG Alpha, ij Shchuka io e"
 
 
 def test_adjacent_page_numbers_keep_the_second(spark):
