@@ -149,8 +149,23 @@ def _constant(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text (null: empty) and the digests of every row, as 64-bit little-endian numbers one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            packed = [np.array(digests(t), "<u8").tobytes() for t in utf8(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array(packed, pa.binary())],
+                                             ["id", "text", "digests"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).mapInArrow(
+        run, "id bigint, text string, digests binary")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and the text of the next row in descending order of ids; after the last row comes the first.
+    """id, text and digests of each row, and text and digests of the next row in descending order of ids; after the last
+    row comes the first.
 
     Ids are dealt into ranges at approximate quantiles, one per bucket; the
     first row of a range is copied to the range before it, so each range finds
@@ -164,10 +179,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     quantiles = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     cuts = sorted(set(quantiles or []), reverse=True)  # at most one per bucket
     above = F.size(F.filter(_constant(cuts), lambda c: c >= owner)) if cuts else F.lit(0)
-    placed = rows.withColumn("range", above)
+    placed = rows.select("id", "mark").withColumn("range", above)
     heads = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max(F.struct(owner, "mark")).alias("top")).collect()}
+    rows = with_digests(docs, id_col, text_col).withColumns({"mark": F.xxhash64("text"), "range": above})
     if not heads:
-        return rows.select("id", "text", F.col("text").alias("next_text"))
+        return rows.select("id", "text", "digests", F.col("text").alias("next_text"), F.col("digests").alias("next_digests"))
     used = sorted(heads)
     before = {r: used[i - 1] for i, r in enumerate(used)}
     known = [[heads[r][0] if r in heads else 0 for r in range(len(cuts) + 1)],
@@ -176,9 +192,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = F.struct(F.col("range").cast("bigint").alias("range"), F.lit(0).alias("copy"))
     head = (top_owner == owner) & (top_mark == F.col("mark"))
     both = F.array(own, F.struct(to.alias("range"), F.lit(1).alias("copy")))
-    dealt = placed.select("id", "text", "mark", F.explode(F.when(head, both).otherwise(F.array(own))).alias("at"))
+    dealt = rows.select("id", "text", "digests", "mark", F.explode(F.when(head, both).otherwise(F.array(own))).alias("at"))
     span = Window.partitionBy("at.range").orderBy("at.copy", owner.desc(), F.desc("mark"))
-    return dealt.withColumn("next_text", F.lead("text").over(span)).where("at.copy = 0").select("id", "text", "next_text")
+    follows = {"next_text": F.lead("text").over(span), "next_digests": F.lead("digests").over(span)}
+    return dealt.withColumns(follows).where("at.copy = 0").select("id", "text", "digests", *follows)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -187,23 +204,23 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - cut), F.substring(following, F.lit(1), cut))
 
 
-def compare_versions(rows: DataFrame, id_col: str = "id", first: str = "text", second: str = "edited", other: str = "next_text",
-                     cells: int = CELLS, carry: tuple[str, ...] = ()) -> DataFrame:
+def compare_versions(rows: DataFrame, id_col: str = "id", first: str = "digests", second: str = "edited",
+                     other: str = "next_digests", cells: int = CELLS, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns in `carry`, the fingerprints of two versions, and the likeness of the first to the second and to
     another text.
 
-    Null texts are empty; two empty texts are alike.
+    The first and the other are given by their digests, the second by its text;
+    only that text goes through the tasks' Python.  A null text is empty; two
+    empty texts are alike.
     """
 
+    def unpacked(column: pa.Array) -> list[list[int]]:
+        return [np.frombuffer(x or b"", "<u8").tolist() for x in column.to_pylist()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, list[int]] = (b"", digests(b""))
-        for part in slices(batches, "a"):
-            a, b, c = [], [], []
-            for x, y, z in zip(*(utf8(part.column(k)) for k in "abc")):
-                a.append(last[1] if x == last[0] else digests(x))
-                b.append(digests(y))
-                last = (z, digests(z))
-                c.append(last[1])
+        for part in slices(batches, "b"):
+            a, c = (unpacked(part.column(k)) for k in "ac")
+            b = [digests(t) for t in utf8(part.column("b"))]
             shown = [pa.array([base64.b64encode(s).decode() for s in sketch_bytes(sets, cells)]) for sets in (a, b)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(k) for k in kept] + [*shown, pa.array(likeness(a, b)), pa.array(likeness(a, c))],

@@ -25,7 +25,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprint.with_next(read(spark, sf_dir, "documents")).withColumn(
         "edited", fingerprint.edited(F.col("text"), F.col("next_text")))
-    known = pairs.withColumns({"n_chars": F.char_length("text").cast("bigint"),
+    known = pairs.drop("next_text").withColumns({"n_chars": F.char_length("text").cast("bigint"),
                                "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
     return fingerprint.compare_versions(known, carry=("n_chars", "edited_sha256")).withColumnRenamed("id", "doc_id")
 

@@ -91,6 +91,7 @@ def test_fingerprints_of_the_cases(spark):
         cut = len(r.text) // 3
         assert r.edited == r.text[:len(r.text) - cut] + r.next_text[:cut]
     found = fingerprint.compare_versions(known, carry=("text",)).collect()
+    assert all(r.digests == np.array(fingerprint.digests(r.text.encode()), "<u8").tobytes() for r in got)
     by = {}
     for r in found:
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
