@@ -27,8 +27,8 @@ from clauselake.llm.shared import slices
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 250_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
 UNKNOWN_COST = 1e6
 
 
@@ -162,8 +162,9 @@ def _model(path: str, merges: bool) -> Pieces:
     return Pieces(path, merges)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", merges: bool = True) -> DataFrame:
-    """id, text and ids (binary, little-endian unsigned 32 bits) of every row, from its whole text.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", merges: bool = True,
+           carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, ids (binary, little-endian unsigned 32 bits) and the columns in `carry` of every row, from its whole text.
 
     `merges` says that the model file holds a merge (BPE) model, otherwise a
     unigram model.  Null and empty texts have no ids.  Rows that repeat stay.
@@ -175,10 +176,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         known = _model(model, merges)
         for part in slices(batches, "text"):
             ids = known.encode(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array(ids, pa.binary())], ["id", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), *[part.column(c) for c in kept]],
+                                             ["id", "ids", *kept])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id bigint, text string, ids binary").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    kept = rows.columns[2:]
+    found = rows.mapInArrow(run, "id bigint, ids binary" + "".join(f", `{n}` {t}" for n, t in rows.dtypes[2:]))
+    return found.withColumnsRenamed({"id": id_col, **{f"_{c}": c for c in carry}})
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", merges: bool = True) -> DataFrame:

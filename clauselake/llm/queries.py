@@ -48,10 +48,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), model), model)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
+        "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    coded = pieces.decode(pieces.encode(docs, model, carry=("source",)), model)
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
-                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
+                        decoded.alias("decoded_sha256"), (decoded == F.col("source")).alias("restored"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def test_pieces_equal_the_library(spark):
     for text, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text or "")
         assert own.decode(ids) == (text or "")
-    got = pieces.decode(pieces.encode(llm_cases.table(spark), MODEL), MODEL)
+    got = pieces.decode(pieces.encode(llm_cases.table(spark), MODEL, carry=("text", "id")), MODEL)
     want = Counter((i, t, t or "") for i, t in llm_cases.texts())
     assert Counter((r.doc_id, r.text, r.decoded) for r in got.collect()) == want
     assert pieces.decode(pieces.encode(llm_cases.empty(spark), MODEL), MODEL).count() == 0
