@@ -24,6 +24,8 @@ from clauselake.llm.shared import bucket_count, mixed, slices, utf8
 
 CELLS = 12
 GROWTH = 4
+ROOM = 16
+CACHE_WORDS = 50_000
 HASHES = 3
 CUT = 8
 SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
@@ -55,7 +57,7 @@ _WORDS: dict[bytes, int] = {}
 def hash_of(word: bytes) -> int:
     found = _WORDS.get(word)
     if found is None:
-        if len(_WORDS) > 200_000:
+        if len(_WORDS) > CACHE_WORDS:
             _WORDS.clear()
         found = _WORDS[word] = xxhash.xxh3_64_intdigest(word) & 0xFFFF
     return found
@@ -120,7 +122,11 @@ def sketch_bytes(sets: list[list[int]], cells: int = CELLS) -> list[bytes]:
 
 
 def differences(left: list[list[int]], right: list[list[int]], cells: int = CELLS) -> np.ndarray:
-    """How many digests the sets of each pair do not share, by subtracting and peeling sketches; larger ones on failure."""
+    """How many digests the sets of each pair do not share, by subtracting and peeling sketches; larger ones on failure.
+
+    Sketches grow up to ROOM cells for each digest of a pair, where peeling fails
+    by chance only; such a pair is compared digest by digest.
+    """
     out = np.zeros(len(left), np.int64)
     todo = np.arange(len(left))
     size = cells
@@ -132,7 +138,12 @@ def differences(left: list[list[int]], right: list[list[int]], cells: int = CELL
                  np.concatenate([np.ones(len(a), np.int64), -np.ones(len(b), np.int64)]))
         found, whole = made.peel()
         out[todo[whole]] = found[whole]
-        todo, size = todo[~whole], size * GROWTH
+        size *= GROWTH
+        left_over = todo[~whole]
+        full = np.array([size > ROOM * (len(left[i]) + len(right[i])) + ROOM * cells for i in left_over], bool)
+        for i in left_over[full]:
+            out[i] = len(set(left[i]) ^ set(right[i]))
+        todo = left_over[~full]
     return out
 
 
@@ -218,7 +229,7 @@ def compare_versions(rows: DataFrame, id_col: str = "id", first: str = "digests"
         return [np.frombuffer(x or b"", "<u8").tolist() for x in column.to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "b"):
+        for part in slices(batches, "b", 1 << 18):
             a, c = (unpacked(part.column(k)) for k in "ac")
             b = [digests(t) for t in utf8(part.column("b"))]
             shown = [pa.array([base64.b64encode(s).decode() for s in sketch_bytes(sets, cells)]) for sets in (a, b)]
