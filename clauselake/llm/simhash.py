@@ -142,15 +142,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return marked.join(wide, "fp").select(F.col("id").alias(id_col), "fp", "mark", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group the row with the smallest id stays.
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with the smallest id of each of their `groups` (id, mark, component_id).
 
     Of rows that share this id the one with the smallest text hash stays, once.
     Null ids come last.
     """
-    groups = near_groups(docs, id_col, text_col)
     owner = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID))
     group = F.coalesce("component_id", F.lit(LAST_ID))
     stay = (groups.where(owner == group).groupBy(owner.alias("_owner")).agg(F.min("mark").alias("_mark")))
     marked = docs.withColumns({"_owner": owner, "_mark": text_mark(F.col(text_col))})
     return marked.join(stay, ["_owner", "_mark"]).dropDuplicates(["_owner", "_mark"]).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group the row with the smallest id stays (see `one_of_each`)."""
+    return one_of_each(docs, near_groups(docs, id_col, text_col), id_col, text_col)
