@@ -74,9 +74,9 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
     each = rows.distinct().select("owner", "mark", "s", F.element_at(roles, F.col("s.kind")).alias("role"))
     cells = F.sequence(F.floor(F.col("s.start") / scope) - 1, F.floor(F.col("s.end") / scope) + 1)
     asking = each.where(F.col("s.kind").isin(*NEEDS)).withColumn("cell", F.explode(cells))
-    # one part of each role and cell at either end is enough to tell whether the scope is met
-    giving = (each.where("role != 'place'").withColumn("cell", F.explode(F.array_distinct(F.array(
-        F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope)))))
+    # a part stands in every cell it covers: a weak part may lie in the middle of a long one
+    held = F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))
+    giving = (each.where("role != 'place'").withColumn("cell", F.explode(held))
         .select("owner", "mark", "cell", F.col("role").alias("gives"), F.col("s.start").alias("from"), F.col("s.end").alias("to"),
                 F.col("s.kind").alias("by")))
     near = ((F.col("from") - F.col("s.end") <= scope) & (F.col("s.start") - F.col("to") <= scope)
