@@ -204,17 +204,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     At most about `sample_chars` code points per language are counted and as
     much again times CALIBRATION_SHARE is kept for the limits; rows are chosen
-    by hash, whole.
+    by hash, whole.  Of every language with two rows or more, one row at least
+    is counted and another kept for the limits: if the sample has none, the
+    beginning of the row with the largest or smallest hash.
     """
     rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
             .where(~held_out(F.col(id_col)))
             .select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
     # a written table has a known size, so the optimizer sends it to the texts while it is small, and not the texts to it
-    sizes = written(rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars")), "language-sizes")
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = written(rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars"), F.min(place).alias("first"), F.max(place).alias("last")),
+                    "language-sizes")
     rate = F.lit(float(sample_chars)) * (1 + CALIBRATION_SHARE) / F.greatest("chars", F.lit(1))
-    chosen = (rows.join(sizes, "lang").withColumn("place", place / F.least(rate, F.lit(1.0))).where("place < 1")
-              .select("lang", "text", (F.col("place") < CALIBRATION_SHARE / (1 + CALIBRATION_SHARE)).alias("apart")))
+    sampled = F.col("place") < F.least(rate, F.lit(1.0))
+    apart = (F.col("place") < F.least(rate, F.lit(1.0)) * (CALIBRATION_SHARE / (1 + CALIBRATION_SHARE))) | (F.col("place") == F.col("first"))
+    chosen = (rows.join(sizes, "lang").withColumn("place", place).where(sampled | F.col("place").isin(F.col("first"), F.col("last")))
+              .select("lang", F.when(sampled, F.col("text")).otherwise(F.left("text", F.lit(sample_chars))).alias("text"),
+                      (apart & (F.col("place") != F.col("last"))).alias("apart")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
