@@ -13,6 +13,7 @@ gives the library's ids.
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -63,18 +64,30 @@ class Pieces:
         self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
-        """Pieces of a short string by merging the best pair, leftmost first among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Pieces of a string by merging the best pair, leftmost first among equals; pairs wait in a heap."""
+        parts, n = list(text), len(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting: list[tuple[float, int, int, int]] = []
+
+        def offer(left: int, right: int) -> None:
+            if left >= 0 and right < n:
+                score = self.score.get(parts[left] + parts[right])
+                if score is not None:
+                    heapq.heappush(waiting, (-score, left, right, len(parts[left]) + len(parts[right])))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while waiting:
+            _, left, right, size = heapq.heappop(waiting)
+            if after[left] != right or not parts[left] or len(parts[left]) + len(parts[right]) != size:
+                continue  # one of the two has been merged with another since
+            parts[left], parts[right] = parts[left] + parts[right], ""
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+            offer(before[left], left)
+            offer(left, after[left])
+        return [p for p in parts if p]
 
     def follows(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' strings afresh gives the two pieces."""
