@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clauselake.llm import chat, fingerprint, language, linededup, packing, pieces, quality, secrets, simhash, suffix
+from clauselake.llm import align, bpe, chat, fingerprint, language, linededup, packing, pieces, quality, secrets, simhash, suffix
 from clauselake.sources.tables import read
 
 
@@ -86,6 +86,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(read(spark, sf_dir, "documents"), *files).withColumnRenamed("digest", "groups_sha256")
+
+
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), file), file)
+    told = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(told.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op5_sentencepiece, op6_line_dedup,
-                                       op7_suffix_dedup, op8_secret_scans, op9_language_id, op10_simhash_near_dedup)}
+                                       op7_suffix_dedup, op8_secret_scans, op9_language_id, op10_simhash_near_dedup,
+                                       op11_cross_tokenizer_alignment, op12_bpe_encoding)}
 QUERIES["pipeline"] = corpus_pipeline.run
