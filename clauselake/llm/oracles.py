@@ -73,4 +73,23 @@ def secret_scans(scope: int = secrets.SCOPE) -> str:
     FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"""
 
 
-SQL = {"op4_chat_formatting": chat_formatting(), "op6_line_dedup": LINE_DEDUP, "op8_secret_scans": secret_scans()}
+RANKED_SEARCH = r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+f AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // terms) AS m FROM n, s),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s WHERE term IN (SELECT term FROM q)
+      GROUP BY term, docs),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+SQL = {"op13_ranked_search": RANKED_SEARCH, "op4_chat_formatting": chat_formatting(), "op6_line_dedup": LINE_DEDUP, "op8_secret_scans": secret_scans()}

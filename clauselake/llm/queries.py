@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clauselake.llm import align, bpe, chat, fingerprint, language, linededup, packing, pieces, quality, secrets, simhash, suffix
+from clauselake.llm import align, bpe, chat, fingerprint, language, linededup, packing, pieces, quality, ranked, secrets, simhash, suffix
 from clauselake.sources.tables import read
 
 
@@ -99,7 +99,11 @@ def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op5_sentencepiece, op6_line_dedup,
                                        op7_suffix_dedup, op8_secret_scans, op9_language_id, op10_simhash_near_dedup,
-                                       op11_cross_tokenizer_alignment, op12_bpe_encoding)}
+                                       op11_cross_tokenizer_alignment, op12_bpe_encoding, op13_ranked_search)}
 QUERIES["pipeline"] = corpus_pipeline.run
