@@ -160,31 +160,36 @@ def merge_maps(left: Column, right: Column, levels: int = 1) -> Column:
     return F.map_zip_with(left, right, pick)
 
 
-def prefix_sums(values: Column, block: int = 512) -> Column:
-    """Sum of all earlier elements, per element, of an integer array.
+def prefix_folds(values: Column, fold, zero: int, block: int = 512) -> Column:
+    """`fold` of all earlier elements, per element, of an integer array; `zero` where there are none.
 
-    Sums of whole blocks are folded first, so a very long array does not cost
-    the square of its length.
+    Whole blocks are folded first, so a very long array does not cost the square of its length.
     """
 
     def total(arr):
-        return F.aggregate(arr, F.lit(0), lambda acc, x: acc + x)
+        return F.aggregate(arr, F.lit(zero), fold)
 
     def running(arr, start):
         seed = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(
             arr, seed,
-            lambda acc, x: F.struct((acc["sum"] + x).alias("sum"),
+            lambda acc, x: F.struct(fold(acc["sum"], x).alias("sum"),
                                     F.concat(acc["out"], F.array(acc["sum"])).alias("out")),
             lambda acc: acc["out"])
 
-    def blocks(arr):
-        starts = F.sequence(F.lit(1), F.size(arr), F.lit(block))
-        parts = F.transform(starts, lambda s: F.slice(arr, s, block))
-        offsets = running(F.transform(parts, total), F.lit(0))
+    def cut(arr):
+        return F.transform(F.sequence(F.lit(1), F.size(arr), F.lit(block)), lambda s: F.slice(arr, s, block))
+
+    def blocks(parts):
+        offsets = running(F.transform(parts, total), F.lit(zero))
         return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), offsets.alias("start")),
                                      lambda z: running(z["part"], z["start"])))
 
-    return (F.when(F.size(values) == 0, F.array().cast("array<int>"))
-            .when(F.size(values) <= block, running(values, F.lit(0)))
-            .otherwise(blocks(values)))
+    return let(values, lambda arr: F.when(F.size(arr) == 0, F.array().cast("array<int>"))
+               .when(F.size(arr) <= block, running(arr, F.lit(zero)))
+               .otherwise(let(cut(arr), blocks)))
+
+
+def prefix_sums(values: Column, block: int = 512) -> Column:
+    """Sum of all earlier elements, per element, of an integer array."""
+    return prefix_folds(values, lambda a, x: a + x, 0, block)

@@ -114,7 +114,7 @@ def outline(paras: Column, hierarchical: bool) -> Column:
     return F.transform(paras, of)
 
 
-def parents(lines: Column) -> Column:
+def parents(outline: Column) -> Column:
     """Index of the parent of each line of an outline, or null.
 
     A fold with a stack of open headings, of any depth: a heading closes those
@@ -133,14 +133,18 @@ def parents(lines: Column) -> Column:
         return F.struct(F.when(x["is_header"], more).otherwise(acc["stack"]).alias("stack"),
                         F.concat(acc["out"], F.array(top(above))).alias("out"))
 
-    def block(acc, start):
+    def block(lines, acc, start):
         begin = F.struct(acc["stack"].alias("stack"), F.array().cast("array<int>").alias("out"))
         done = F.aggregate(F.slice(lines, start, BLOCK), begin, step)
         return let(done, lambda d: F.struct(d["stack"].alias("stack"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
-    start = F.struct(empty.alias("stack"), F.array().cast("array<array<int>>").alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(lines), F.lit(BLOCK)), start, block, lambda acc: F.flatten(acc["out"]))
-    return F.when(F.size(lines) == 0, F.array().cast("array<int>")).otherwise(folded)
+    def folded(lines):
+        start = F.struct(empty.alias("stack"), F.array().cast("array<array<int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(lines), F.lit(BLOCK)), start, lambda acc, s: block(lines, acc, s),
+                           lambda acc: F.flatten(acc["out"]))
+
+    # bound once: inside the fold the outline would be worked out again for each block
+    return let(outline, lambda lines: F.when(F.size(lines) == 0, F.array().cast("array<int>")).otherwise(folded(lines)))
 
 
 def children(parent: Column) -> Column:
