@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.functions.text import let
 from clauselake.llm.shared import BLANKS, ascii_lower
 
 MIN_CHARS = 10
@@ -60,10 +61,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = (keys.join(common, ["a", "b"]).where(F.col("owner") > F.col("keeper"))
             .groupBy("owner", "mark").agg(F.collect_set("pos").alias("lost")))
     lines = F.split("body", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("lost", F.array().cast("array<int>")))
+
+    def kept(of: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(of) - 1), F.col("lost"))
+        return F.array_join(F.transform(stay, lambda i: F.get(of, i)), "\n")
+
     return (rows.join(lost, ["owner", "mark"], "left")
             .select(F.col("id").alias(id_col), F.size(lines).cast("bigint").alias("n_lines"),
                     F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
                     F.when(F.col("lost").isNull(), F.col("body"))
-                    .otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias("kept"),
+                    .otherwise(let(lines, kept)).alias("kept"),  # a text is split once, not for each line
                     *[F.col("carried")[c].alias(c) for c in carry]))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.functions.text import let, prefix_sums
+from clauselake.functions.text import let, prefix_folds, prefix_sums
 from clauselake.llm.shared import written
 
 ASSIGN = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -28,6 +28,7 @@ BASE_KINDS = ("assign", "access", "hex")
 NEEDS = {"client": ("key",), "bare": ("id",), "endpoint": ("id", "key")}
 ROLE = {"assign": "key", "access": "id", "hex": None, "client": "id", "bare": "key", "endpoint": "place"}
 SCOPE = 200
+BLOCK = 1024
 
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
@@ -37,11 +38,17 @@ def _spans(text: Column, guard: Column, pattern: str, kind: str, valid=None) ->
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def place(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-        steps = F.transform(found, lambda m, i: (F.get(gaps, i) + F.char_length(m)).cast("int"))
-        return let(prefix_sums(steps), lambda before: F.transform(found, lambda m, i: F.struct(
-            (F.get(before, i) + F.get(gaps, i)).alias("start"), (F.get(before, i) + F.get(steps, i)).alias("end"),
-            F.lit(list(ROLE).index(kind)).alias("rank"), F.lit(kind).alias("kind"), m.alias("found"))))
+        # each array is bound once: inside the lambdas it would be worked out again for every match
+        def step(gaps: Column) -> Column:
+            return F.transform(found, lambda m, i: (F.get(gaps, i) + F.char_length(m)).cast("int"))
+
+        def spans(gaps: Column, steps: Column, before: Column) -> Column:
+            return F.transform(found, lambda m, i: F.struct(
+                (F.get(before, i) + F.get(gaps, i)).alias("start"), (F.get(before, i) + F.get(steps, i)).alias("end"),
+                F.lit(list(ROLE).index(kind)).alias("rank"), F.lit(kind).alias("kind"), m.alias("found")))
+
+        return let(F.transform(F.split(text, pattern, -1), F.char_length), lambda gaps: let(step(gaps), lambda steps: let(
+            prefix_sums(steps), lambda before: spans(gaps, steps, before))))
 
     placed = let(matches, lambda found: F.when(F.size(found) > 0, place(found)))
     if valid is not None:
@@ -114,25 +121,51 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _islands(spans: Column) -> Column:
+    """Start and end of what sorted spans cover; spans that touch are one."""
+
+    def apart(reach: Column) -> Column:
+        """Where a span starts that begins beyond all before it, and how far those reach."""
+        marked = F.transform(spans, lambda s, i: F.when(s["start"] > F.get(reach, i), F.struct(
+            s["start"].alias("start"), F.get(reach, i).alias("before"))))
+        return F.filter(marked, lambda m: m.isNotNull())
+
+    def closed(marks: Column) -> Column:
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.transform(marks, lambda m, i: F.struct(
+            m["start"].alias("start"), F.coalesce(F.get(marks, i + 1)["before"], last).alias("end")))
+
+    ends = F.transform(spans, lambda s: s["end"])
+    return let(prefix_folds(ends, lambda a, x: F.greatest(a, x), -1), lambda reach: let(apart(reach), closed))
+
+
+def _masked(text: Column, islands: Column, mask: str) -> Column:
+    """`text` with each island replaced: cut once into blocks, so that a piece costs what it is long."""
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        part = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(part, start - first * BLOCK + 1, end - start)).otherwise("")
+
+    def joined(blocks: Column, found: Column) -> Column:
+        before = F.transform(found, lambda s, i: piece(blocks, F.when(i == 0, 0).otherwise(F.get(found, i - 1)["end"]), s["start"]))
+        rest = piece(blocks, F.get(found, F.size(found) - 1)["end"], F.char_length(text))
+        return F.concat(F.array_join(before, mask), F.lit(mask), rest)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(blocks, lambda cut: let(islands, lambda found: joined(cut, found)))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
-    """The rows of `docs` with every reported span replaced; spans that overlap become one mask."""
-    spans = (scan(docs, id_col, text_col, scope).select(F.col(id_col).alias("_owner"), F.col("mark").alias("_mark"),
-                                                        in_order(*BASE_KINDS, "weak").alias("_spans"))
-             .where(F.size("_spans") > 0).dropDuplicates(["_owner", "_mark"]))
-    merged = F.aggregate("_spans", F.array().cast("array<struct<start:int,end:int>>"), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    text = F.col(text_col)
-
-    def pieces(m: Column) -> Column:
-        before = F.transform(m, lambda s, i: F.substring(text, F.when(i == 0, 1).otherwise(F.get(m, i - 1)["end"] + 1),
-                                                         s["start"] - F.when(i == 0, 0).otherwise(F.get(m, i - 1)["end"])))
-        last = F.get(m, F.size(m) - 1)["end"]
-        return F.concat(F.array_join(before, mask), F.lit(mask), F.substring(text, last + 1, F.char_length(text)))
-
-    joined = docs.join(spans, (docs[id_col].cast("bigint").eqNullSafe(F.col("_owner")))
-                       & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_mark")), "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), text).otherwise(let(merged, pieces)).alias(c) if c == text_col
-                           else docs[c] for c in docs.columns])
+    """The rows of `docs` with every reported span replaced; spans that overlap or touch become one mask.
+
+    Null and empty texts stay, rows that repeat stay, columns of any name stay as they are.
+    """
+    spans = (scan(docs, id_col, text_col, scope).select(F.col(id_col).alias("owner"), "mark", in_order(*BASE_KINDS, "weak").alias("spans"))
+             .where(F.size("spans") > 0).dropDuplicates(["owner", "mark"]))
+    text = F.col("row")[text_col]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(spans, F.col("row")[id_col].cast("bigint").eqNullSafe(F.col("owner"))
+                       & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("mark")), "left")
+    clean = F.when(F.col("spans").isNull(), text).otherwise(_masked(text, _islands(F.col("spans")), mask))
+    return joined.select(*[(clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

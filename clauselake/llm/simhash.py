@@ -148,11 +148,13 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text
     Of rows that share this id the one with the smallest text hash stays, once.
     Null ids come last.
     """
-    owner = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID))
+    first = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID))
     group = F.coalesce("component_id", F.lit(LAST_ID))
-    stay = (groups.where(owner == group).groupBy(owner.alias("_owner")).agg(F.min("mark").alias("_mark")))
-    marked = docs.withColumns({"_owner": owner, "_mark": text_mark(F.col(text_col))})
-    return marked.join(stay, ["_owner", "_mark"]).dropDuplicates(["_owner", "_mark"]).select(*docs.columns)
+    stay = groups.where(first == group).groupBy(first.alias("owner")).agg(F.min("mark").alias("mark"))
+    row = F.struct(*[docs[c] for c in docs.columns])  # columns of any name stay apart from those of the join
+    marked = docs.select(first.alias("owner"), text_mark(F.col(text_col)).alias("mark"), row.alias("row"))
+    once = marked.join(stay, ["owner", "mark"]).dropDuplicates(["owner", "mark"])
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
