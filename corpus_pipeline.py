@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import language, linededup, nearcopies, packing, secrets
+from clauselake.llm import language, linededup, packing, secrets, simhash
 from clauselake.llm.shared import written
 from clauselake.sources.tables import read
 
@@ -27,8 +27,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word Jaccard of 0.8 or more): the one with the smallest id."""
-    return nearcopies.keep_one(docs.select(*COLUMNS))
+    """One document of each group whose fingerprints link (three words, two bits): the one with the smallest id."""
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
