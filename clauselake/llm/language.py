@@ -69,7 +69,8 @@ def grouped_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     """`grams[k]`/`scores[k]`: sorted hashes and log-probabilities (a column per language) of seen k-grams;
-    `contexts[k]`/`backoffs[k]`: the log weight that a seen context of k letters leaves to shorter ones."""
+    `contexts[k]`/`backoffs[k]`: the log weight that a seen context of k letters leaves to shorter ones;
+    `letters`: what any language has seen, END included: all models are over these and one unknown letter."""
 
     langs: list[str]
     grams: dict[int, np.ndarray]
@@ -77,6 +78,7 @@ class Model:
     contexts: dict[int, np.ndarray]
     backoffs: dict[int, np.ndarray]
     base: np.ndarray
+    letters: np.ndarray
     order: int = ORDER
 
     def score_rows(self, rows: np.ndarray) -> np.ndarray:
@@ -111,7 +113,9 @@ def fit_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = OR
     """Interpolated Kneser-Ney from the distinct full-length grams (rows) and their counts of each language."""
     langs = sorted(counts)
     tables: dict[tuple[str, int], tuple] = {}
-    base = np.zeros(len(langs))
+    letters = np.unique(np.concatenate([rows[:, -1] for rows, _ in counts.values()]))
+    share = 1.0 / (len(letters) + 1)  # the same for all, or a language with few letters would be favoured on those it never saw
+    base = np.full(len(langs), math.log(share))
     for lang in langs:
         rows, c = counts[lang]
         levels = []
@@ -120,8 +124,7 @@ def fit_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = OR
             _, context, context_hash = grouped_rows(rows[:, :-1])
             levels.append((k, rows, c.astype(np.float64), suffix, context, context_hash))
             rows, c = shorter, np.bincount(suffix)
-        lower = np.full(1, 1.0 / (len(levels[-1][1]) + 1))
-        base[langs.index(lang)] = math.log(lower[0])
+        lower = np.full(1, share)
         for k, rows, c, suffix, context, context_hash in reversed(levels):
             ones, twos = (c == 1).sum(), (c == 2).sum()
             discount = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
@@ -130,7 +133,7 @@ def fit_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = OR
             p = (c - discount) / mass[context] + left[context] * lower[suffix if k > 1 else np.zeros(len(c), np.int64)]
             tables[lang, k] = (row_hash(rows), rows, np.log(p), context_hash, np.log(left))
             lower = _by_suffix(rows, p)
-    out = Model(langs, {}, {}, {}, {}, base, order)
+    out = Model(langs, {}, {}, {}, {}, base, letters, order)
     for k in range(1, order + 1):
         rows = np.concatenate([tables[lang, k][1] for lang in langs])
         distinct, _, out.grams[k] = grouped_rows(rows)

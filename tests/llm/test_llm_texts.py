@@ -1,6 +1,6 @@
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -200,18 +200,68 @@ def test_language_on_held_out_rows(spark, fitted):
 
 
 def test_language_probabilities_sum_to_one(fitted):
+    """Over the letters that any language has seen and one unknown letter."""
     model = fitted.model
-    letters = sorted({c for w in ["the", "und", "été", "niño"] for c in w})
-    known = set()
-    for k in range(ord(" "), 0x250):
-        if chr(k).isalpha() and chr(k) == chr(k).lower():
-            known.add(k)
-    for context in ("\x01\x01\x01\x01", "\x01\x01th", "tion", "zzzz"):
-        rows = np.array([[ord(c) for c in context] + [k] for k in sorted(known | {2})], np.uint32)
-        total = np.exp(model.score_rows(rows)).sum(axis=0)
-        # every unseen letter gets the uniform share, so the sum over more letters than were seen is a little above one
-        assert (total > 0.9).all() and (total < 1.5).all()
-    assert letters
+    unknown = next(k for k in range(0x3041, 0x3100) if k not in set(model.letters.tolist()))
+    for context in ("\x01\x01\x01\x01", "\x01\x01th", "tion", "zzzz", "\x01日本語"):
+        rows = np.array([[ord(c) for c in context] + [k] for k in [*model.letters.tolist(), unknown]], np.uint32)
+        assert np.abs(np.exp(model.score_rows(rows)).sum(axis=0) - 1).max() < 1e-4
+
+
+def plain_kneser_ney(words, letters, order=5):
+    """Probability of the last letter of a gram, from dictionaries."""
+    counts = {order: Counter(p[i:i + order] for w in words for p in ["\x01" * (order - 1) + w + "\x02"] for i in range(len(p) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        ones, twos = (sum(n == x for n in c.values()) for x in (1, 2))
+        discount[k] = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
+    mass, kinds = defaultdict(int), Counter()
+    for k, c in counts.items():
+        for g, n in c.items():
+            mass[k, g[:-1]] += n
+            kinds[k, g[:-1]] += 1
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(letters) + 1)
+        if not mass.get((k, gram[:-1])):
+            return p(gram[1:])
+        context = (k, gram[:-1])
+        seen = max(counts[k][gram] - discount[k], 0) / mass[context]
+        return seen + discount[k] * kinds[context] / mass[context] * p(gram[1:])
+
+    return p
+
+
+def test_language_models_equal_plain_dictionaries():
+    texts = {"en": "the other weather is there and then the end of the other thing", "de": "der und die das ist der oder und auch dann da über",
+             "x": "aaa aab ab"}
+    split = {lang: language.words_of(t) for lang, t in texts.items()}
+    counts = {}
+    for lang, words in split.items():
+        rows, n = np.unique(language.grams(words)[0], axis=0, return_counts=True)
+        counts[lang] = (rows, n)
+    model = language.fit_counts(counts)
+    letters = {c for w in split.values() for x in w for c in x} | {"\x02"}
+    assert {chr(c) for c in model.letters} == letters
+    plain = [plain_kneser_ney(split[lang], letters) for lang in model.langs]
+    asked = ["the", "unter", "aab", "zebra", "日", "über"]
+    scores = model.score_words(asked)
+    for word, found in zip(asked, scores):
+        padded = "\x01" * 4 + word + "\x02"
+        want = [sum(np.log(p(padded[i:i + 5])) for i in range(len(word) + 1)) for p in plain]
+        assert np.allclose(found, want, atol=1e-4)
+
+
+def test_language_with_few_letters_is_not_favoured_on_unseen_ones():
+    rows = {lang: np.unique(language.grams(words)[0], axis=0, return_counts=True) for lang, words in {
+        "few": ["aa", "ab", "ba"], "many": ["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dog"]}.items()}
+    model = language.fit_counts(rows)
+    few, many = model.score_words(["zyx"])[0]
+    assert model.langs == ["few", "many"] and many > few
 
 
 def test_language_of_the_cases(spark, fitted):
