@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from clauselake.llm import bpe, queries
-from tests.llm import llm_cases as cases
+import llm_cases as cases
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from clauselake.llm import ranked
-from tests.llm import llm_cases as cases
+import llm_cases as cases
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
