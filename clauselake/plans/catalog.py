@@ -20,6 +20,7 @@ from clauselake.rules.vocab import RISK_CLASSES, SECTION_LABELS
 from clauselake.sources import sinks
 from clauselake.sources.clause_csv import read_clause_csv
 from clauselake.sources.files import from_text_table
+from clauselake.sources.store import Store
 from clauselake.sources.tables import read, spread_scan
 from clauselake.session import shared_root
 from clauselake.streaming import drops
@@ -554,11 +555,23 @@ def stream_analyze(spark, sf):
                                                            "risks_count"))
 
 
+def stream_redelivery(spark, sf):
+    """Every document delivered twice, over three batches: which save stored it, and what it says; nothing is stored twice."""
+    root = scratch(spark, "redelivery")
+    part = F.pmod("doc_id", F.lit(3))
+    for n, parts in enumerate(((0, 1), (1, 2), (2, 0))):
+        read(spark, sf, "documents").select("doc_id", "text").where(part.isin(*parts)).write.parquet(f"{root}/drop/{n}")
+        drops.stream_table(spark, f"{root}/drop/*", "doc_id bigint, text string", f"{root}/store", f"{root}/checkpoint",
+                           key="doc_id", files_per_batch=1 << 30).awaitTermination()
+    rows = spark.read.parquet(f"{root}/store")
+    return flat(rows.select("doc_id", F.col("store_run").alias("delivery"), "status", "word_count", "sections_count", "risks_count"))
+
+
 def result_store(spark, sf):
     """Digests written to a store and read back."""
     root = scratch(spark, "store")
     sinks.save_results(digest(spark, sf), f"{root}/digests", "overwrite")
-    return spark.read.parquet(f"{root}/digests").drop("bucket")
+    return Store(spark, f"{root}/digests").read()
 
 
 def result_lookup(spark, sf):
@@ -583,5 +596,5 @@ QUERIES = {f.__name__: f for f in (
     results_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
     training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
-    evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, result_store, result_lookup,
+    evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, stream_redelivery, result_store, result_lookup,
     custom_rules, analyze_with_predictions)}

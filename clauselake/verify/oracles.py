@@ -244,6 +244,10 @@ def build() -> dict[str, str]:
         "stream_analyze": sql("SELECT m.doc_id, m.status, t.word_count, m.has_pii, m.sections_count, m.risks_count FROM metrics m "
                               "JOIN meta t USING (doc_id)", "metrics",
                               contracts="SELECT doc_id, 'document.txt' AS file_name, text FROM documents"),
+        "stream_redelivery": sql(
+            "SELECT m.doc_id, CASE WHEN m.doc_id % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS delivery, m.status, t.word_count, m.sections_count, "
+            "m.risks_count FROM metrics m JOIN meta t USING (doc_id)", "metrics",
+            contracts="SELECT doc_id, 'document.txt' AS file_name, text FROM documents"),
         "format_ts": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'not a time ' || event_id ELSE strftime(ts, "
                      "'%d/%m/%Y %H:%M') END AS shown FROM events",
         "merge_maps": "SELECT event_id, 'props=' || props || ';type=' || event_type || ';user=hidden' AS merged FROM events",
