@@ -138,7 +138,7 @@ class Store:
         placed = rows.withColumn("store_bucket", id_bucket(F.col(key), bits))
         placed = placed.repartitionByRange(1 << bits, "store_bucket") if bits else placed.coalesce(1)
         (placed.sortWithinPartitions("store_bucket", key).write.mode("overwrite").partitionBy("store_bucket")
-         .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{self.path}/{name}"))
+         .parquet(f"{self.path}/{name}"))
 
     def _merged(self, index: tuple[IndexRun, ...], version: int) -> tuple[IndexRun, ...]:
         """Merge a tier that is full into one run of the next; only ids are read and written."""

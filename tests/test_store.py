@@ -84,19 +84,19 @@ def test_two_writers_do_not_share_a_version(spark, tmp_path):
 
 
 def test_what_a_batch_reads_does_not_grow_with_history(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"), rows_per_bucket=200)
+    store = Store(spark, str(tmp_path / "s"), rows_per_bucket=500)
     ask = spark.createDataFrame([(3,), (10 ** 9,)], "doc_id bigint")
     read, files = [], []
-    for k, n in enumerate((2_000, 20_000, 200_000)):
+    for k, n in enumerate((1_000, 8_000, 64_000)):
         store.save(spark.range(n * 10, n * 11).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("v")))
         paths = store.index_paths(ask, "doc_id")
         read.append(size_of(paths))
         files.append(len(paths))
     index = size_of([f"{store.path}/_ids"])
     assert files == [2, 4, 6]
-    # a bucket of each index run for each id: about as much for 200,000 ids as for 2,000
+    # a bucket of each index run for each id: about as much for 64,000 ids as for 1,000
     assert read[2] - read[1] < 3 * read[0] and read[2] < index / 20
-    assert [r.doc_id for r in store.unseen(ask.union(spark.createDataFrame([(200_005,)], "doc_id bigint"))).collect()] == [3, 10 ** 9]
+    assert [r.doc_id for r in store.unseen(ask.union(spark.createDataFrame([(640_005,)], "doc_id bigint"))).collect()] == [3, 10 ** 9]
 
 
 def test_index_runs_are_merged(spark, tmp_path, monkeypatch):
