@@ -193,3 +193,13 @@ def prefix_folds(values: Column, fold, zero: int, block: int = 512) -> Column:
 def prefix_sums(values: Column, block: int = 512) -> Column:
     """Sum of all earlier elements, per element, of an integer array."""
     return prefix_folds(values, lambda a, x: a + x, 0, block)
+
+
+def runs(rows: Column, same) -> Column:
+    """The slices of a sorted array whose neighbours are the same by `same(a, b)`, in linear time."""
+
+    def cut(arr):
+        marks = F.filter(F.transform(arr, lambda x, i: F.when((i == 0) | ~same(F.get(arr, i - 1), x), i)), lambda i: i.isNotNull())
+        return let(marks, lambda at: F.transform(at, lambda a, k: F.slice(arr, a + 1, F.coalesce(F.get(at, k + 1), F.size(arr)) - a)))
+
+    return let(rows, cut)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clauselake.functions.lookup import lookup, pick
-from clauselake.functions.text import prefix_sums
+from clauselake.functions.text import let, prefix_sums, runs
+from clauselake.operators.segment import section_id as segment_id
 from clauselake.rules.clause import CLAUSE_RULES
 from clauselake.rules.model import Probe, any_of, java_pattern
 from clauselake.rules.prefilter import needles
@@ -190,6 +191,55 @@ def union_model_risks(rule_risks: DataFrame, sections: DataFrame, predictions: D
             .drop("source", "rule_no"))
 
 
+def risk_array(found: Column, tree: Column, words: Column, model: Column | None = None, rules=RISK_RULES, threshold: float = 0.6,
+               include_long_headers: bool = False) -> Column:
+    """The numbered risks of one document inside its row: rule findings (idx, rule_no), then a model's.
+
+    `model` holds (section_id, label, confidence) of the document, `tree` its
+    sections, `words` their numbers of words.  As in `union_model_risks`, a
+    model finding counts on the sections that rules may look at, if it is sure
+    enough and no rule has found the same there.
+    """
+
+    def of(no, attribute):
+        return F.element_at(F.array(*[F.lit(getattr(x, attribute)) for x in rules]), no + 1)
+
+    def by_rule(r):
+        no = r["rule_no"]
+        return F.struct(of(no, "name").alias("risk_name"), of(no, "severity").alias("risk_level"), of(no, "category").alias("risk_category"),
+                        segment_id(r["idx"]).alias("section_id"), of(no, "explanation").alias("description"),
+                        F.lit(1.0).alias("confidence"), of(no, "suggestion").alias("suggested_changes"), F.lit("rule_based").alias("method"))
+
+    def by_model(e):
+        key = e["key"]
+        return F.struct(key.alias("risk_name"), lookup(key, {k: s for k, (_, s) in RISK_CLASSES.items()}, DEFAULT_RISK_CLASS[1]).alias("risk_level"),
+                        lookup(key, {k: c for k, (c, _) in RISK_CLASSES.items()}, DEFAULT_RISK_CLASS[0]).alias("risk_category"),
+                        segment_id(e["idx"]).alias("section_id"), lookup(key, {r.key: r.explanation for r in rules}).alias("description"),
+                        (-e["minus"]).alias("confidence"), lookup(key, {r.key: r.suggestion for r in rules}).alias("suggested_changes"),
+                        F.lit("ml").alias("method"))
+
+    def fresh(sections):
+        def usable(m, i):
+            s = F.get(sections, i)
+            open_to = (F.get(words, i) >= MIN_RISK_WORDS) & (s["section_id"] == m["section_id"])
+            return open_to if include_long_headers else open_to & ~s["is_header"]
+
+        told = F.transform(model, lambda m: F.struct(F.substring(m["section_id"], 5, 9).try_cast("int").alias("idx"), m.alias("m")))
+        good = F.filter(told, lambda x: (x["m"]["confidence"] >= threshold) & F.coalesce(usable(x["m"], x["idx"]), F.lit(False)))
+        mine = F.transform(found, lambda r: F.struct(r["idx"].alias("idx"), of(r["rule_no"], "key").alias("key"), F.lit(0).alias("given"),
+                                                     F.lit(-1.0).alias("minus")))
+        given = F.transform(good, lambda x: F.struct(x["idx"].alias("idx"), x["m"]["label"].alias("key"), F.lit(1).alias("given"),
+                                                     (-x["m"]["confidence"]).alias("minus")))
+        both = runs(F.array_sort(F.concat(mine, given)), lambda a, b: (a["idx"] == b["idx"]) & (a["key"] == b["key"]))
+        return F.transform(F.flatten(F.filter(both, lambda run: F.get(run, 0)["given"] == 1)), by_model)
+
+    listed = F.transform(found, by_rule)
+    if model is not None:
+        listed = F.when(model.isNull(), listed).otherwise(F.concat(listed, let(tree, fresh)))
+    return F.transform(listed, lambda r, i: F.struct(F.format_string("risk-%03d", i).alias("risk_id"), *[r[c].alias(c) for c in (
+        "risk_name", "risk_level", "risk_category", "section_id", "description", "confidence", "suggested_changes", "method")]))
+
+
 def count_by_category(risks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return risks.groupBy(id_col, "risk_category").agg(F.count("*").alias("n"))
 

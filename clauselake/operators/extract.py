@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.lookup import lookup
-from clauselake.functions.text import strip
+from clauselake.functions.text import let, strip
 from clauselake.rules.model import java_pattern
 from clauselake.rules.prefilter import needles
 from clauselake.rules.vocab import ALL_EXTRACTION_TYPES, EXTRACTION_PATTERNS, EXTRACTION_QUESTIONS, EXTRACTION_TYPES
@@ -69,6 +69,28 @@ def merge_answers(extracted: DataFrame, model: DataFrame, id_col: str = "doc_id"
                     F.when(better, F.lit("ml")).otherwise(F.col("method")).alias("method")))
 
 
+def merged_answers(found: Column, model: Column, chars: Column) -> Column:
+    """`merge_answers` inside the document's row: answers of the document and array of a model's (ext_type, value, confidence).
+
+    Of several usable model answers of one type the surest counts, of equals the first by its text.
+    """
+    order = F.array_sort(F.transform(
+        F.filter(model, lambda m: (m["value"] != "") & (m["confidence"] >= MIN_MODEL_CONFIDENCE)),
+        lambda m: F.struct(m["ext_type"].alias("ext_type"), (-m["confidence"]).alias("minus"), m["value"].alias("value"))))
+
+    def row(a, usable):
+        def choose(best):
+            weak = (a["method"] == "none") | (a["confidence"] < TRUSTED)
+            better = best.isNotNull() & weak & (chars >= MIN_MODEL_TEXT) & ((a["method"] == "none") | (-best["minus"] > a["confidence"]))
+            return F.struct(a["ext_type"].alias("ext_type"), F.when(better, best["value"]).otherwise(a["value"]).alias("value"),
+                            F.when(better, -best["minus"]).otherwise(a["confidence"]).alias("confidence"),
+                            F.when(better, F.lit("ml")).otherwise(a["method"]).alias("method"))
+
+        return let(F.get(F.filter(usable, lambda m: m["ext_type"] == a["ext_type"]), 0), choose)
+
+    return F.when(model.isNull(), found).otherwise(let(order, lambda usable: F.transform(found, lambda a: row(a, usable))))
+
+
 def questions(docs: DataFrame, text: str = "body", types=ALL_EXTRACTION_TYPES, id_col: str = "doc_id") -> DataFrame:
     """(document, type, question, text) rows to hand to an answer model."""
     return (docs.select(id_col, F.col(text).alias("text"),

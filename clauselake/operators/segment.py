@@ -212,3 +212,24 @@ def section_array(paras: Column, hierarchical: bool) -> Column:
             section_type(p, s["low"], s["words"]).alias("type"))
 
     return F.transform(F.transform(paras, basics), finish)
+
+
+def section_tree(secs: Column, hierarchical: bool = True) -> Column:
+    """The section table of one document as an array, from its `section_array`: what `segment` says of each section,
+    offsets left out, without leaving the document's row."""
+
+    def whole(paras, lines):
+        def zipped(parent, kids):
+            return F.transform(secs, lambda s, i: F.struct(
+                i.alias("para_idx"), section_id(i).alias("section_id"), s["title"].alias("title"), s["text"].alias("text"),
+                s["type"].alias("section_type"), F.get(lines, i)["is_header"].alias("is_header"), F.get(lines, i)["level"].alias("level"),
+                (F.when(F.get(parent, i).isNotNull(), section_id(F.get(parent, i)))).alias("parent_id"),
+                F.transform(F.get(kids, i), section_id).alias("children_ids")))
+
+        if not hierarchical:
+            none = F.transform(paras, lambda p: F.lit(None).cast("int"))
+            return zipped(none, F.transform(paras, lambda p: F.array().cast("array<int>")))
+        return let(parents(lines), lambda parent: let(children(parent), lambda kids: zipped(parent, kids)))
+
+    texts = F.transform(secs, lambda s: s["text"])
+    return let(texts, lambda paras: let(outline(paras, hierarchical), lambda lines: whole(paras, lines)))

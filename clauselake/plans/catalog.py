@@ -416,9 +416,61 @@ def digest(spark, sf):
         "key_risks", lambda r: F.concat_ws("/", r["name"], r["level"], r["category"])), "|").alias("key_risks")))
 
 
+RESULT_SCHEMA = (
+    "doc_id bigint, status string, summary struct<overall: string>, risks_count bigint, sections_count bigint, "
+    "sections array<struct<section_id: string, section_type: string, level: int, is_header: boolean, parent_id: string, "
+    "children_ids: array<string>, text: string>>, risks array<struct<risk_id: string, section_id: string, risk_name: string, "
+    "risk_level: string, risk_category: string, confidence: double, method: string>>, extracted_data array<struct<ext_type: string, "
+    "value: string, method: string>>, cross_references array<struct<section_id: string, target_section_ids: array<string>>>")
+
+
+def flat_results(rows: DataFrame) -> DataFrame:
+    """JSON documents written, read back and told in one line for each nested part."""
+    def listed(column, *fields):
+        def told(x):
+            return F.concat_ws(":", *[F.coalesce(f(x).cast("string"), F.lit("")) for f in fields])
+
+        return F.array_join(F.transform(column, told), "|").alias(column)
+
+    def field(name):
+        return lambda x: x[name]
+
+    def joined(name):
+        return lambda x: F.array_join(x[name], ",")
+
+    folder = scratch(rows.sparkSession, "results")
+    sinks.write_results(rows, folder)
+    return sinks.read_json(rows.sparkSession, folder, RESULT_SCHEMA).where("corrupt_record is null").select(
+        "doc_id", "status", F.col("summary.overall").alias("overall"), "risks_count", "sections_count",
+        listed("sections", *map(field, ("section_id", "section_type", "level", "is_header", "parent_id")), joined("children_ids"),
+               lambda x: F.char_length(x["text"])),
+        listed("risks", *map(field, ("risk_id", "section_id", "risk_name", "risk_level", "risk_category", "method")),
+               lambda x: F.round(x["confidence"] * 100).cast("int")),
+        listed("extracted_data", *map(field, ("ext_type", "value", "method"))),
+        listed("cross_references", field("section_id"), joined("target_section_ids")))
+
+
 def results_json(spark, sf):
-    rows = pipeline.detailed_response(contracts(spark, sf), staging=scratch(spark, "prepared"))
-    return rows.select("doc_id", F.to_json(F.struct(*rows.columns)).alias("json"))
+    """Every agreement's full result as one JSON document, read back."""
+    return flat_results(sinks.results_json(pipeline.detailed_response(contracts(spark, sf))))
+
+
+def results_json_models(spark, sf):
+    """The same with a model's findings and answers in it."""
+    docs = contracts(spark, sf)
+    bodies = pipeline.stage(pipeline.prepare(docs), scratch(spark, "bodies"))
+    guesses = predictions(pipeline.section_rows(bodies))
+    return flat_results(sinks.results_json(pipeline.detailed_response(docs, predictions=guesses, model_answers=model_answers(docs))))
+
+
+def metrics_json(spark, sf):
+    """Metrics of the documents written as JSON lines and read back by a stated schema, next to lines that are none."""
+    folder = scratch(spark, "metrics")
+    rows = pipeline.metrics(from_text_table(documents(spark, sf), "doc_id", "text"))
+    sinks.write_json(rows, folder)
+    other = read(spark, sf, "documents").where("doc_id % 50 = 0").select(F.concat(F.lit("no record of "), F.col("doc_id").cast("string")))
+    other.write.mode("append").text(folder)
+    return sinks.read_json(spark, folder, ", ".join(f"{n} {t}" for n, t in rows.dtypes))
 
 
 def training_risk(spark, sf):
@@ -593,7 +645,7 @@ QUERIES = {f.__name__: f for f in (
     risks, risk_advice, risk_by_category, risk_top5, risk_type_matrix, risk_union_predictions, clauses, clause_risk_link, terms,
     terms_in_order, glossary, cross_references, reference_lists, extract_info, extract_merge, extract_questions,
     important_sections, section_summaries, overall_summaries, key_points, contract_basics, response, digest,
-    results_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
+    results_json, results_json_models, metrics_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
     training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
     evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, stream_redelivery, result_store, result_lookup,

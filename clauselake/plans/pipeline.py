@@ -21,7 +21,6 @@ from clauselake.operators.privacy import with_pii, without_pii
 from clauselake.rules.risk import RISK_RULES
 from clauselake.rules.vocab import KEY_POINT_SECTION_TYPES
 from clauselake.sources.files import with_status
-from clauselake.sources.sinks import nested
 
 # Fixed value: the summary of a document that could not be analysed.
 FAILED_SUMMARY = "Analysis failed"
@@ -269,33 +268,48 @@ def key_point_rows(docs: DataFrame, text: str = "clean", cfg: AnalysisConfig = A
     return rows.select("doc_id", F.inline(_key_points(F.col("answers"), F.col("secs"))))
 
 
-def detailed_response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), staging: str | None = None) -> DataFrame:
-    """The response plus nested sections, risks, answers and references of each document.
+def with_model_columns(docs: DataFrame, predictions: DataFrame | None, model_answers: DataFrame | None) -> DataFrame:
+    """Documents with what models say of them: arrays `model_risks` and `model_answers`, where tables are given.
 
-    Risks and answers are arrays of the document row already; only the section
-    tree and the references are grouped and joined.  With a `staging` path (a
-    shared folder) cleaning and redaction run once and the branches read the table.
+    The tables are grouped by document first; the raw text moves once to meet
+    them, and not at all without them.
     """
-    prepared = stage(prepare(docs, cfg), staging)
-    def shown(r, i):
-        no = r["rule_no"] + 1
+    for table, name, fields in ((predictions, "model_risks", ("section_id", "label", "confidence")),
+                                (model_answers, "model_answers", ("ext_type", "value", "confidence"))):
+        if table is not None:
+            docs = docs.join(table.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias(name)), "doc_id", "left")
+    return docs
 
-        def of(attribute):
-            return F.element_at(F.array(*[F.lit(getattr(x, attribute)) for x in RISK_RULES]), no)
-
-        return F.struct(F.format_string("risk-%03d", i).alias("risk_id"), of("name").alias("risk_name"),
-                        of("severity").alias("risk_level"), of("category").alias("risk_category"),
-                        segment.section_id(r["idx"]).alias("section_id"), of("explanation").alias("description"),
-                        F.lit(1.0).alias("confidence"), of("suggestion").alias("suggested_changes"))
-
-    out = response_of(analysis_rows(docs, cfg, prepared), F.transform("risks", shown).alias("risks"),
-                      F.col("answers").alias("extracted_data"))
-    bodies = prepared.select("doc_id", F.col("body").alias("text"))
-    tree = segment.segment(bodies, cfg.hierarchical).select(
-        "doc_id", "para_idx", "section_id", "title", "text", "section_type", "is_header", "level", "parent_id",
-        "children_ids")
-    out = out.join(nested(tree, ["para_idx"], "sections"), "doc_id", "left")
+
+def detailed_response(docs: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), staging: str | None = None, rules=RISK_RULES,
+                      predictions: DataFrame | None = None, model_answers: DataFrame | None = None) -> DataFrame:
+    """The response plus nested sections, risks, answers and references of each document.
+
+    Everything is put together inside the document's row; no exchange is
+    planned, but for the one that brings predictions (doc_id, section_id, label,
+    confidence) or model answers (doc_id, ext_type, value, confidence) to the
+    documents where such tables are given.  They and rules of your own count in
+    the response, too.  With a `staging` path (a shared folder) the cleaned
+    documents are written there first.
+    """
+    prepared = stage(prepare(with_model_columns(docs, predictions, model_answers), cfg), staging)
+    a = analysis_rows(docs, cfg, prepared, rules)
+    ok = F.col("status") == "success"
+    if model_answers is not None:
+        a = a.withColumn("answers", extract.merged_answers(F.col("answers"), F.col("model_answers"), F.length("body")))
+        points = _key_points(F.col("answers"), F.col("secs"))
+        a = a.withColumn("key_points", F.when(ok, points).otherwise(F.slice(points, 1, 0)))
+    a = a.withColumn("tree", segment.section_tree(F.col("secs"), cfg.hierarchical))
+    given = F.col("model_risks") if predictions is not None and cfg.model_risks else None
+    a = a.withColumn("listed", detect.risk_array(F.col("risks"), F.col("tree"), F.transform("secs", lambda s: s["words"]), given, rules,
+                                                 cfg.risk_threshold, cfg.include_long_headers))
+    nested_parts = [F.col("tree").alias("sections"), F.col("listed").alias("risks"), F.col("answers").alias("extracted_data")]
     if cfg.cross_references:
-        lists = xref.reference_lists(xref.cross_references(segment.sections(bodies, cfg.hierarchical)))
-        out = out.join(nested(lists, ["section_id"], "cross_references"), "doc_id", "left")
-    return out
+        nested_parts.append(xref.reference_array(F.transform("secs", lambda s: s["text"])).alias("cross_references"))
+    out = response_of(a, *nested_parts, rules=rules)
+    if given is None:
+        return out
+    kinds = F.array_distinct(F.transform("risks", lambda r: r["risk_category"]))
+    counts = let(F.col("risks"), lambda listed: F.map_from_entries(F.transform(kinds, lambda k: F.struct(
+        k, F.size(F.filter(listed, lambda r: r["risk_category"] == k))))))
+    return out.withColumns({"risks_count": F.size("risks"), "risks_by_category": counts})

@@ -244,13 +244,13 @@ def _extracted(source: str, text: str) -> str:
             f"AS confidence, CASE WHEN v IS NULL THEN 'none' ELSE 'pattern' END AS method, chars FROM ({' UNION ALL '.join(arms)})")
 
 
-def _references() -> str:
+def _references(source: str) -> str:
     lists = " || ".join(f"regexp_extract_all(text, {ci(p)}, 1)" for p in REFERENCE_PATTERNS)
     return f"""
     SELECT r.doc_id, r.section_id, r.ref_pos, r.number AS section_number, {section_id('t.idx')} AS target_section_id
     FROM (SELECT doc_id, para_idx, section_id, unnest(range(len(l))) AS ref_pos, unnest(l) AS number
-          FROM (SELECT *, {lists} AS l FROM secs)) r
-    JOIN (SELECT doc_id, section_number, max(para_idx) AS idx FROM secs WHERE section_number <> '' GROUP BY ALL) t
+          FROM (SELECT *, {lists} AS l FROM {source})) r
+    JOIN (SELECT doc_id, section_number, max(para_idx) AS idx FROM {source} WHERE section_number <> '' GROUP BY ALL) t
       ON t.doc_id = r.doc_id AND t.section_number = r.number AND t.idx <> r.para_idx"""
 
 
@@ -328,7 +328,9 @@ CTES = {
     "brisks": (lambda: _risks("bsecs"), ("bsecs",)),
     "clauses": (_clauses, ("secs",)),
     "terms": (_terms, ("secs",)),
-    "refs": (_references, ("secs",)),
+    "refs": (lambda: _references("secs"), ("secs",)),
+    "brefs": (lambda: _references("bsecs"), ("bsecs",)),
+    "btree": (lambda: tree("bsecs"), ("bsecs",)),
     "meta": (_metadata, ("clean",)),
     "extracted": (lambda: _extracted("clean", "clean"), ("clean",)),
     "bextracted": (lambda: _extracted("body", "body"), ("body",)),

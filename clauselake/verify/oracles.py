@@ -36,6 +36,39 @@ def _analyze_with_predictions(graded: str) -> str:
                "r.rule_key = g.label)) GROUP BY doc_id) USING (doc_id)", "body", "brisks", "bsecs")
 
 
+def _results(risks: str, answers: str) -> str:
+    """The nested parts of every document, one line each."""
+    return sql(
+        "SELECT m.doc_id, 'success' AS status, o.summary AS overall, coalesce(r.n, 0)::BIGINT AS risks_count, x.sections_count, "
+        "coalesce(s.l, '') AS sections, coalesce(r.l, '') AS risks, a.l AS extracted_data, coalesce(c.l, '') AS cross_references "
+        "FROM meta m JOIN overall o USING (doc_id) JOIN metrics x USING (doc_id) "
+        "LEFT JOIN (SELECT doc_id, string_agg(concat_ws(':', section_id, section_type, level, is_header, coalesce(parent_id, ''), "
+        "coalesce(kids, ''), length(text)), '|' ORDER BY para_idx) AS l FROM btree LEFT JOIN (SELECT doc_id AS d, parent_id AS p, "
+        "string_agg(section_id, ',' ORDER BY para_idx) AS kids FROM btree GROUP BY ALL) ON d = doc_id AND p = section_id GROUP BY doc_id) s "
+        f"USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(concat_ws(':', risk_id, section_id, risk_name, risk_level, "
+        f"risk_category, method, round(confidence * 100)::INT), '|' ORDER BY risk_id) AS l FROM ({risks}) GROUP BY doc_id) r USING (doc_id) "
+        f"JOIN (SELECT doc_id, string_agg(concat_ws(':', ext_type, value, method), '|' ORDER BY type_order) AS l FROM ({answers}) "
+        "GROUP BY doc_id) a USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(section_id || ':' || l, '|' ORDER BY section_id) AS l FROM "
+        "(SELECT doc_id, section_id, string_agg(target_section_id, ',' ORDER BY ref_pos) AS l FROM brefs GROUP BY ALL) GROUP BY doc_id) c "
+        "USING (doc_id)", "meta", "overall", "metrics", "btree", "brisks", "bextracted", "brefs", "clean")
+
+
+def _risks_with_models(graded: str) -> str:
+    return ("SELECT doc_id, printf('risk-%03d', row_number() OVER (PARTITION BY doc_id ORDER BY source, para_idx, rule_no, rule_key) - 1) "
+            "AS risk_id, section_id, risk_name, risk_level, risk_category, method, confidence FROM (SELECT 0 AS source, doc_id, para_idx, "
+            "rule_no, section_id, rule_key, risk_name, risk_level, risk_category, 1.0::DOUBLE AS confidence, 'rule_based' AS method FROM brisks "
+            "UNION ALL SELECT 1, g.doc_id, s.para_idx, 0, g.section_id, g.label, g.label, g.risk_level, g.risk_category, g.confidence, 'ml' "
+            f"FROM {graded.replace('FROM secs', 'FROM bsecs')} g JOIN bsecs s USING (doc_id, section_id) WHERE s.word_count >= 10 AND NOT "
+            "s.is_header AND NOT EXISTS (SELECT 1 FROM brisks r WHERE r.doc_id = g.doc_id AND r.section_id = g.section_id AND "
+            "r.rule_key = g.label))")
+
+
+ANSWERS_WITH_MODELS = (
+    "SELECT e.doc_id, e.type_order, e.ext_type, CASE WHEN better THEN v ELSE value END AS value, CASE WHEN better THEN 'ml' ELSE method END "
+    "AS method FROM (SELECT e.*, m.value AS v, coalesce(e.method = 'none' AND e.chars >= 20 AND m.value <> '' AND m.confidence >= 0.5, false) "
+    f"AS better FROM bextracted e LEFT JOIN ({ANSWERS_SQL}) m USING (doc_id, ext_type)) e")
+
+
 def _answers(provisions) -> str:
     """Long (doc_id, name, provision, answer) over the provisions the wide table has."""
     return " UNION ALL ".join(
@@ -207,6 +240,8 @@ def build() -> dict[str, str]:
             "SELECT x.doc_id, x.contract_type, x.risks_count, x.sections_count, coalesce(k, '') AS key_risks FROM metrics x LEFT JOIN "
             "(SELECT doc_id, string_agg(risk_name || '/' || risk_level || '/' || risk_category, '|' ORDER BY risk_id) AS k FROM brisks "
             "WHERE risk_id <= 'risk-004' GROUP BY 1) USING (doc_id)", "metrics", "brisks"),
+        "results_json": _results("SELECT *, 'rule_based' AS method, 1.0 AS confidence FROM brisks", "bextracted"),
+        "results_json_models": _results(_risks_with_models(graded), ANSWERS_WITH_MODELS),
         "training_risk": _risk_training(),
         "training_section": _labelled(tr.SECTION_LABELS),
         "training_qa": _qa(tr.QUESTIONS),
@@ -244,6 +279,10 @@ def build() -> dict[str, str]:
         "stream_analyze": sql("SELECT m.doc_id, m.status, t.word_count, m.has_pii, m.sections_count, m.risks_count FROM metrics m "
                               "JOIN meta t USING (doc_id)", "metrics",
                               contracts="SELECT doc_id, 'document.txt' AS file_name, text FROM documents"),
+        "metrics_json": sql(
+            "SELECT *, NULL::VARCHAR AS corrupt_record FROM metrics UNION ALL BY NAME "
+            "SELECT 'no record of ' || doc_id AS corrupt_record FROM documents WHERE doc_id % 50 = 0", "metrics",
+            contracts="SELECT doc_id, 'document.txt' AS file_name, text FROM documents"),
         "stream_redelivery": sql(
             "SELECT m.doc_id, CASE WHEN m.doc_id % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS delivery, m.status, t.word_count, m.sections_count, "
             "m.risks_count FROM metrics m JOIN meta t USING (doc_id)", "metrics",

@@ -9,6 +9,7 @@ from clauselake.functions.text import clean_text
 from clauselake.operators import evaluate, extract, segment as sg, summary, xref
 from clauselake.plans import pipeline
 from clauselake.plans.corpus import contracts
+from clauselake.rules.model import RiskRule
 from conftest import AGREEMENT, SF
 
 
@@ -145,6 +146,59 @@ def test_detailed_response_nests_everything(spark, agreement, tmp_path):
     assert [a["ext_type"] for a in r["extracted_data"]] == list(extract.EXTRACTION_TYPES)
 
 
+def test_detailed_response_is_put_together_in_the_row(spark, agreement):
+    plan = pipeline.detailed_response(agreement)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_detailed_response_says_what_the_tables_say(spark, agreement):
+    """Sections, risks with a model's, answers and references of the row equal the normalized tables."""
+    more = agreement.withColumns({"doc_id": F.lit(2).cast("bigint"), "text": F.concat(F.col("text"), F.lit(
+        "\n\n4. LAST THINGS\n\n4.1 As Section 2.1 and Section 3.2 and Section 2.1 say, and Section 9.9 does not, this is so for all."))})
+    docs = agreement.union(more).union(spark.createDataFrame([(3, "x.txt", None), (4, "y.txt", "too short")], agreement.schema))
+    bodies = pipeline.prepare(docs)
+    rows = pipeline.section_rows(bodies)
+    guesses = rows.where("doc_id <> 4").select("doc_id", "section_id", F.when(F.col("para_idx") % 3 == 0, "hidden_fee").when(
+        F.col("para_idx") % 3 == 1, "unilateral_price_change").otherwise("novel").alias("label"), (F.lit(1) - F.col("para_idx") / 20).alias("confidence"))
+    guesses = guesses.union(guesses.selectExpr("doc_id", "'sec-999'", "label", "1.0D")).union(guesses.selectExpr("doc_id", "'odd'", "label", "1.0D"))
+    told = docs.select("doc_id", F.explode(F.array(F.lit("venue"), F.lit("parties"))).alias("ext_type"), F.lit("a model's").alias("value"),
+                       F.lit(0.95).alias("confidence"))
+    got = {r.doc_id: r for r in pipeline.detailed_response(docs, predictions=guesses, model_answers=told).collect()}
+    tables = pipeline.analyze(docs, predictions=guesses, model_answers=told)
+    for doc, r in got.items():
+        want = tables["sections"].where(F.col("doc_id") == doc).orderBy("para_idx").collect()
+        fields = ("section_id", "title", "text", "section_type", "is_header", "level", "parent_id", "children_ids")
+        assert [[s[f] for f in fields] for s in r.sections] == [[w[f] for f in fields] for w in want]
+        risks = tables["risks"].where(F.col("doc_id") == doc).orderBy("risk_id").collect()
+        fields = ("risk_id", "risk_name", "risk_level", "risk_category", "section_id", "confidence", "method")
+        assert [[x[f] for f in fields] for x in r.risks] == [[w[f] for f in fields] for w in risks]
+        assert r.risks_count == len(risks) == sum(r.risks_by_category.values())
+        refs = tables["cross_references"].where(F.col("doc_id") == doc).orderBy("section_id").collect()
+        assert [(x.section_id, x.target_section_ids) for x in r.cross_references] == [(w.section_id, w.target_section_ids) for w in refs]
+        answers = tables["extracted"].where(F.col("doc_id") == doc).orderBy("type_order").collect()
+        if r.status == "success":
+            assert [(x.ext_type, x.value, x.method) for x in r.extracted_data] == [(w.ext_type, w.value, w.method) for w in answers]
+    assert any(x.method == "ml" for x in got[2].risks)
+    assert got[3].risks == [] and got[3].sections == [] and got[3].status == "error"
+
+
+def test_references_inside_the_row_equal_the_table(spark):
+    rng = random.Random(6)
+    docs = [(i, "\n\n".join(f"{rng.randint(1, 4)}.{rng.randint(1, 3)} Some clause as set forth in Section {rng.randint(1, 4)}.{rng.randint(1, 3)} and "
+                            f"pursuant to Section {rng.randint(1, 9)}.1 of this." for _ in range(rng.randint(0, 40)))) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    paras = sg.paragraph_array(F.col("text"))
+    got = {(r.doc_id, x.section_id): x.target_section_ids for r in df.select("doc_id", xref.reference_array(paras).alias("x")).collect() for x in r.x}
+    table = xref.reference_lists(xref.cross_references(sg.sections(df))).collect()
+    assert got == {(r.doc_id, r.section_id): r.target_section_ids for r in table} and len(got) > 50
+
+
+def test_detailed_response_with_rules_of_ones_own(spark, agreement):
+    rule = RiskRule("visits", "Visits", "operational", "low", ("comes four times",), (), ())
+    r = pipeline.detailed_response(agreement, rules=[rule]).first()
+    assert [(x.risk_name, x.risk_category) for x in r.risks] == [("Visits", "operational")] and r.risks_by_category == {"operational": 1}
+
+
 def test_histogram_counts_every_value(spark):
     values = [0.0, 0.049, 0.05, 0.5, 0.99, 1.0, 1.0, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
