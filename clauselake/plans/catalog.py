@@ -19,7 +19,7 @@ from clauselake.rules.custom import rules_from_dataframe
 from clauselake.rules.vocab import RISK_CLASSES, SECTION_LABELS
 from clauselake.sources import sinks
 from clauselake.sources.clause_csv import read_clause_csv
-from clauselake.sources.files import from_text_table
+from clauselake.sources.files import from_text_table, read_dir
 from clauselake.sources.store import Store
 from clauselake.sources.tables import read, spread_scan
 from clauselake.session import shared_root
@@ -111,6 +111,27 @@ def wide_answers(spark: SparkSession, sf: str) -> DataFrame:
     return base(spark, sf).selectExpr("doc_id", f"{DOCUMENT_NAME_SQL} AS `Document Name`", *columns)
 
 
+INGEST_MB = 0.02
+
+
+def file_drop(spark: SparkSession, sf: str) -> str:
+    """A folder with a file for every document, nested and partly of a type without text, and an empty one."""
+    root = scratch(spark, "drop")
+    docs = read(spark, sf, "documents").where("text is not null").withColumns({"shelf": F.pmod("doc_id", F.lit(10)), "doc": F.col("doc_id")})
+    docs.where("shelf > 0").select("shelf", "doc", "text").write.partitionBy("shelf", "doc").text(f"{root}/texts")
+    (docs.where("shelf = 0").select("doc", F.col("doc_id").cast("string").alias("text")).write.partitionBy("doc")
+     .option("extension", "pdf").csv(f"{root}/scans"))
+    docs.select("text").where("false").write.text(f"{root}/empty")
+    return root
+
+
+def ingest_files(spark, sf):
+    """The files of a folder by status and message; texts are as long as they were, oversized ones are not read."""
+    rows = read_dir(spark, file_drop(spark, sf), INGEST_MB)
+    return rows.groupBy("status", F.array_join("errors", "|").alias("errors")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars"))
+
+
 def text_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that have labels, with their quality label."""
     docs = spread_scan(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
@@ -645,7 +666,7 @@ QUERIES = {f.__name__: f for f in (
     risks, risk_advice, risk_by_category, risk_top5, risk_type_matrix, risk_union_predictions, clauses, clause_risk_link, terms,
     terms_in_order, glossary, cross_references, reference_lists, extract_info, extract_merge, extract_questions,
     important_sections, section_summaries, overall_summaries, key_points, contract_basics, response, digest,
-    results_json, results_json_models, metrics_json, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
+    results_json, results_json_models, metrics_json, ingest_files, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
     training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
     evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, stream_redelivery, result_store, result_lookup,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import unique_id
+from clauselake.sources.listing import list_files
 
 # Fixed value: suffixes without plain text; every other suffix is read as text.
 BINARY_SUFFIXES = ("pdf", "docx", "doc", "xlsx", "xls")
@@ -18,50 +19,58 @@ def decode(content: Column) -> Column:
     return F.replace(valid, F.lit("�"), F.lit(""))
 
 
-def read_files(spark: SparkSession, path: str, max_mb: int | None = 25, recursive: bool = False,
+def read_files(spark: SparkSession, path: str, max_mb: float | None = 25, recursive: bool = False,
                pattern: str | None = None) -> DataFrame:
     """doc_id, file_name, text, status, errors: one row per file, empty files included.
 
-    The size test reaches the scan, so the bytes of an oversized file are never
-    loaded; such a file, a format without plain text and an empty file become
-    status rows.  `max_mb` None sets no limit.
+    Tasks list the files with their sizes.  The size test reaches the scan, so
+    the bytes of an oversized file are never loaded; such a file, a format
+    without plain text and an empty file become status rows, the first and the
+    last straight from the listing.  `max_mb` None sets no limit.
     """
+    listed = list_files(spark, path, recursive, pattern)
+    large = F.col("length") > _limit(max_mb)
+    told = F.when(large, _too_large(max_mb)).otherwise(NO_INPUT)
+    bad = listed.where(large | (F.col("length") == 0)).select(*_known(), F.lit(None).cast("string").alias("text"),
+                                                             F.lit("error").alias("status"), F.array(told).alias("errors"))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path)
-    return classify_files(files, max_mb).unionByName(_empty_files(files))
+    return _readable(reader.load(path), max_mb).unionByName(bad)
 
 
-def _empty_files(files: DataFrame) -> DataFrame:
-    """Error rows for files without a byte: the scan skips them, so they are what the file listing has beyond the scan."""
-    spark = files.sparkSession
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "uri string")
-    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
-    listed = listed.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
-    empty = listed.join(files.select("path"), "path", "left_anti")
-    return empty.select(unique_id(F.col("path"), length=32).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
-                        F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"),
-                        F.array(F.lit(NO_INPUT)).alias("errors"))
+def _limit(max_mb: float | None) -> int:
+    return (1 << 62) if max_mb is None else int(max_mb * 1024 * 1024)
 
 
-def classify_files(files: DataFrame, max_mb: int | None = 25) -> DataFrame:
-    limit = (1 << 62) if max_mb is None else max_mb * 1024 * 1024
+def _too_large(max_mb: float | None) -> str:
+    return f"File exceeds maximum size of {max_mb}MB"
+
+
+def _known() -> list[Column]:
+    """Id and name of a file, from its path."""
+    return [unique_id(F.col("path"), length=32).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file_name")]
+
+
+def _readable(files: DataFrame, max_mb: float | None) -> DataFrame:
+    """Text, or unsupported, of the files within the limit."""
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
     unsupported = suffix.isin(*BINARY_SUFFIXES)
     none = F.array().cast("array<string>")
-    small = files.where(F.col("length") <= limit).select(
-        unique_id(F.col("path"), length=32).alias("doc_id"), name.alias("file_name"),
-        F.when(~unsupported, decode(F.col("content"))).alias("text"),
+    return files.where(F.col("length") <= _limit(max_mb)).select(
+        *_known(), F.when(~unsupported, decode(F.col("content"))).alias("text"),
         F.when(unsupported, "unsupported").otherwise("success").alias("status"),
         F.when(unsupported, F.array(F.concat(F.lit("No plain text in a file of type "), suffix))).otherwise(none)
         .alias("errors"))
-    large = files.where(F.col("length") > limit).select(
-        unique_id(F.col("path"), length=32).alias("doc_id"), name.alias("file_name"),
-        F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"),
-        F.array(F.lit(f"File exceeds maximum size of {max_mb}MB")).alias("errors"))
-    return small.unionByName(large)
+
+
+def classify_files(files: DataFrame, max_mb: float | None = 25) -> DataFrame:
+    """The files of a scan or stream (path, length, content) as documents and status rows; empty ones are not scanned."""
+    large = files.where(F.col("length") > _limit(max_mb)).select(
+        *_known(), F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"),
+        F.array(F.lit(_too_large(max_mb))).alias("errors"))
+    return _readable(files, max_mb).unionByName(large)
 
 
 def read_dir(spark: SparkSession, path: str, max_mb: int | None = 25) -> DataFrame:

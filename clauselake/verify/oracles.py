@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clauselake.plans.catalog import ANSWERS_SQL, DOCUMENT_NAME_SQL, OWN_RULES, PREDICTIONS_SQL, WIDE_COLUMNS
+from clauselake.plans.catalog import ANSWERS_SQL, DOCUMENT_NAME_SQL, INGEST_MB, OWN_RULES, PREDICTIONS_SQL, WIDE_COLUMNS
 from clauselake.plans.corpus import DUCK_BASE, q
 from clauselake.rules import training as tr
 from clauselake.rules.model import RiskRule
@@ -10,6 +10,7 @@ from clauselake.rules.risk import RISK_RULES
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import (ALL_EXTRACTION_TYPES, DEFAULT_RISK_CLASS, EXTRACTION_QUESTIONS, RISK_CLASSES,
                                     SECTION_LABELS)
+from clauselake.sources.files import NO_INPUT
 from clauselake.verify.duck import clean, finds, sql, strip, words
 
 
@@ -279,6 +280,12 @@ def build() -> dict[str, str]:
         "stream_analyze": sql("SELECT m.doc_id, m.status, t.word_count, m.has_pii, m.sections_count, m.risks_count FROM metrics m "
                               "JOIN meta t USING (doc_id)", "metrics",
                               contracts="SELECT doc_id, 'document.txt' AS file_name, text FROM documents"),
+        "ingest_files": "SELECT status, errors, count(*) AS n, sum(chars)::BIGINT AS chars FROM (SELECT 'error' AS status, "
+                        f"{q(NO_INPUT)} AS errors, 0 AS chars UNION ALL SELECT CASE WHEN doc_id % 10 = 0 THEN 'unsupported' WHEN large "
+                        "THEN 'error' ELSE 'success' END, CASE WHEN doc_id % 10 = 0 THEN 'No plain text in a file of type pdf' WHEN large "
+                        f"THEN 'File exceeds maximum size of {INGEST_MB}MB' ELSE '' END, CASE WHEN doc_id % 10 = 0 OR large THEN 0 ELSE "
+                        f"length(text) + 1 END FROM (SELECT *, strlen(text) + 1 > {int(INGEST_MB * 1024 * 1024)} AS large FROM documents "
+                        "WHERE text IS NOT NULL)) GROUP BY ALL",
         "metrics_json": sql(
             "SELECT *, NULL::VARCHAR AS corrupt_record FROM metrics UNION ALL BY NAME "
             "SELECT 'no record of ' || doc_id AS corrupt_record FROM documents WHERE doc_id % 50 = 0", "metrics",
