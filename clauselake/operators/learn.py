@@ -6,14 +6,16 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from clauselake.functions.text import let
+
 FEATURES = 1 << 16
 
 
@@ -72,9 +74,15 @@ def classifier(max_iter: int = 20, features: int = FEATURES) -> Pipeline:
     ])
 
 
-def train(rows: DataFrame, max_iter: int = 20) -> PipelineModel:
-    """Fit on the rows that are not held out."""
-    return classifier(max_iter).fit(rows.where("not is_validation"))
+def count_classifier(features: list[str], smoothing: float = 1.0) -> Pipeline:
+    """A multinomial model of counts: one pass of sums per label, which any other engine can work out again."""
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"),
+                            NaiveBayes(labelCol="label_idx", featuresCol="features", smoothing=smoothing)])
+
+
+def train(rows: DataFrame, max_iter: int = 20, pipeline: Pipeline | None = None) -> PipelineModel:
+    """Fit on the rows that are not held out, the text classifier or a `pipeline` of your own."""
+    return (pipeline or classifier(max_iter)).fit(rows.where("not is_validation"))
 
 
 def score(model: PipelineModel, rows: DataFrame, labels: list[str], keys: list[str]) -> DataFrame:
@@ -135,16 +143,30 @@ def external_model(make_predict: Callable, max_chars: int | None = None, batch_s
     return lambda text: udf(text if max_chars is None else F.left(text, F.lit(max_chars)))
 
 
+def text_windows(text: Column, width: int, overlap: int) -> Column:
+    """Windows of `width` characters that overlap, in order; a short or empty text is one, a null text none.
+
+    The text is cut once into blocks and windows are put together from them, so
+    the cost follows the length of the text.
+    """
+    step = width - overlap
+    if not 0 <= overlap < width:
+        raise ValueError("windows must be wider than their overlap")
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    last = F.floor((F.greatest(F.length(text) - overlap, F.lit(1)) - 1) / step).cast("int")
+    return let(blocks, lambda cut: F.transform(F.sequence(F.lit(0), last), lambda i: F.left(
+        F.array_join(F.slice(cut, i + 1, -(-width // step)), ""), F.lit(width))))
+
+
 def score_windows(rows: DataFrame, model: Callable[[Column], Column], keys: list[str], text: str = "text", width: int = 4000,
                   overlap: int = 200) -> DataFrame:
     """(keys…, label, confidence) of whole texts by a model that reads `width` characters at a time.
 
     Every text is cut into windows that overlap, all windows are scored, and the
-    surest window of a text decides (of equals the first label).
+    surest window of a text decides (of equals the first label).  Null texts have
+    no windows and no row.
     """
-    step = width - overlap
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - overlap, F.lit(1)), F.lit(step))
-    windows = rows.select(*keys, F.explode(F.transform(starts, lambda s: F.substring(F.col(text), s, F.lit(width)))).alias("window"))
+    windows = rows.select(*keys, F.explode(text_windows(F.col(text), width, overlap)).alias("window"))
     best = F.struct((-F.col("s.confidence")).alias("order"), F.col("s.label").alias("label"))
     scored = windows.select(*keys, model(F.col("window")).alias("s")).groupBy(*keys).agg(F.min(best).alias("best"))
     return scored.select(*keys, "best.label", (-F.col("best.order")).alias("confidence"))

@@ -552,6 +552,53 @@ def train_eval_classifier(spark, sf):
     return learn.quality(scored)
 
 
+LETTERS = "aeiou"
+
+
+def letter_counts(spark, sf):
+    """Documents with a quality label and how often they hold each vowel and a blank."""
+    text = F.lower("text")
+    counts = {f"n_{c}": F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS}
+    blanks = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))
+    labels = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label_idx"))
+    return documents(spark, sf).where("text is not null").join(labels, "doc_id").select(
+        "doc_id", "label_idx", *[c.alias(n) for n, c in counts.items()], blanks.alias("n_blank"))
+
+
+def saved_classifier(spark, sf):
+    """A model of counts trained, saved, loaded and applied to the rows that were held out."""
+    folder = scratch(spark, "model")
+    rows = learn.split_rows(letter_counts(spark, sf), "doc_id", "label_idx")
+    names = [f"n_{c}" for c in LETTERS] + ["n_blank"]
+    model = learn.train(rows, pipeline=learn.count_classifier(names))
+    learn.save_model(model, folder, ["low", "high"], "quality", rows.where("not is_validation").count())
+    loaded, told = learn.load_model(folder)
+    scored = learn.score(loaded, rows.where("is_validation"), ["low", "high"], ["doc_id"])
+    return scored.crossJoin(F.broadcast(told.select("training_rows"))).select(  # the one row that describes the model
+        "doc_id", "label", F.round("confidence", 6).alias("confidence"), "training_rows")
+
+
+WINDOW, OVERLAP = 1000, 100
+
+
+def linear_model():
+    """A stand-in for a model of one's own: a line over two counts, in numpy."""
+    import numpy as np
+
+    def predict(texts):
+        x = np.array([[t.count("e"), t.count(" ")] for t in texts], np.float64)
+        score = x @ np.array([0.5, -0.25]) - 8
+        return {"label": np.where(score > 0, "dense", "loose"), "confidence": np.abs(score) / (1 + np.abs(score))}
+    return predict
+
+
+def hooked_scores(spark, sf):
+    """Whole documents scored by a model that reads a thousand characters at a time."""
+    model = learn.external_model(linear_model, batch_size=64)
+    rows = documents(spark, sf).where("text is not null")
+    return learn.score_windows(rows, model, ["doc_id"], width=WINDOW, overlap=OVERLAP)
+
+
 def prediction_quality(spark, sf):
     """Grading of the stand-in predictions against the section types, as a confusion table."""
     rows = contract_sections(spark, sf)
@@ -667,7 +714,7 @@ QUERIES = {f.__name__: f for f in (
     terms_in_order, glossary, cross_references, reference_lists, extract_info, extract_merge, extract_questions,
     important_sections, section_summaries, overall_summaries, key_points, contract_basics, response, digest,
     results_json, results_json_models, metrics_json, ingest_files, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
-    training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, prediction_quality,
+    training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, saved_classifier, hooked_scores, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
     evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, stream_redelivery, result_store, result_lookup,
     custom_rules, analyze_with_predictions)}

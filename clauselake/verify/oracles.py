@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from clauselake.plans.catalog import ANSWERS_SQL, DOCUMENT_NAME_SQL, INGEST_MB, OWN_RULES, PREDICTIONS_SQL, WIDE_COLUMNS
+from clauselake.plans.catalog import (ANSWERS_SQL, DOCUMENT_NAME_SQL, INGEST_MB, LETTERS, OVERLAP, OWN_RULES, PREDICTIONS_SQL,
+                                       WIDE_COLUMNS, WINDOW)
 from clauselake.plans.corpus import DUCK_BASE, q
 from clauselake.rules import training as tr
 from clauselake.rules.model import RiskRule
@@ -64,6 +65,32 @@ def _risks_with_models(graded: str) -> str:
             "r.rule_key = g.label))")
 
 
+def _saved_classifier() -> str:
+    """Sums per label of the training rows give the model; the held-out rows are scored by it."""
+    names = [f"n_{c}" for c in LETTERS] + ["n_blank"]
+    counts = ", ".join(f"length(text) - length(replace(lower(text), '{c}', '')) AS n_{c}" for c in LETTERS)
+    sums = ", ".join(f"sum({n}) AS s_{n}" for n in names)
+    total = " + ".join(f"s_{n}" for n in names)
+    score = " + ".join(f"v.{n} * (ln(m.s_{n} + 1) - ln({total.replace('s_', 'm.s_')} + {len(names)}))" for n in names)
+    return (f"WITH r AS (SELECT doc_id, quality AS y, {counts}, length(text) - length(replace(text, ' ', '')) AS n_blank "
+            "FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY "
+            "md5(doc_id || ':42'), doc_id) <= ceil(count(*) OVER (PARTITION BY y) * 0.2::DOUBLE) AS held FROM r), "
+            f"m AS (SELECT y, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS kinds, {sums} FROM t WHERE NOT held GROUP BY y), "
+            f"s AS (SELECT v.doc_id, m.y, m.total, ln(m.n + 1) - ln(m.total + m.kinds) + {score} AS score FROM t v, m WHERE v.held), "
+            "b AS (SELECT doc_id, arg_max(y, score) AS y, max(score) AS best, max(total) AS total FROM s GROUP BY doc_id) "
+            "SELECT b.doc_id, CASE b.y WHEN 0 THEN 'low' ELSE 'high' END AS label, round(1 / sum(exp(s.score - b.best)), 6) AS confidence, "
+            "b.total::BIGINT AS training_rows FROM b JOIN s USING (doc_id) GROUP BY ALL")
+
+
+HOOKED_SCORES = (
+    "WITH w AS (SELECT doc_id, text[i * {s} + 1:i * {s} + {w}] AS t FROM (SELECT doc_id, text, "
+    "unnest(range((greatest(length(text) - {o}, 1) - 1) // {s} + 1)) AS i FROM documents WHERE text IS NOT NULL)), "
+    "c AS (SELECT doc_id, 0.5::DOUBLE * (length(t) - length(replace(t, 'e', ''))) - 0.25::DOUBLE * (length(t) - length(replace(t, ' ', ''))) - 8 "
+    "AS x FROM w), d AS (SELECT doc_id, CASE WHEN x > 0 THEN 'dense' ELSE 'loose' END AS label, abs(x) / (1 + abs(x)) AS confidence FROM c) "
+    "SELECT doc_id, label, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, label) AS n FROM d) "
+    "WHERE n = 1").format(s=WINDOW - OVERLAP, w=WINDOW, o=OVERLAP)
+
+
 ANSWERS_WITH_MODELS = (
     "SELECT e.doc_id, e.type_order, e.ext_type, CASE WHEN better THEN v ELSE value END AS value, CASE WHEN better THEN 'ml' ELSE method END "
     "AS method FROM (SELECT e.*, m.value AS v, coalesce(e.method = 'none' AND e.chars >= 20 AND m.value <> '' AND m.confidence >= 0.5, false) "
@@ -286,6 +313,8 @@ def build() -> dict[str, str]:
                         f"THEN 'File exceeds maximum size of {INGEST_MB}MB' ELSE '' END, CASE WHEN doc_id % 10 = 0 OR large THEN 0 ELSE "
                         f"length(text) + 1 END FROM (SELECT *, strlen(text) + 1 > {int(INGEST_MB * 1024 * 1024)} AS large FROM documents "
                         "WHERE text IS NOT NULL)) GROUP BY ALL",
+        "saved_classifier": _saved_classifier(),
+        "hooked_scores": HOOKED_SCORES,
         "metrics_json": sql(
             "SELECT *, NULL::VARCHAR AS corrupt_record FROM metrics UNION ALL BY NAME "
             "SELECT 'no record of ' || doc_id AS corrupt_record FROM documents WHERE doc_id % 50 = 0", "metrics",
