@@ -32,6 +32,8 @@ CACHE_UNITS = 150_000
 MARK = "▁"
 # Fixed value: the characters that are white space in Unicode.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WHITES = frozenset("\t\n\x0b\x0c\r" + WHITE[3:])
+JOINED_UNITS = 2048
 SLICED = ("slice bigint, ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
           "digests array<string>, codes array<bigint>, times array<bigint>, links binary")
 
@@ -59,20 +61,48 @@ class Side:
         return self.unit.findall(text)
 
     def fresh(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit by itself."""
+        raise NotImplementedError
+
+    def joins(self, unit: str) -> bool:
+        """Whether units like this may stand one behind the other in one text and keep their ids."""
+        raise NotImplementedError
+
+    def joined(self, units: list[str]) -> list[int]:
+        """Ids of such units in one text."""
         raise NotImplementedError
 
     def raw(self, unit: str) -> bytes:
         return unit.encode()
 
+    def learn(self, units: list[str]) -> None:
+        """Put ids of units into the cache, None for units whose bytes come back changed.
+
+        Units that may be joined are encoded together and cut by their bytes.
+        """
+        young = self.known.young
+        together = [u for u in units if self.joins(u)]
+        alone = [u for u in units if not self.joins(u)]
+        for at in range(0, len(together), JOINED_UNITS):
+            some = together[at:at + JOINED_UNITS]
+            ids = np.array(self.joined(some), np.uint32)
+            raw = [self.raw(u) for u in some]
+            if b"".join([self.tokens[i] for i in ids.tolist()]) != b"".join(raw):
+                alone += some
+                continue
+            cuts = 4 * np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(r) for r in raw]), "right")
+            packed, cuts = ids.tobytes(), cuts.tolist()
+            young.update(zip(some, [packed[a:b] for a, b in zip([0, *cuts], cuts)]))
+        for unit, found in zip(alone, self.fresh(alone)):
+            same = b"".join([self.tokens[i] for i in found]) == self.raw(unit)
+            young[unit] = array("I", found).tobytes() if same else None
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids (unsigned 32 bits) of each text, and whether their bytes are a blank and the text."""
         self.known.age()
         split = [self.units(t) for t in texts]
-        new = self.known.missing({u for us in split for u in us})
+        self.learn(self.known.missing(set().union(*split)))
         young = self.known.young
-        for unit, ids in zip(new, self.fresh(new)):
-            same = b"".join([self.tokens[i] for i in ids]) == self.raw(unit)
-            young[unit] = array("I", ids).tobytes() if same else None  # a unit whose bytes come back changed
         found = [[young[u] for u in us] for us in split]
         right = [None not in x for x in found]
         return [b"".join(x) if ok else b"" for x, ok in zip(found, right)], right
@@ -94,6 +124,12 @@ class ByteSide(Side):
         names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.set_tokens([bytes([byte_of[c] for c in n]) if set(n) <= byte_of.keys() else n.encode() for n in names])
 
+    def joins(self, unit: str) -> bool:
+        return unit[0] == " " and len(unit) > 1 and unit[1] not in WHITES
+
+    def joined(self, units: list[str]) -> list[int]:
+        return self.library.encode("".join(units), add_special_tokens=False).ids
+
     def fresh(self, units: list[str]) -> list[list[int]]:
         return [e.ids for at in range(0, len(units), 4096)
                 for e in self.library.encode_batch(units[at:at + 4096], add_special_tokens=False)]
@@ -122,6 +158,12 @@ class PieceSide(Side):
     def raw(self, unit: str) -> bytes:
         return unit.replace(MARK, " ").encode()
 
+    def joins(self, unit: str) -> bool:
+        return unit[0] == MARK and len(unit) > 1 and unit[1] != MARK
+
+    def joined(self, units: list[str]) -> list[int]:
+        return self.library.encode("".join(units)[1:].replace(MARK, " "), num_threads=1)
+
     def fresh(self, units: list[str]) -> list[list[int]]:
         # the library puts a mark before a text: instead of the unit's own, or, behind a line break, as a piece of its own
         whole = [u[1:].replace(MARK, " ") if u[0] == MARK else u if u == "\n" else "\n" + u for u in units]
