@@ -27,18 +27,24 @@ def page_count(raw: Column) -> Column:
     return F.length(raw) - F.length(F.replace(raw, F.lit("\f"), F.lit(""))) + 1
 
 
-def all_dates(text: Column) -> Column:
+def all_dates(text: Column, most: int | None = MAX_FOUND) -> Column:
+    """The first `most` distinct dates (None: all), by appearance."""
     found = F.regexp_extract_all(text, F.lit(java_pattern(DATE_PATTERN)), F.lit(1))
-    return F.slice(F.array_distinct(found), 1, MAX_FOUND)
+    return _first(F.array_distinct(found), most)
 
 
-def all_parties(text: Column) -> Column:
+def _first(found: Column, most: int | None) -> Column:
+    return found if most is None else F.slice(found, 1, most)
+
+
+def all_parties(text: Column, most: int | None = MAX_FOUND) -> Column:
+    """The first `most` distinct parties (None: all), by appearance."""
     pattern = F.lit(java_pattern(PARTY_PATTERN))
     first = F.regexp_extract_all(text, pattern, F.lit(1))
     second = F.regexp_extract_all(text, pattern, F.lit(2))
     pairs = F.arrays_zip(first.alias("a"), second.alias("b"))
     names = F.flatten(F.transform(pairs, lambda z: F.array(strip(z["a"]), strip(z["b"]))))
-    return F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) > 3)), 1, MAX_FOUND)
+    return _first(F.array_distinct(F.filter(names, lambda n: F.length(n) > 3)), most)
 
 
 def top_type(low: Column) -> Column:

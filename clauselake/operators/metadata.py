@@ -12,8 +12,12 @@ METADATA_COLUMNS = ("file_name", "file_type", "file_size_kb", "page_count", "lan
                     "contract_type", "contract_type_confidence", "dates", "parties")
 
 
-def with_metadata(docs: DataFrame, clean: str = "clean", raw: str = "text", name: str = "file_name") -> DataFrame:
-    """Add the metadata columns; pages are counted on the raw text, all else on the cleaned text."""
+def with_metadata(docs: DataFrame, clean: str = "clean", raw: str = "text", name: str = "file_name",
+                  most: int | None = m.MAX_FOUND) -> DataFrame:
+    """Add the metadata columns; pages are counted on the raw text, all else on the cleaned text.
+
+    `most` bounds the lists of dates and parties (None: all).
+    """
     text = F.col(clean)
     return (docs
             .withColumn("low", F.lower(text))
@@ -26,8 +30,8 @@ def with_metadata(docs: DataFrame, clean: str = "clean", raw: str = "text", name
                 "word_count": word_count(text),
                 "contract_type": m.contract_type(F.col("top")),
                 "contract_type_confidence": m.type_confidence(F.col("top")),
-                "dates": m.all_dates(text),
-                "parties": m.all_parties(text),
+                "dates": m.all_dates(text, most),
+                "parties": m.all_parties(text, most),
             }).drop("low", "top"))
 
 

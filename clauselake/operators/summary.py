@@ -93,8 +93,8 @@ def section_context(text: Column) -> Column:
     return F.when(F.length(text) > 100, F.concat(F.left(text, F.lit(100)), F.lit("..."))).otherwise(text)
 
 
-def key_points(extracted: DataFrame, sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Non-empty answers in type order, then the first five sections of the key types, numbered."""
+def key_points(extracted: DataFrame, sections: DataFrame, id_col: str = "doc_id", most: int | None = KEY_SECTIONS) -> DataFrame:
+    """Non-empty answers in type order, then the first `most` sections of the key types (None: all), numbered."""
     facts = extracted.where(F.col("value") != "").select(
         id_col, F.lit(0).alias("part"), F.col("type_order").alias("ord"), F.col("ext_type").alias("category"),
         F.concat(key_point_label(F.col("ext_type")), F.lit(": "), F.col("value")).alias("description"),
@@ -102,7 +102,7 @@ def key_points(extracted: DataFrame, sections: DataFrame, id_col: str = "doc_id"
     first = W.partitionBy(id_col).orderBy("para_idx")
     parts = (sections.where(F.col("section_type").isin(*KEY_POINT_SECTION_TYPES))
              .select(id_col, "para_idx", "section_type", "title", section_context(F.col("text")).alias("context"))
-             .withColumn("n", F.row_number().over(first)).where(F.col("n") <= KEY_SECTIONS)
+             .withColumn("n", F.row_number().over(first)).where(F.lit(True) if most is None else F.col("n") <= most)
              .select(id_col, F.lit(1).alias("part"), F.col("para_idx").alias("ord"), F.lit("section").alias("category"),
                      F.concat(F.lit("Important "), F.col("section_type"), F.lit(" clause: "), F.col("title"))
                      .alias("description"),

@@ -67,12 +67,13 @@ def _overall_summary(body: Column) -> Column:
     return F.coalesce(F.nullif(summary.summarize(body), F.lit("")), F.lit(summary.NO_SUMMARY))
 
 
-def _key_points(found: Column, secs: Column) -> Column:
+def _key_points(found: Column, secs: Column, most: int | None = summary.KEY_SECTIONS) -> Column:
     facts = F.transform(F.filter(found, lambda a: a["value"] != ""), lambda a: F.struct(
         a["ext_type"].alias("category"),
         F.concat(summary.key_point_label(a["ext_type"]), F.lit(": "), a["value"]).alias("description"),
         F.lit("high").alias("importance"), F.lit("").alias("context"), a["value"].alias("extracted_value")))
-    first = F.slice(F.filter(secs, lambda s: s["type"].isin(*KEY_POINT_SECTION_TYPES)), 1, summary.KEY_SECTIONS)
+    first = F.filter(secs, lambda s: s["type"].isin(*KEY_POINT_SECTION_TYPES))
+    first = first if most is None else F.slice(first, 1, most)
     parts = F.transform(first, lambda s: F.struct(
         F.lit("section").alias("category"),
         F.concat(F.lit("Important "), s["type"], F.lit(" clause: "), s["title"]).alias("description"),
@@ -260,12 +261,13 @@ def _with_key_points(responses: DataFrame, points: DataFrame) -> DataFrame:
     return out.withColumn("summary", F.col("summary").withField("key_points", shown)).select(*responses.columns)
 
 
-def key_point_rows(docs: DataFrame, text: str = "clean", cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Key points, one per row, worked out inside the document's row."""
+def key_point_rows(docs: DataFrame, text: str = "clean", cfg: AnalysisConfig = AnalysisConfig(),
+                   most: int | None = summary.KEY_SECTIONS) -> DataFrame:
+    """Key points, one per row, worked out inside the document's row; `most` sections of the key types (None: all)."""
     rows = docs.select("doc_id", F.col(text).alias("t"), F.lower(text).alias("low"))
     rows = rows.select("doc_id", extract.answers(F.col("t"), F.col("low")).alias("answers"),
                        segment.section_array(segment.paragraph_array(F.col("t")), cfg.hierarchical).alias("secs"))
-    return rows.select("doc_id", F.inline(_key_points(F.col("answers"), F.col("secs"))))
+    return rows.select("doc_id", F.inline(_key_points(F.col("answers"), F.col("secs"), most)))
 
 
 def with_model_columns(docs: DataFrame, predictions: DataFrame | None, model_answers: DataFrame | None) -> DataFrame:

@@ -10,32 +10,34 @@ from clauselake.session import local_session  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 AGREEMENT = """
-ORGAN TUNING CONTRACT
+HOUSE RULES OF THE BOAT JETTY
 
-As of March 9, 2022 the workshop of Ida Lindqvist in Duluth (the "Tuner") looks after the pipe organ
-of the parish church on the hill (the "Parish").
+Words used here:
 
-1. THE INSTRUMENT
+A berth is one numbered place at the jetty; the keeper is whoever
+holds the key to it for a summer.
 
-1.1 Visits. The Tuner comes four times a year and tunes every rank of pipes.
+I. SUMMER SEASON
 
-1.2 Service Book. Each service is written into a book that hangs beside the console.
+The jetty opens once the ice has gone and closes again as of October 31, 2024.
 
-2. HOW IT RUNS
+II. MONEY MATTERS
 
-2.1 The work goes on for two winters after the day named above,
-and a fresh paper is signed for any time beyond them.
+2.1 Reminders. One goes out after two weeks, or call 555-010-4477 before that.
 
-2.2 When the organ is sold or the church closes its doors,
-the work stops at the close of that month and open bills are settled.
+2.2.1 Key Deposit. It comes back in the autumn.
 
-3. WHAT IT COSTS
+Each keeper owes the fees described in Schedule 7, and the harbour office
+keeps the right to modify rates from one summer to the next without asking anyone.
 
-3.1 A visit costs the charges listed in Schedule C, and the Tuner holds a right to
-adjust rate tables every spring.
+2.3 Winter. Boats that stay on land pay nothing.
 
-3.2 Bills are sent after each visit, and the Parish pays them
-by the first Sunday of the next month.
+III. STORMS AND ICE
+
+When the flag is red all boats are doubled up on the lee side,
+no matter who holds the key to the place they are tied to.
+
+IV. VISITING BOATS
 """
 
 

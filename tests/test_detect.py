@@ -31,8 +31,8 @@ def test_packs_have_the_expected_size():
 def test_inline_agreement_risks(agreement):
     found = detect.number_risks(detect.detect_risks(sections_of(agreement))).orderBy("risk_id").collect()
     assert [(r.para_idx, r.finding_id, r.risk_category, r.risk_level, r.risk_id) for r in found] == [
-        (9, "hidden_fee_3", "payment_risk", "high", "risk-000"),
-        (9, "unilateral_price_change_1", "payment_risk", "high", "risk-001")]
+        (8, "hidden_fee_3", "payment_risk", "high", "risk-000"),
+        (8, "unilateral_price_change_1", "payment_risk", "high", "risk-001")]
 
 
 def python_findings(text, rules):
@@ -92,8 +92,8 @@ def test_terms_equal_finditer(spark):
 def test_model_findings_join_without_repeating_rules(spark, agreement):
     rows = sections_of(agreement)
     predictions = spark.createDataFrame(
-        [(1, "sec-009", "hidden_fee", 0.9), (1, "sec-009", "data_usage", 0.7), (1, "sec-010", "odd", 0.6),
-         (1, "sec-006", "non_compete", 0.59), (1, "sec-003", "non_compete", 0.99)],
+        [(1, "sec-008", "hidden_fee", 0.9), (1, "sec-008", "data_usage", 0.7), (1, "sec-011", "odd", 0.6),
+         (1, "sec-004", "non_compete", 0.59), (1, "sec-006", "non_compete", 0.99)],
         "doc_id bigint, section_id string, label string, confidence double")
     both = detect.union_model_risks(detect.detect_risks(rows), rows, predictions).orderBy("risk_id").collect()
     assert [(r.risk_id, r.rule_key, r.method, r.risk_category, r.risk_level) for r in both] == [

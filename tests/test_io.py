@@ -129,6 +129,49 @@ def test_external_model_hook(spark):
     assert got == {1: "long", 2: "short", 3: "short"}
 
 
+def test_windows_of_a_text(spark):
+    def plain(t, width, overlap):
+        step, out, at = width - overlap, [], 0
+        while at < max(len(t) - overlap, 1):
+            out.append(t[at:at + width])
+            at += step
+        return out
+
+    texts = ["", "a", "abcdefghij" * 7 + "é😀\n", "x" * 20, "y" * 21]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for width, overlap in ((10, 3), (10, 0), (10, 9), (7, 5), (1000, 10)):
+        got = df.select("t", learn.text_windows(F.col("t"), width, overlap).alias("w")).collect()
+        assert all(r.w == plain(r.t, width, overlap) for r in got), (width, overlap)
+    long = spark.createDataFrame([("word " * 2_000_000,)], "t string")
+    assert long.select(F.size(learn.text_windows(F.col("t"), 4000, 200))).first()[0] == 2632
+
+
+def test_negatives_by_number(spark):
+    rows = [(i, f"renewal answer {i:03d}", f"exit answer {i:03d} long") for i in range(60)]
+    wide = spark.createDataFrame(rows, "id int, `Auto-Renewal-Answer` string, `Termination For Convenience-Answer` string")
+    counts = {n: training.risk_training(wide, "id", n).where("label = 'no_risk'").count() for n in (0, 3, 10, None)}
+    assert counts == {0: 0, 3: 6, 10: 20, None: 120}
+    plan = training.risk_training(wide, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "answer" not in [w.split("#")[0] for line in plan.split("\n") if "Window" in line for w in line.replace("[", " ").replace(",", " ").split()]
+
+
+def test_keys_by_hash_are_the_first_by_hash(spark):
+    import hashlib
+    rows = [(i % 3, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, k int")
+    got = training.first_by_hash(df, "g", "k", 25, bits=8).collect()
+    for g in range(3):
+        want = sorted((hashlib.md5(f"{k}:42".encode()).hexdigest(), k) for x, k in rows if x == g)[:25]
+        assert sorted(r.k for r in got if r.g == g) == sorted(k for _, k in want)
+
+
+def test_json_lines_that_are_none(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1, "b": "x", "more": 2}\nno record\n\n{"b": null}\n{"a": "text"}\n[1, 2]\n')
+    got = [tuple(r) for r in sinks.read_json(spark, str(tmp_path), "a bigint, b string").collect()]
+    assert got[:3] == [(1, "x", None), (None, None, "no record"), (None, None, None)]
+    assert [r[2] for r in got[3:4]] == ['{"a": "text"}']
+
+
 def test_stream_analyses_each_file_once(spark, tmp_path):
     drop, store, check = (str(tmp_path / n) for n in ("drop", "store", "check"))
     os.makedirs(drop)

@@ -27,12 +27,13 @@ def test_inline_agreement(agreement):
     rows = sg.segment(docs).orderBy("para_idx").collect()
     got = [(r.is_header, r.section_number, r.level, r.parent_id) for r in rows]
     assert got == [
-        (True, None, 0, None), (False, None, 0, "sec-000"), (True, "1", 1, "sec-000"), (True, "1.1", 2, "sec-002"),
-        (True, "1.2", 2, "sec-002"), (True, "2", 1, "sec-000"), (False, None, 0, "sec-005"), (False, None, 0, "sec-005"),
-        (True, "3", 1, "sec-000"), (False, None, 0, "sec-008"), (False, None, 0, "sec-008")]
-    assert rows[0].children_ids == ["sec-001", "sec-002", "sec-005", "sec-008"]
-    assert rows[2].children_ids == ["sec-003", "sec-004"] and rows[1].children_ids == []
-    assert rows[1].title == "Section 2" and rows[5].title == "HOW IT RUNS"
+        (True, None, 0, None), (True, None, 1, "sec-000"), (False, None, 0, "sec-001"), (True, "I", 1, "sec-000"),
+        (False, None, 0, "sec-003"), (True, "II", 1, "sec-000"), (True, "2.1", 2, "sec-005"), (True, "2.2.1", 3, "sec-006"),
+        (False, None, 0, "sec-007"), (True, "2.3", 2, "sec-005"), (True, "III", 1, "sec-000"), (False, None, 0, "sec-010"),
+        (True, "IV", 1, "sec-000")]
+    assert rows[0].children_ids == ["sec-001", "sec-003", "sec-005", "sec-010", "sec-012"]
+    assert rows[5].children_ids == ["sec-006", "sec-009"] and rows[2].children_ids == rows[12].children_ids == []
+    assert rows[2].title == "Section 3" and rows[1].title == "Words used here" and rows[5].title == "MONEY MATTERS"
 
 
 def test_offsets_slice_back(agreement):
