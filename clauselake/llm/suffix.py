@@ -42,7 +42,7 @@ _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 class Rolling:
-    """Hashes of all substrings of a buffer by prefix sums, modulo 2^64."""
+    """Hashes of all substrings of one length of a buffer by prefix sums, modulo 2^64; they choose keys, where a clash does no harm."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -58,14 +58,17 @@ class Rolling:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[data] * up[:len(data)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
-
     def all(self, width: int) -> np.ndarray:
         n = len(self.sums) - width
         return mixed((self.sums[width:] - self.sums[:n]) * self.down[:n] + np.uint64(width))
 
 
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """128-bit hashes of substrings: equal ones decide what is removed, and sums modulo 2^64 are equal for some different texts."""
+    body = memoryview(data.tobytes())
+    return [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())]
+
+
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest of every `width` neighbours, by running minima from both ends of blocks."""
     n = len(values) - width + 1
@@ -80,7 +83,7 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
 def runs_of(data: np.ndarray, starts: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Runs of the strings of several texts in one buffer: text number, first string, strings, key, content hash, and
     whether the key's place occurs in it more than once (then strings may repeat inside the run)."""
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "at", "n", "key", "content", "twice")}
+    empty = {k: np.zeros(0, np.int64) for k in ("text", "at", "n", "key", "twice")} | {"content": []}
     if len(data) < width:
         return empty
     rolling = Rolling(data)
@@ -107,7 +110,7 @@ def runs_of(data: np.ndarray, starts: np.ndarray, width: int = WIDTH, gram: int
     start = at[begin][index] + nth * MAX_RUN
     n = np.minimum(size[index] - nth * MAX_RUN, MAX_RUN)
     return {"text": text[start], "at": start - starts[text[start]], "n": n, "key": key[start].view(np.int64),
-            "content": rolling.of(start, start + n - 1 + width).view(np.int64),
+            "content": digests(data, start, start + n - 1 + width),
             "twice": (first[start] != last[start + n - 1]).astype(np.int64)}
 
 
@@ -138,11 +141,11 @@ def _runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
             shift = np.array([at for _, at, _ in cut], np.int64)[found["text"]] if cut else np.zeros(0, np.int64)
             owner, mark = (part.column(c).to_numpy(zero_copy_only=False) for c in ("owner", "mark"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found["key"]), pa.array(found["content"]), pa.array(owner[of]), pa.array(mark[of]),
+                [pa.array(found["key"]), pa.array(found["content"], pa.binary()), pa.array(owner[of]), pa.array(mark[of]),
                  pa.array((found["at"] + shift) * (MAX_RUN * 2) + found["n"]), pa.array(found["twice"])],
                 ["key", "content", "owner", "mark", "place", "twice"])
 
-    return docs.mapInArrow(run, "key bigint, content bigint, owner bigint, mark bigint, place bigint, twice bigint")
+    return docs.mapInArrow(run, "key bigint, content binary, owner bigint, mark bigint, place bigint, twice bigint")
 
 
 class RunIndex:

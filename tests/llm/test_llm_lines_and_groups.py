@@ -176,3 +176,17 @@ def test_hot_line_is_not_gathered(spark):
     """The plan joins lines on their hash and gathers positions by document only."""
     plan = linededup.dedup_lines(llm_cases.table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "collect_set" in plan and plan.count("CartesianProduct") == 0
+
+
+def test_texts_whose_sums_are_equal_are_told_apart(spark):
+    """A Thue-Morse string and its complement have the same polynomial modulo 2^64."""
+    line = [0]
+    while len(line) < 2048:
+        line += [1 - x for x in line]
+    one, other = (bytes(ord("ab"[x ^ flip]) for x in line) for flip in (0, 1))
+    both = np.frombuffer(one + other, np.uint8)
+    assert len(set(suffix.digests(both, np.array([0, 2048]), np.array([2048, 4096])))) == 2
+    mark = "a long opening that holds the smallest of all hashes, whatever it is, in front of both of them: "
+    texts = [(1, mark + one.decode()), (2, mark + other.decode()), (3, one.decode()[:700])]
+    got = {r.doc_id: bytes(r.kept) for r in suffix.remove_repeats(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert got == {i: x[2] for (i, _), x in zip(texts, plain_removal([t for _, t in texts], 200))}
