@@ -10,7 +10,7 @@ from clauselake.session import local_session  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 AGREEMENT = """
-HOUSE RULES OF THE BOAT JETTY
+RULES OF THE BOAT JETTY
 
 Words used here:
 

@@ -112,9 +112,9 @@ def test_switches_choose_branches(spark, agreement, cfg):
     tables = pipeline.analyze(agreement, cfg)
     assert ("cross_references" in tables) == cfg.cross_references
     r = pipeline.response(agreement, cfg).first()
-    assert r.metadata.contract_type == "service" and r.metadata.type_confidence == 0.5
-    assert r.has_pii == cfg.detect_pii and r.sections_count == 11 and r.status == "success"
-    assert tables["sections"].where("parent_id is not null").count() == (10 if cfg.hierarchical else 0)
+    assert r.metadata.contract_type == "general" and r.metadata.type_confidence == 0.5
+    assert r.has_pii == cfg.detect_pii and r.sections_count == 13 and r.status == "success"
+    assert tables["sections"].where("parent_id is not null").count() == (12 if cfg.hierarchical else 0)
 
 
 def test_inline_agreement_end_to_end(spark, agreement):

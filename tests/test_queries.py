@@ -7,7 +7,7 @@ from clauselake.verify.compare import compare, duck, types_match
 from conftest import SF
 
 SQL = entry.oracle_sql()
-SLOW = {"results_json", "stream_analyze", "train_eval_classifier", "result_store", "type_distribution", "risk_mean_by_type",
+SLOW = {"results_json", "results_json_models", "stream_redelivery", "stream_analyze", "train_eval_classifier", "result_store", "type_distribution", "risk_mean_by_type",
         "evaluation_details", "eval_stats", "contract_basics", "training_counts", "digest", "overall_summaries", "risk_top5",
         "terms_in_order", "section_offsets", "reference_lists"}
 
