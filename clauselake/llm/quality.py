@@ -4,7 +4,9 @@ Ratios of each text are gathered in mergeable quantile sketches per language
 and source: logarithmic buckets with counts, so a sketch merges by adding
 counts, gives every quantile within RELATIVE_ERROR and is the same in every
 run.  Fences around the quartiles replace fixed cutoffs and are joined back to
-the texts' measures.
+the texts' measures.  Each group's sketch is blended with its language's, and
+that with the sketch of all rows, at every size: PRIOR pseudo-rows, the
+percentiles of the wider sketch, are added to the group's own counts.
 """
 
 from __future__ import annotations
@@ -26,19 +28,24 @@ WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 RELATIVE_ERROR = 0.005
 LEAST = 1e-6
-MIN_GROUP = 100
+PRIOR = 100
 FENCE = 3.0
-# ratio: what it divides, and the least spread that counts as usual (a group may hold one value only)
+# rounding floor of a spread: a sketch may hold one value only
+LEAST_SPREAD = 0.01
+# ratio: what it divides, and how many of the counted things come at once (a repeat marks two runs of words);
+# a mean is not a count and has none
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 0.25),
-    "symbol_ratio": ("n_symbols", "n_words", 0.03),
-    "upper_ratio": ("n_upper", "word_chars", 0.05),
-    "dup_line_ratio": ("n_dup_lines", "n_text_lines", 0.25),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.05),
+    "word_length": ("word_chars", "n_words", None),
+    "symbol_ratio": ("n_symbols", "n_words", 1),
+    "upper_ratio": ("n_upper", "word_chars", 1),
+    "dup_line_ratio": ("n_dup_lines", "n_text_lines", 1),
+    "repeat_ratio": ("n_repeat_words", "n_words", 2 * WINDOW),
 }
 TWO_SIDED = ("word_length",)
 # a mean over n words may lie this much over the square root of n outside its fences
-SHORT_ALLOWANCE = {"word_length": 5.0}
+MEAN_NOISE = 5.0
+# deviations by which a count may exceed what its fence expects, by chance alone
+COUNT_NOISE = 2.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_text_lines")
 
 
@@ -130,41 +137,70 @@ def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
 
 
+QUANTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "q9": 0.9}
+
+
 def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, name, total, q1, q3 of every sketch (lower quantiles, within RELATIVE_ERROR)."""
+    """keys, name, total and QUANTILES of every sketch (lower quantiles, within RELATIVE_ERROR)."""
     group = Window.partitionBy(*keys, "name")
     value = F.when(F.col("bucket") == -(1 << 30), 0.0).otherwise(2 * F.pow(F.lit(_GAMMA), F.col("bucket")) / (_GAMMA + 1))
     sums = sketches.select(*keys, "name", "bucket", F.sum("n").over(group).alias("total"), F.sum("n").over(
         group.orderBy("bucket")).alias("upto"), value.alias("value"))
     return sums.groupBy(*keys, "name").agg(
         F.max("total").alias("total"), *[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value"))).alias(a)
-                                         for q, a in ((0.25, "q1"), (0.75, "q3"))])
+                                         for a, q in QUANTILES.items()])
+
+
+def pseudo_rows(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Every sketch shrunk to PRIOR rows, one at each of its evenly spaced quantiles; at most PRIOR buckets are left."""
+    group = Window.partitionBy(*keys, "name")
+    sums = sketches.select(*keys, "name", "bucket", "n", F.sum("n").over(group).alias("total"),
+                           F.sum("n").over(group.orderBy("bucket")).alias("upto"))
+
+    def below(n: str) -> Column:
+        return F.expr(f"({2 * PRIOR} * ({n}) + total) div (2 * total)")
+
+    return sums.select(*keys, "name", "bucket", (below("upto") - below("upto - n")).alias("n")).where("n > 0")
+
+
+def blended(own: DataFrame) -> DataFrame:
+    """The sketches of key0 and key1 with PRIOR pseudo-rows of their key0's sketch, which itself has as many of all rows'."""
+    names = F.col("name"), F.col("bucket"), F.col("n")
+    wide = merged(own, ["key0"])
+    every = wide.select("key0", "name").distinct().join(pseudo_rows(merged(own, []), []), "name")
+    wide = merged(wide.unionByName(every), ["key0"])
+    prior = pseudo_rows(wide, ["key0"]).select(F.col("key0").alias("k"), *names)
+    groups = own.select("key0", "key1").distinct()
+    return merged(own.unionByName(groups.join(prior, F.col("key0").eqNullSafe(F.col("k"))).drop("k")), ["key0", "key1"])
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """key0, key1 and for every ratio its lowest and highest accepted value.
 
-    A group with fewer than MIN_GROUP rows takes the merged sketch of its
-    first key, or of all rows if that one is as small.
+    The fence lies FENCE spreads beyond the upper quartile (and the lower one);
+    the spread is the distance of the quartiles.  Where they coincide, as for a
+    ratio that most texts have at zero, it lies as many distances of the median
+    and the ninth decile beyond that decile.
     """
     own = written(sketch(rows, ["key0", "key1"]), "sketches")
-    fine = quartiles(own, ["key0", "key1"])
-    middle = quartiles(merged(own, ["key0"]), ["key0"]).select(F.col("key0").alias("k"), F.col("name").alias("m"), *[
-        F.col(c).alias(f"{c}_m") for c in ("total", "q1", "q3")])
-    coarse = quartiles(merged(own, []), []).select(F.col("name").alias("c"), *[F.col(c).alias(f"{c}_c") for c in ("q1", "q3")])
-    found = (fine.join(middle, F.col("key0").eqNullSafe(F.col("k")) & (F.col("name") == F.col("m")))
-             .join(coarse, F.col("name") == F.col("c")))
-
-    def pick(q: str) -> Column:
-        return (F.when(F.col("total") >= MIN_GROUP, F.col(q)).when(F.col("total_m") >= MIN_GROUP, F.col(f"{q}_m"))
-                .otherwise(F.col(f"{q}_c")))
-
-    slack = F.create_map(*[F.lit(x) for r, (_, _, least) in RATIOS.items() for x in (r, least)])
-    fences = found.select("key0", "key1", "name", pick("q1").alias("q1"), pick("q3").alias("q3")).withColumn(
-        "reach", FENCE * F.greatest(F.col("q3") - F.col("q1"), F.element_at(slack, F.col("name"))))
+    found = quartiles(written(blended(own), "blended"), ["key0", "key1"])
+    wide = F.col("q3") > F.col("q1")
+    reach = FENCE * F.greatest(F.when(wide, F.col("q3") - F.col("q1")).otherwise(F.col("q9") - F.col("q2")), F.lit(LEAST_SPREAD))
+    fences = found.select("key0", "key1", "name", (F.when(wide, F.col("q3")).otherwise(F.col("q9")) + reach).alias("high"),
+                          (F.col("q1") - reach).alias("low"))
     return fences.groupBy("key0", "key1").agg(*[
-        F.max(F.when(F.col("name") == r, F.col("q3") + F.col("reach"))).alias(f"{r}_high") for r in RATIOS], *[
-        F.max(F.when(F.col("name") == r, F.col("q1") - F.col("reach"))).alias(f"{r}_low") for r in TWO_SIDED])
+        F.max(F.when(F.col("name") == r, F.col("high"))).alias(f"{r}_high") for r in RATIOS], *[
+        F.max(F.when(F.col("name") == r, F.col("low"))).alias(f"{r}_low") for r in TWO_SIDED])
+
+
+def exceeds(name: str) -> Column:
+    """Whether a text lies above its fence by more than chance: a mean by its length, a count by its expected deviation."""
+    part, whole, at_once = RATIOS[name]
+    high = F.col(f"{name}_high")
+    if at_once is None:
+        return ratio(name) > high + MEAN_NOISE / F.sqrt("n_words")
+    usual = high * F.col(whole)
+    return F.col(part) > usual + COUNT_NOISE * F.sqrt(at_once * usual) + COUNT_NOISE ** 2 * at_once
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -182,8 +218,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     out = rows.join(limits, F.col("key0").eqNullSafe(F.col("t0")) & F.col("key1").eqNullSafe(F.col("t1")), "left")
     rule = F.when(F.col("base_failed"), F.lit("base"))
     for r in RATIOS:
-        more = SHORT_ALLOWANCE.get(r, 0.0) / F.sqrt("n_words")
-        rule = rule.when(ratio(r) > F.col(f"{r}_high") + more, F.lit(r))
+        rule = rule.when(exceeds(r), F.lit(r))
         if r in TWO_SIDED:
-            rule = rule.when(ratio(r) < F.col(f"{r}_low") - more, F.lit(f"{r}_low"))
+            rule = rule.when(ratio(r) < F.col(f"{r}_low") - MEAN_NOISE / F.sqrt("n_words"), F.lit(f"{r}_low"))
     return out.select(F.col("id").alias(id_col), *MEASURES, "base_failed", rule.alias("rule"), rule.isNull().alias("kept"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -56,6 +57,79 @@ def test_sketches_merge_and_keep_their_error(spark):
         assert v == pytest.approx(np.quantile(exact, q, method="inverted_cdf"), rel=2.1 * quality.RELATIVE_ERROR)
 
 
+def plain_rules(rows):
+    """The failed rule of each row (n_words and so on, key0, key1, base_failed) by plain counting."""
+    gamma = (1 + quality.RELATIVE_ERROR) / (1 - quality.RELATIVE_ERROR)
+
+    def ratio(r, name):
+        part, whole, _ = quality.RATIOS[name]
+        return r[part] / r[whole] if r[whole] else 0.0
+
+    def spread_out(sketch):
+        values = [b for b, n in sorted(sketch.items()) for _ in range(n)]
+        return Counter(values[((2 * i + 1) * len(values) + 2 * quality.PRIOR - 1) // (2 * quality.PRIOR) - 1] for i in range(quality.PRIOR))
+
+    def quantile(sketch, q):
+        values = [b for b, n in sorted(sketch.items()) for _ in range(n)]
+        b = values[max(math.ceil(q * len(values)), 1) - 1]
+        return 0.0 if b == LOW else 2 * gamma ** b / (gamma + 1)
+
+    fences = {}
+    good = [r for r in rows if not r["base_failed"]]
+    for name in quality.RATIOS:
+        buckets = [(r["lang"], r["source"], LOW if ratio(r, name) < quality.LEAST else math.ceil(math.log(ratio(r, name)) / math.log(gamma)))
+                   for r in good]
+        every = Counter(b for _, _, b in buckets)
+        for lang, source in {b[:2] for b in buckets}:
+            middle = Counter(b for k, _, b in buckets if k == lang) + spread_out(every)
+            own = Counter(b for k, s, b in buckets if (k, s) == (lang, source)) + spread_out(middle)
+            q1, q2, q3, q9 = (quantile(own, q) for q in (0.25, 0.5, 0.75, 0.9))
+            from_, reach = (q3, q3 - q1) if q3 > q1 else (q9, q9 - q2)
+            reach = quality.FENCE * max(reach, quality.LEAST_SPREAD)
+            fences[lang, source, name] = q1 - reach, from_ + reach
+
+    def rule(r):
+        if r["base_failed"]:
+            return "base"
+        for name, (part, whole, at_once) in quality.RATIOS.items():
+            low, high = fences[r["lang"], r["source"], name]
+            if at_once is None:
+                noise = quality.MEAN_NOISE / math.sqrt(r["n_words"])
+                if ratio(r, name) > high + noise:
+                    return name
+                if ratio(r, name) < low - noise:
+                    return f"{name}_low"
+            elif r[part] > high * r[whole] + quality.COUNT_NOISE * math.sqrt(at_once * high * r[whole]) + quality.COUNT_NOISE ** 2 * at_once:
+                return name
+        return None
+
+    return {r["doc_id"]: rule(r) for r in rows}
+
+
+LOW = -(1 << 30)
+
+
+def test_quality_verdicts_equal_plain_counting(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"))
+    judged = quality.judge(docs)
+    rows = [r.asDict() for r in judged.join(docs.drop("text"), "doc_id").collect()]
+    assert {r["doc_id"]: r["rule"] for r in rows} == plain_rules(rows)
+    assert all(r["kept"] == (r["rule"] is None) for r in rows) and len({r["rule"] for r in rows}) > 2
+
+
+def test_quality_fences_follow_the_group(spark):
+    plain = "some words stand here beside other words and end"
+    coded = [(i, f"{plain} # line {i} * {i} of # code * {i}", "en", "code") for i in range(150)]
+    prose = [(1000 + i, f"{plain} in line {i} of prose {i} without marks", "en", "prose") for i in range(150)]
+    repeated = "\n".join(f"word{i} line{i} lime{i} moon{i}\nthe same" for i in range(60))
+    marked = plain + "".join(f" # and{i} * so{i}" for i in range(9))
+    rows = [*coded, *prose, (5000, repeated, "en", "prose"), (5001, marked, "en", "prose"), (5002, f"{plain} # and # so", "en", "prose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rules = {r.doc_id: r.rule for r in quality.judge(docs).collect()}
+    assert rules[5000] == "dup_line_ratio" and rules[5001] == "symbol_ratio" and rules[5002] is None
+    assert all(rules[i] is None for i, *_ in coded + prose)
+
+
 def test_quality_follows_the_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.judge(docs).join(labels, "doc_id").where("not base_failed").collect()
