@@ -11,6 +11,7 @@ task looks up for its own pieces.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -163,12 +164,16 @@ class Plan:
         """Fill `times` sequences with `pattern`: pairs of length and pieces of that length."""
         offset = 0
         for length, per in pattern:
-            self.runs.append((length, int(self.used[length]), per, self.sequences, offset))
-            self.used[length] += per * times
-            self.left[length] -= per * times
+            self.add(length, per, times, self.sequences, offset)
             offset += per * length
         self.sequences += times
 
+    def add(self, length: int, per: int, times: int, first: int, offset: int) -> None:
+        """Put `per` pieces of a length into each of `times` sequences from `first` on, at `offset`."""
+        self.runs.append((length, int(self.used[length]), per, first, offset))
+        self.used[length] += per * times
+        self.left[length] -= per * times
+
     def often(self, pattern: list[tuple[int, int]]) -> int:
         return min(int(self.left[length]) // per for length, per in pattern)
 
@@ -236,16 +241,33 @@ def reduce_by_dominance(plan: Plan) -> None:
 
 
 def best_fit(plan: Plan) -> None:
-    """Pack what is left: the longest piece, then again and again the longest that fits."""
-    while plan.left.any():
-        room, chosen, left = plan.capacity, [], plan.left.copy()
-        while len(fit := np.flatnonzero(left[:room + 1])):
-            n = int(fit[-1])
-            per = min(room // n, int(left[n]))
-            chosen.append((n, per))
-            left[n] -= per
-            room -= n * per
-        plan.take(chosen, plan.often(chosen))
+    """Pack what is left, longest first: every piece goes into the fullest open sequence that has room, else into a new one.
+
+    Open sequences are kept as ranges of equal room.  A sequence that has just
+    been given a piece is again the fullest one for its length, so it is filled
+    with as many as fit, and a whole range at once.
+    """
+    ranges: dict[int, list[tuple[int, int]]] = {}  # room: first sequence and number of sequences
+    rooms: list[int] = []  # the rooms that have sequences, ascending
+    for length in np.flatnonzero(plan.left)[::-1].tolist():
+        while left := int(plan.left[length]):
+            at = bisect.bisect_left(rooms, length)
+            if at == len(rooms):
+                room, first, n = plan.capacity, plan.sequences, -(-left // (plan.capacity // length))
+                plan.sequences += n
+            else:
+                room = rooms[at]
+                first, n = ranges[room].pop()
+                if not ranges[room]:
+                    del ranges[room], rooms[at]
+            per = min(room // length, left)
+            times = min(n, left // per)
+            plan.add(length, per, times, first, plan.capacity - room)
+            for rest, start, count in ((room - per * length, first, times), (room, first + times, n - times)):
+                if rest and count:
+                    if rest not in ranges:
+                        bisect.insort(rooms, rest)
+                    ranges.setdefault(rest, []).append((start, count))
 
 
 def solve(histogram: np.ndarray, capacity: int) -> Plan:

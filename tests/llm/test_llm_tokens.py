@@ -108,6 +108,41 @@ def test_fixing_dominating_sets_loses_nothing():
         assert whole.sequences >= -(-sum(lengths) // capacity) and not whole.left.any()
 
 
+def plain_best_fit(lengths, capacity):
+    """The rooms left in the sequences of best-fit decreasing, one piece at a time."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= n
+        else:
+            rooms.append(capacity - n)
+    return sorted(rooms)
+
+
+def test_best_fit_equals_one_piece_at_a_time():
+    rng = random.Random(8)
+    for _ in range(600):
+        capacity = rng.choice([10, 24, 40, 100])
+        lengths = [rng.randrange(1, rng.choice([4, capacity]) + 1) for _ in range(rng.randrange(1, 60))]
+        plan = packing.Plan(capacity, np.bincount(lengths, minlength=capacity + 1).astype(np.int64), np.zeros(capacity + 1, np.int64))
+        packing.best_fit(plan)
+        places, ranks = {}, Counter()
+        for length, rank, per, first, offset in plan.runs:
+            assert rank == ranks[length]
+            upto = min([r[1] for r in plan.runs if r[0] == length and r[1] > rank], default=lengths.count(length))
+            for i in range(upto - rank):
+                places.setdefault(first + i // per, []).append((offset + i % per * length, length))
+            ranks[length] = upto
+        assert sorted(places) == list(range(plan.sequences))
+        for parts in places.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+        assert sorted(capacity - sum(n for _, n in parts) for parts in places.values()) == plain_best_fit(lengths, capacity)
+
+
 def test_many_short_texts_fill_their_sequences():
     h = np.bincount(np.random.default_rng(3).integers(1, 900, 50000), minlength=2049)
     plan = packing.solve(h, 2048)
