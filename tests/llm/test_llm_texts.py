@@ -120,7 +120,7 @@ def test_quality_verdicts_equal_plain_counting(spark):
 def test_quality_fences_follow_the_group(spark):
     plain = "some words stand here beside other words and end"
     coded = [(i, f"{plain} # line {i} * {i} of # code * {i}", "en", "code") for i in range(150)]
-    prose = [(1000 + i, f"{plain} in line {i} of prose {i} without marks", "en", "prose") for i in range(150)]
+    prose = [(1000 + i, f"{plain} in line {i} of prose {i} without marks", "en", "prose") for i in range(1500)]
     repeated = "\n".join(f"wo{i} lin{i} lim{i} moo{i}\nthe same" for i in range(60))
     marked = plain + "".join(f" # and{i} * so{i}" for i in range(9))
     rows = [*coded, *prose, (5000, repeated, "en", "prose"), (5001, marked, "en", "prose"), (5002, f"{plain} # and # so", "en", "prose")]
