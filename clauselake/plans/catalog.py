@@ -552,6 +552,16 @@ def train_eval_classifier(spark, sf):
     return learn.quality(scored)
 
 
+def scored_labels(spark, sf):
+    """The text classifier trained and applied to the held-out rows: which rows they are, and that every one has a known
+    label and the confidence of the likelier of two classes."""
+    rows = learn.split_rows(text_rows(spark, sf).where("text is not null"), "doc_id", "label_idx")
+    labels = ["low", "high"]
+    scored = learn.score(learn.train(rows, max_iter=5), rows.where("is_validation"), labels, ["doc_id", "label_idx"])
+    return scored.select("doc_id", "label_idx", F.col("label").isin(labels).alias("known_label"),
+                         F.col("confidence").between(0.5, 1.0).alias("likelier_class"))
+
+
 LETTERS = "aeiou"
 
 
@@ -714,7 +724,7 @@ QUERIES = {f.__name__: f for f in (
     terms_in_order, glossary, cross_references, reference_lists, extract_info, extract_merge, extract_questions,
     important_sections, section_summaries, overall_summaries, key_points, contract_basics, response, digest,
     results_json, results_json_models, metrics_json, ingest_files, training_risk, training_section, training_qa, training_risk_b, training_section_b, training_qa_b,
-    training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, saved_classifier, hooked_scores, prediction_quality,
+    training_counts, qa_manifest, clause_csv_training, label_encoding, train_split, train_eval_classifier, scored_labels, saved_classifier, hooked_scores, prediction_quality,
     graded_predictions, metric_rows, eval_stats, type_distribution, risk_mean_by_type, measure_histogram,
     evaluation_details, error_documents, format_ts, merge_maps, stream_analyze, stream_redelivery, result_store, result_lookup,
     custom_rules, analyze_with_predictions)}

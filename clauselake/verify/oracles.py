@@ -313,6 +313,10 @@ def build() -> dict[str, str]:
                         f"THEN 'File exceeds maximum size of {INGEST_MB}MB' ELSE '' END, CASE WHEN doc_id % 10 = 0 OR large THEN 0 ELSE "
                         f"length(text) + 1 END FROM (SELECT *, strlen(text) + 1 > {int(INGEST_MB * 1024 * 1024)} AS large FROM documents "
                         "WHERE text IS NOT NULL)) GROUP BY ALL",
+        "scored_labels":
+            "SELECT doc_id, label_idx, TRUE AS known_label, TRUE AS likelier_class FROM (SELECT doc_id, quality::INT AS label_idx, "
+            "row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':42'), doc_id) <= ceil(count(*) OVER (PARTITION BY quality) "
+            "* 0.2::DOUBLE) AS held FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL) WHERE held",
         "saved_classifier": _saved_classifier(),
         "hooked_scores": HOOKED_SCORES,
         "metrics_json": sql(
