@@ -145,3 +145,15 @@ def test_very_long_word_runs_and_numbers_are_safe(spark):
     assert got["definitions"] == len("word ") * 60000 + len("means")
     heads = sg.sections(spark.createDataFrame([(1, "1" + ".1" * 60000 + " Title")], "doc_id int, text string")).collect()
     assert heads[0].is_header and heads[0].level == 60001
+
+
+def test_rules_run_as_compiled_code(spark):
+    """No pattern is evaluated inside a generator, and no stage keeps a method that the JVM would only interpret."""
+    import re
+
+    from clauselake.plans import catalog
+    for query in (catalog.clauses, catalog.risks, catalog.clause_risk_link, catalog.terms):
+        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        generators = re.findall(r"Generate explode\((.*)", plan)
+        assert generators and not any("RLIKE" in g or "Contains" in g for g in generators)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

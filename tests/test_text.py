@@ -84,3 +84,29 @@ def test_dates_parties_in_order_of_appearance(spark):
             "made between Alpha Works and Beta Works, among ab and Gamma Works.")
     assert one(spark, text, md.all_dates) == ["May 3, 2020", "01/02/2021", "3rd day of June, 2022"]
     assert one(spark, text, md.all_parties) == ["Alpha Works", "Beta Works", "Gamma Works"]
+
+
+def test_cleaning_of_few_and_many_foreign_characters_equals_the_plain_steps(spark):
+    rng = random.Random(5)
+    parts = ["word ", "a  b", "  ", "\n", "\n\n\n\n", "camelCase", "\n12\n", "\nPage 3 of 9\n", "\x00", "\x0b", "\x7f", "é", "“q”", "œuvre", "Щука",
+             "中", "\t", "\r", "e\u0301", "\U0001f600", " plain text of some length"]
+    texts = ["".join(rng.choices(parts, [rng.choice((1, 30)) for _ in parts], k=rng.randrange(60))) for _ in range(300)]
+
+    def plainly(t):
+        cleaned = F.regexp_replace(tx.to_ascii(t), r"\p{Cntrl}(?<![\t\n\r])", " ")
+        for pattern, put in ((r" {2,}", " "), (r"\n{3,}", "\n\n"), (r"(?<=[a-z])[A-Z]", " $0"), (r"\n\s*\d+\s*\n", "\n"),
+                             (r"\n\s*(?i:Page)\s+\d+\s+(?i:of)\s+\d+\s*\n", "\n")):
+            cleaned = F.regexp_replace(cleaned, pattern, put)
+        return tx.strip(cleaned)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", tx.clean_text(F.col("t")).alias("a"), plainly(F.col("t")).alias("b")).collect()
+    assert len(got) == 300 and [r.t for r in got if r.a != r.b] == []
+
+
+def test_words_are_found_by_their_rare_part(spark):
+    words = ["agree", "end", "fee", "required to", "non-disclosure", "obligation", "e", "mm", "zebra"]
+    texts = ["we agree", "weekend", "the gree", "required  to", "required to", "obligations", "bligation", "non-disclosure", "zebr", "", "ebra zebra"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", *[tx.holds(F.col("t"), w).alias(f"w{i}") for i, w in enumerate(words)]).collect()
+    assert all(r[f"w{i}"] == (w in r.t) for r in got for i, w in enumerate(words))
