@@ -1,0 +1,56 @@
+"""Functions over Arrow batches say what the expressions over single texts say."""
+
+import random
+import re
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from clauselake.functions import batches
+from clauselake.functions.text import clean_text, word_count
+from clauselake.operators import segment as sg
+from clauselake.plans.catalog import section_types
+from clauselake.rules.vocab import SECTION_TYPES
+from conftest import SF
+
+ODD = ["", " ", "\n", "a", " a  b\tc\x0b\x0cd\r\n", "Keep", "bİlling", "BILLING", "İK agree", "fee paid", "中文 shall",
+       "Of no kind", "CAPITALS ONLY", "It must", "x\u0085y"]
+
+
+def odd_texts():
+    dice = random.Random(5)
+    words = [w for ws in SECTION_TYPES.values() for w in ws] + ["", "x", "\n", "\t", "\x0c", "é", "END", "when", "no"]
+    return ODD + [" ".join(dice.choice(words) for _ in range(dice.randrange(6))) for _ in range(300)]
+
+
+def test_batches_agree_with_expressions(spark):
+    texts = odd_texts()
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t"))
+    t = F.col("t")
+    rows = df.select(
+        "t", batches.words_of(t).alias("w"), word_count(t).alias("w1"),
+        sg.section_type(t, F.col("low"), word_count(t)).alias("type"),
+        sg.typed(t, batches.first_of(t, [sg.indicator_words(w) for w in SECTION_TYPES.values()]), word_count(t)).alias("type1")).collect()
+    for r in rows:
+        assert r.w == r.w1 == len([x for x in re.split(r"[ \t\n\r\x0b\x0c]+", r.t) if x]), r
+        assert r.type == r.type1, r
+
+
+def test_slices_and_nulls():
+    whole = pa.array(["x", None, "two words", "", " a\nb c "])
+    assert batches.counted_words(whole.slice(1)).to_pylist() == [None, 2, 0, 3]
+    assert batches.first_holding(whole.slice(1), ["words", "b"]).to_pylist() == [None, 0, None, 1]
+    assert batches.cleaned(whole.slice(1)).to_pylist() == ["", "two words", "", "a\nb c"]
+    assert batches.cleaned(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_cleaning_steps(spark):
+    given = ["a\x07b—ć", "жш фąx 中́", "aBcD  e\n\n\n\nf", "a\n 12 \nb\n3\n4\nc", "a\n page 1 OF 2\nb", None]
+    want = ["a b--c", "zhsh fax 中", "a Bc D e\n\nf", "a\nb\n4\nc", "a\nb", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    assert [r.c for r in df.orderBy("i").select(clean_text(F.col("t")).alias("c")).collect()] == want
+
+
+def test_types_take_one_search_a_type_not_one_a_word(spark):
+    plan = section_types(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Contains(" not in plan
