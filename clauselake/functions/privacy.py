@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clauselake.functions.batches import holding
 from clauselake.functions.text import between, let
 from clauselake.rules.model import java_pattern
 from clauselake.rules.privacy import ENTITY_PATTERNS, PII_PATTERNS
@@ -17,22 +18,29 @@ _TYPE_LETTERS = "ABCDEFGHI"
 # The same language as the `name` pattern, with a possessive word loop: the JVM matcher then
 # iterates instead of recursing, so a long run of capitalised words cannot exhaust a task's stack.
 _JVM_FORM = {"name": r"\b(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.)\s+[A-Z][a-z]+\b(?:\s+[A-Z][a-z]+\b)++"}
-# Plain text that every match of a type contains; a text without it skips the regex.
-_NEEDLE = {"email": "@"}
+# Types looked for in whole batches of texts before a text is searched.  A phone number or an address may begin with a
+# sign after a letter beyond ASCII, where a batch sees no word boundary: of an address only the @ is looked for, and
+# numbers, which nearly every text holds, are not.
+_GATED = [(name, "@" if name == "email" else p, ci) for name, p, ci in PII_PATTERNS if name != "phone"]
 
 
 def _all_values(text: Column, name: str, pattern: str, ignore_case: bool) -> Column:
     java = java_pattern(_JVM_FORM.get(name, pattern), ignore_case)
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(java), F.lit(0)))
-    if name in _NEEDLE:
-        return F.when(F.contains(text, F.lit(_NEEDLE[name])), found).otherwise(F.array().cast("array<string>"))
-    return found
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(java), F.lit(0)))
 
 
 def pii_values(text: Column) -> Column:
     """Array of (pii_type, values) for the types that occur, in redaction order."""
-    groups = F.array(*[F.struct(F.lit(name).alias("pii_type"), _all_values(text, name, p, ci).alias("values"))
-                       for name, p, ci in PII_PATTERNS])
+    held = holding(text, [(p, ci) for _, p, ci in _GATED])
+    bits = {name: n for n, (name, _, _) in enumerate(_GATED)}
+
+    def values(name, pattern, ignore_case):
+        found = _all_values(text, name, pattern, ignore_case)
+        if name not in bits:
+            return found
+        return F.when(held.bitwiseAND(F.lit(1 << bits[name])) != 0, found).otherwise(F.array().cast("array<string>"))
+
+    groups = F.array(*[F.struct(F.lit(name).alias("pii_type"), values(name, p, ci).alias("values")) for name, p, ci in PII_PATTERNS])
     return F.filter(groups, lambda g: F.size(g["values"]) > 0)
 
 
@@ -51,21 +59,23 @@ def redact(text: Column, groups: Column) -> Column:
     linear pass.  They become markers without digits first, so that no later
     type can match inside an earlier replacement; a last pass spells them out.
     A value that also stands where its pattern does not match (inside a longer
-    word) stays there.
+    word) stays there.  Only the types of `groups`, the values of this text,
+    are looked for: matches begin and end at word boundaries, so a marker makes
+    no new one, and what earlier types have left holds no type that the text does not.
     """
-    marked = text
+    marked, types = text, pii_type_names(groups)
     for (name, pattern, ignore_case), code in zip(PII_PATTERNS, _TYPE_LETTERS):
-        marked = let(marked, _marker_pass(java_pattern(_JVM_FORM.get(name, pattern), ignore_case), code, _NEEDLE.get(name)))
+        there = F.array_contains(types, F.lit(name))
+        marked = let(marked, _marker_pass(java_pattern(_JVM_FORM.get(name, pattern), ignore_case), code, there))
     return F.when(F.size(groups) == 0, text).otherwise(let(marked, _spell_out))
 
 
-def _marker_pass(pattern: str, code: str, needle: str | None):
+def _marker_pass(pattern: str, code: str, there: Column):
     def mark(value: Column) -> Column:
         digest = F.translate(F.left(F.md5(value.cast("binary")), F.lit(8)), _DIGITS, _DIGIT_LETTERS)
         return F.concat(F.lit(_MARK_OPEN + code), digest, F.lit(_MARK_CLOSE))
 
     def run(t: Column) -> Column:
-        there = F.contains(t, F.lit(needle)) if needle else t.rlike(pattern)
         return F.when(there, between(F.split(t, pattern), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), mark))).otherwise(t)
 
     return run

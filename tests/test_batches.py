@@ -7,9 +7,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clauselake.functions import batches
+from clauselake.functions import privacy as pv
 from clauselake.functions.text import clean_text, word_count
 from clauselake.operators import segment as sg
+from clauselake.operators.privacy import with_pii
 from clauselake.plans.catalog import section_types
+from clauselake.rules.privacy import PII_PATTERNS
 from clauselake.rules.vocab import SECTION_TYPES
 from conftest import SF
 
@@ -54,3 +57,21 @@ def test_cleaning_steps(spark):
 def test_types_take_one_search_a_type_not_one_a_word(spark):
     plan = section_types(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "Contains(" not in plan
+
+
+PII_TEXTS = ["é.%@c.org", "é(555) 010-4477", "7\x0bOld\x0bStreet", "x" * 50, "Dr. Ann\nLee of 1 Kſ St, ACCOUNT no number 12345é", "AB1234567é",
+             "ssn 123-45-6789, a@b.co 4111 1111 1111 1111 and 04/17/1961 or 1961-04-17"]
+
+
+def test_personal_data_behind_the_batch_test_is_what_the_patterns_find(spark):
+    df = spark.createDataFrame([(t,) for t in PII_TEXTS], "t string")
+    t = F.col("t")
+    each = [pv._all_values(t, *p).alias(p[0]) for p in PII_PATTERNS]
+    for r in df.select("t", pv.pii_values(t).alias("g"), *each).collect():
+        assert {g.pii_type: g["values"] for g in r.g} == {n: r[n] for n, _, _ in PII_PATTERNS if r[n]}, r
+
+
+def test_redaction_searches_only_for_types_that_were_found(spark):
+    df = spark.createDataFrame([(t,) for t in PII_TEXTS], "clean string")
+    plan = with_pii(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "RLIKE" not in plan
