@@ -75,3 +75,12 @@ def test_redaction_searches_only_for_types_that_were_found(spark):
     df = spark.createDataFrame([(t,) for t in PII_TEXTS], "clean string")
     plan = with_pii(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "RLIKE" not in plan
+
+
+def test_word_boundaries_are_tested_only_where_a_match_can_begin(spark):
+    for name, pattern, ignore_case in PII_PATTERNS:
+        java = pv._jvm_pattern(name, pattern, ignore_case)
+        assert name == "email" or re.match(r"\(\?d?i?\)\(\?=", java), name
+        for text in PII_TEXTS:
+            if text.isascii() and name != "name":
+                assert re.findall(java.replace("(?di)", "(?i)").replace("(?d)", ""), text) == re.findall(("(?i)" if ignore_case else "") + pattern, text)
