@@ -33,14 +33,19 @@ def shown(name: str) -> bool:
     return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
 
 
+def opened(folder: str):
+    """File system and path in it of a folder that Spark names."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub("^file:/*", "/", folder))
+
+
 def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
     if folder.startswith("file:"):
         with os.scandir(re.sub("^file:/*", "/", folder)) as found:
             for e in found:
                 yield e.name, 0 if e.is_dir() else e.stat().st_size, e.is_dir()
     else:
-        from pyarrow import fs
-        store, inner = fs.FileSystem.from_uri(folder)
+        store, inner = opened(folder)
         for e in store.get_file_info(fs.FileSelector(inner)):
             yield e.base_name, e.size or 0, e.type == fs.FileType.Directory
 

@@ -1,8 +1,12 @@
 """Tasks list what is in folders; no path of a file is part of a plan."""
 
+import os
+
 import pytest
 
+from clauselake.plans.catalog import file_drop
 from clauselake.sources import files, listing
+from conftest import SF
 
 
 def names(frame):
@@ -46,3 +50,15 @@ def test_the_plan_does_not_grow_with_the_files(spark, tmp_path):
         assert rows.count() == n and rows.where("status = 'error'").count() == n // 2
         sizes.append(len(rows._jdf.queryExecution().optimizedPlan().toString()))
     assert sizes[1] < sizes[0] + 100
+
+
+def test_files_share_folders_and_hold_their_texts(spark):
+    root = file_drop(spark, SF)
+    folders = [p for p, inner, _ in os.walk(root) if not inner]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("doc_id", "text").collect()
+    assert len(docs) > 100 > len(folders)
+    for d in docs[:50]:
+        scan = d.doc_id % 10 == 0
+        path = f"{root}/{'scans' if scan else 'texts'}/shelf={d.doc_id % 10}/box={d.doc_id // 10_000}/{d.doc_id}.{'pdf' if scan else 'txt'}"
+        with open(path, encoding="utf-8", newline="") as f:
+            assert f.read() == (str(d.doc_id) if scan else d.text) + "\n"
