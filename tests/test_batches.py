@@ -7,13 +7,18 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clauselake.functions import batches
+from clauselake.functions import metadata as md
 from clauselake.functions import privacy as pv
-from clauselake.functions.text import clean_text, word_count
+from clauselake.functions.text import clean_text, strip, word_count
+from clauselake.operators import detect
 from clauselake.operators import segment as sg
 from clauselake.operators.privacy import with_pii
 from clauselake.plans.catalog import section_types
+from clauselake.rules.clause import CLAUSE_RULES
+from clauselake.rules.model import java_pattern
 from clauselake.rules.privacy import PII_PATTERNS
-from clauselake.rules.vocab import SECTION_TYPES
+from clauselake.rules.risk import RISK_RULES
+from clauselake.rules.vocab import CONTRACT_TYPES, DATE_PATTERN, PARTY_PATTERN, SECTION_TYPES
 from conftest import SF
 
 ODD = ["", " ", "\n", "a", " a  b\tc\x0b\x0cd\r\n", "Keep", "bİlling", "BILLING", "İK agree", "fee paid", "中文 shall",
@@ -84,3 +89,61 @@ def test_word_boundaries_are_tested_only_where_a_match_can_begin(spark):
         for text in PII_TEXTS:
             if text.isascii() and name != "name":
                 assert re.findall(java.replace("(?di)", "(?i)").replace("(?d)", ""), text) == re.findall(("(?i)" if ignore_case else "") + pattern, text)
+
+
+def test_paragraphs_agree_with_expressions(spark):
+    dice = random.Random(7)
+    parts = ["\n", "\n\n", " \n \x0b\n", "\t", "12.5 ", "123456789.0", "words of a line", "é中文 und 中文 so", "\x0c", " ", "\r\n\r\n", "x"]
+    texts = ["", "\n\n", "123456789.01 \n\nplain words here", None] + ["".join(dice.choice(parts) for _ in range(dice.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.filter(F.transform(F.split("t", r"\n\s*\n"), strip), lambda p: (F.length(p) > sg.MIN_PARAGRAPH) & ~p.rlike(r"^[\d.]+$"))
+    for r in df.select("t", sg.paragraph_array(F.col("t")).alias("got"), plain.alias("want")).collect():
+        assert r.got == r.want, r
+
+
+def test_found_names_agree_with_expressions(spark):
+    dice = random.Random(11)
+    parts = ["dated ", "Dated as of ", "AS OF\n", "effective", " May 3, 2020", " 01/02/2021 ", "3rd day of June, 2022", "by and between ", "Between\t",
+             "among", " Alpha", " and ", " Beta, ", ".", "é", " İ", "between", ", ", "  B  "]
+    texts = [None, ""] + ["".join(dice.choice(parts) for _ in range(dice.randrange(14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    dates = F.slice(F.array_distinct(F.regexp_extract_all("t", F.lit(java_pattern(DATE_PATTERN)), F.lit(1))), 1, 5)
+    halves = [F.regexp_extract_all("t", F.lit(java_pattern(PARTY_PATTERN)), F.lit(n)) for n in (1, 2)]
+    names = F.flatten(F.zip_with(*halves, lambda a, b: F.array(strip(a), strip(b))))
+    parties = F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) > 3)), 1, 5)
+    rows = df.select("t", md.all_dates(F.col("t")).alias("d"), dates.alias("d1"), md.all_parties(F.col("t")).alias("p"), parties.alias("p1")).collect()
+    assert all(r.d == r.d1 and r.p == r.p1 for r in rows), [r for r in rows if (r.d, r.p) != (r.d1, r.p1)][:3]
+    assert sum(bool(r.d) for r in rows) > 50 and sum(bool(r.p) for r in rows) > 50
+
+
+def test_types_agree_with_expressions(spark):
+    dice = random.Random(13)
+    words = [w for ws in CONTRACT_TYPES.values() for w in ws] + ["Lease_", "non", "-", "of", "é", "rent1", "TRADE", "secret", "trade  secret"]
+    texts = [None, ""] + ["".join(dice.choice(words) + dice.choice([" ", "-", "", "\n"]) for _ in range(dice.randrange(9))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.lower("t").alias("low"), md.type_scores(F.col("t")).alias("s"))
+    for r in df.select("t", "s", md.top_type(F.col("low"), F.col("s")).alias("a"), md.top_type(F.col("low"), F.lit(None).cast("array<int>")).alias("b")).collect():
+        assert r.a == r.b and (r.s is None) == (r.t is None or not r.t.isascii()), r
+
+
+def test_gates_miss_no_rule(spark):
+    dice = random.Random(17)
+    for rules in (RISK_RULES, CLAUSE_RULES):
+        words = [w for r in rules for ws in detect.rule_words(r) for w in ws] + ["shall be", "the", "“Fee” means", "at any time", "not", "İ"]
+        texts = ["", *[" ".join(w.upper() if dice.random() < 0.2 else w for w in dice.choices(words, k=dice.randrange(14))) for _ in range(500)]]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.lower("t").alias("low"), detect.gate(rules, F.col("t")).alias("held"))
+        t, low = F.col("t"), F.col("low")
+        rows = df.select(detect.raised(detect.gated_flags(rules, t, low, F.col("held"))).alias("got"), detect.fired_rules(rules, t, low).alias("want")).collect()
+        assert all(r.got == r.want for r in rows) and any(r.want for r in rows)
+    # a rule without words that its patterns need is not gated
+    assert batches.held_groups(pa.array(["a", "b"]), [[], [["b"]]]).to_pylist() == [1, 3]
+
+
+def test_headers_agree_with_expressions(spark):
+    texts = odd_texts() + ["1. Fees", "IV. End", "A Deal", "TERMS: x", "Section 2: Pay", "ſection 2: Pay", "EXHIBIT B - ", "1.2.3 a\n", "2.1 a\nb", "TITLE.\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("held", sg.held_headers(F.col("t")))
+    rows = df.select("t", sg.header_kind(F.col("t"), F.col("held")).alias("a"), sg.header_kind(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) > 5
+
+
+def test_spelling_keeps_texts_apart():
+    assert batches.spelled(pa.array(["é", "é", "", "aé", "\x07“", "中"])).to_pylist() == ["e", "e", "", "ae", ' "', "中"]
