@@ -10,7 +10,7 @@ from clauselake.functions import batches
 from clauselake.functions import metadata as md
 from clauselake.functions import privacy as pv
 from clauselake.functions.text import clean_text, strip, word_count
-from clauselake.operators import detect
+from clauselake.operators import detect, xref
 from clauselake.operators import segment as sg
 from clauselake.operators.privacy import with_pii
 from clauselake.plans.catalog import section_types
@@ -147,3 +147,13 @@ def test_headers_agree_with_expressions(spark):
 
 def test_spelling_keeps_texts_apart():
     assert batches.spelled(pa.array(["é", "é", "", "aé", "\x07“", "中"])).to_pylist() == ["e", "e", "", "ae", ' "', "中"]
+
+
+def test_references_agree_with_expressions(spark):
+    dice = random.Random(19)
+    parts = ["pursuant to ", "Subject to\n", "as described in ", "see ", "refer to ", "Section ", "article\t", "clause ", "2.1", "3", " hereof", " above", "12.", " é ", " "]
+    texts = ["", *["".join(dice.choice(parts) for _ in range(dice.randrange(12))) for _ in range(1500)], None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", xref.numbers_of(F.col("t")).alias("a"), xref.referenced_numbers(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows), [r for r in rows if r.a != r.b][:3]
+    assert sum(bool(r.a) for r in rows) > 50 and any(len(r.a or ()) > 1 for r in rows)
