@@ -225,3 +225,13 @@ def test_text_survives_control_characters_and_scale_of_one_document(spark):
     rows = sg.segment(df.select("doc_id", clean_text(F.col("text")).alias("text")))
     assert rows.count() > 3000
     assert pipeline.metrics(df).first().sections_count > 3000
+
+
+def test_sections_and_risks_are_worked_out_once(spark, agreement, tmp_path):
+    guesses = spark.createDataFrame([(1, "sec-001", "novel_risk", 0.9)], "doc_id bigint, section_id string, label string, confidence double")
+    plain = pipeline.analyze(agreement, predictions=guesses)
+    shared = pipeline.analyze(agreement, predictions=guesses, staging=str(tmp_path / "run"))
+    for name in ("risks", "clauses"):
+        assert sorted(map(str, shared[name].collect())) == sorted(map(str, plain[name].select(*shared[name].columns).collect()))
+    plan = shared["responses"].select("doc_id", "risks_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "RLIKE" not in plan and "-risks" in str(shared["risks"].inputFiles())
