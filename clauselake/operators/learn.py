@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from clauselake.functions.text import let
+from clauselake.functions.text import let, unfold
 
 FEATURES = 1 << 16
 
@@ -166,7 +166,7 @@ def score_windows(rows: DataFrame, model: Callable[[Column], Column], keys: list
     surest window of a text decides (of equals the first label).  Null texts have
     no windows and no row.
     """
-    windows = rows.select(*keys, F.explode(text_windows(F.col(text), width, overlap)).alias("window"))
+    windows = unfold(rows, keys, text_windows(F.col(text), width, overlap), "at", "window")
     best = F.struct((-F.col("s.confidence")).alias("order"), F.col("s.label").alias("label"))
     scored = windows.select(*keys, model(F.col("window")).alias("s")).groupBy(*keys).agg(F.min(best).alias("best"))
     return scored.select(*keys, "best.label", (-F.col("best.order")).alias("confidence"))

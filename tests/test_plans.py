@@ -1,0 +1,22 @@
+"""What the optimizer must not do to a plan, and batch functions against plain searches."""
+
+from clauselake.functions.text import unfold
+from clauselake.plans import catalog
+from conftest import SF
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_text_is_worked_out_below_the_exchange_that_spreads_it(spark):
+    for name in ("section_types", "label_encoding", "prediction_quality", "risk_by_category", "risk_top5", "risk_type_matrix",
+                 "legal_entities", "section_offsets", "extract_merge", "pii_report"):
+        above, *below = plan_of(catalog.QUERIES[name](spark, SF)).split("RepartitionByExpression")
+        assert below and "EvalPython" in above, name
+        assert not any("EvalPython" in part for part in below[:1]), name
+
+
+def test_unfold_keeps_elements_and_drops_empty_rows(spark):
+    df = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None)], "i int, xs array<string>")
+    assert [tuple(r) for r in unfold(df, ["i"], F.col("xs"), "at", "x").collect()] == [(1, 0, "a"), (1, 1, None), (1, 2, "b")]
