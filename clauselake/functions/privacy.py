@@ -105,11 +105,19 @@ def _spell_out(marked: Column) -> Column:
 
 
 def legal_entities(text: Column) -> Column:
-    """Map entity type -> distinct values, only for the types that occur."""
-    groups = F.array(*[F.struct(F.lit(name).alias("key"),
-                                F.array_distinct(F.regexp_extract_all(text, F.lit(java_pattern(p, ci)), F.lit(0)))
-                                .alias("value"))
-                       for name, p, ci in ENTITY_PATTERNS])
+    """Map entity type -> distinct values, only for the types that occur.
+
+    A text is searched for the types that a batch test holds; that test leaves out the last word boundary, which the
+    JVM also sees before letters beyond ASCII.
+    """
+    held = holding(text, [(p.removesuffix(r"\b"), ci) for _, p, ci in ENTITY_PATTERNS])
+
+    def values(n, pattern, ignore_case):
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(java_pattern(pattern, ignore_case)), F.lit(0)))
+        return F.when(held.bitwiseAND(F.lit(1 << n)) != 0, found).otherwise(F.array().cast("array<string>"))
+
+    groups = F.array(*[F.struct(F.lit(name).alias("key"), values(n, p, ci).alias("value"))
+                       for n, (name, p, ci) in enumerate(ENTITY_PATTERNS)])
     return F.map_from_entries(F.filter(groups, lambda g: F.size(g["value"]) > 0))
 
 

@@ -43,5 +43,6 @@ def pii_report(docs: DataFrame, text: str = "clean") -> DataFrame:
 
 def entity_table(sections: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, section_id, entity_type, value."""
-    groups = unfold(sections, [id_col, "section_id"], p.legal_entities(F.col(text)), "at", "entity_type", "found")
+    sections = sections.select(id_col, "section_id", p.legal_entities(F.col(text)).alias("entities"))
+    groups = unfold(sections, [id_col, "section_id"], F.col("entities"), "at", "entity_type", "found")
     return unfold(groups, [id_col, "section_id", "entity_type"], F.col("found"), "at", "value").drop("at")
