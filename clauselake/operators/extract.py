@@ -2,47 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.functions.batches import first_answers
 from clauselake.functions.lookup import lookup
-from clauselake.functions.text import holds, let, strip, unfold
-from clauselake.rules.model import java_pattern
-from clauselake.rules.prefilter import needles
-from clauselake.rules.vocab import ALL_EXTRACTION_TYPES, EXTRACTION_PATTERNS, EXTRACTION_QUESTIONS, EXTRACTION_TYPES
+from clauselake.functions.text import let, unfold
+from clauselake.rules.vocab import (ALL_EXTRACTION_TYPES, EXTRACTION_PATTERNS, EXTRACTION_QUESTIONS, EXTRACTION_TYPES,
+                                    EXTRACTION_WORDS)
 
 PATTERN_CONFIDENCE = 0.9
 TRUSTED, MIN_MODEL_CONFIDENCE, MIN_MODEL_TEXT = 0.8, 0.5, 20
 
 
-def _answer(text: Column, pattern: str, groups: int) -> Column:
-    parts = F.array(*[F.regexp_extract(text, java_pattern(pattern), g + 1) for g in range(groups)])
-    return strip(F.array_join(F.filter(parts, lambda p: strip(p) != ""), " and "))
-
-
-def pattern_answer(name: str, text: Column, low: Column) -> Column:
-    """Value of the first pattern that matches, at its first match; null if none does."""
-    patterns = EXTRACTION_PATTERNS.get(name, ())
-    if not patterns:
-        return F.lit(None).cast("string")
-    groups = 2 if name == "parties" else 1
-    words = needles(patterns)
-    gate = reduce(or_, [holds(low, w) for w in words]) if words else F.lit(True)
-    first = F.coalesce(*[F.when(text.rlike(java_pattern(p)), _answer(text, p, groups)) for p in patterns])
-    return F.when(gate, first)
+def answers(text: Column, types=EXTRACTION_TYPES) -> Column:
+    """Array of (ext_type, value, confidence, method), one per asked type, in order.
 
-
-def answers(text: Column, low: Column, types=EXTRACTION_TYPES) -> Column:
-    """Array of (ext_type, value, confidence, method), one per asked type, in order."""
-    def row(name):
-        value = pattern_answer(name, text, low)
-        return F.struct(F.lit(name).alias("ext_type"), value.alias("value"))
-
-    found = F.array(*[row(n) for n in types])
-    return F.transform(found, lambda r: F.struct(
+    The value is what the first pattern of the type that matches finds, at its first match.
+    """
+    known = [list(zip(EXTRACTION_WORDS.get(n, ()), EXTRACTION_PATTERNS.get(n, ()))) for n in types]
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in types]).alias("ext_type"), first_answers(text, known).alias("value"))
+    return F.transform(named, lambda r: F.struct(
         r["ext_type"].alias("ext_type"), F.coalesce(r["value"], F.lit("")).alias("value"),
         F.when(r["value"].isNotNull(), F.lit(PATTERN_CONFIDENCE)).otherwise(F.lit(0.0)).alias("confidence"),
         F.when(r["value"].isNotNull(), F.lit("pattern")).otherwise(F.lit("none")).alias("method")))
@@ -50,8 +30,8 @@ def answers(text: Column, low: Column, types=EXTRACTION_TYPES) -> Column:
 
 def extract(docs: DataFrame, text: str = "body", types=EXTRACTION_TYPES, id_col: str = "doc_id") -> DataFrame:
     """Long table of pattern answers, one row per document and asked type."""
-    rows = docs.select(id_col, F.col(text).alias("t"), F.lower(text).alias("low"))
-    return (unfold(rows, [id_col, F.length("t").alias("text_chars")], answers(F.col("t"), F.col("low"), types), "type_order", "a")
+    rows = docs.select(id_col, F.length(text).alias("text_chars"), answers(F.col(text), types).alias("answers"))
+    return (unfold(rows, [id_col, "text_chars"], F.col("answers"), "type_order", "a")
             .select(id_col, "type_order", "a.*", "text_chars"))
 
 
