@@ -121,3 +121,25 @@ def test_the_tree_needs_no_exchange(spark, tmp_path, agreement):
     agreement.select("doc_id", clean_text(F.col("text")).alias("text")).write.parquet(path)
     plan = sg.segment(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_the_tree_of_batches_equals_the_tree_in_the_row(spark):
+    from clauselake.plans.corpus import contracts
+    from clauselake.functions.text import prefix_sums
+    from conftest import SF
+
+    rng = random.Random(5)
+    lines = ["1. First heading", "1.2 Second heading", "1.2.3. Third one here", "IV. Roman numbers", "A. Letter heading", "IX The ninth part",
+             "TITLED THING: and more", "Section 4 - about it", "ARTICLE IV: words", "exhibit b - the list", "ſection 3. long s here", "SCHEDULE 1: ",
+             "ONLY CAPITALS HERE", "ends in a colon:", "a plain paragraph of words", "ÉÉÉ ÀÀÀ ÜÜÜ ÖÖÖ", "1.1\nbroken heading line", "1.1 line\nand more",
+             "1.1 heading of a kind\x85", "CAPITALS\x0bAND\x0bMORE OF THEM", "٣. arabic digit line", "X" * 30 + "."]
+    texts = [None, "", "short"] + ["\n\n".join(rng.choices(lines, k=rng.randrange(1, 30))) for _ in range(60)]
+    texts += [r.t for r in contracts(spark, SF).select(clean_text(F.col("text")).alias("t")).limit(100).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = df.select("doc_id", sg.paragraph_array(F.col("text")).alias("ps"))
+    rows = rows.select("doc_id", "ps", sg.parents(sg.outline(F.col("ps"), True)).alias("parent"), prefix_sums(F.transform("ps", F.length)).alias("before"))
+    want = {(r.doc_id, i): (r.ps[i], r.before[i] + 2 * i, None if r.parent[i] is None else f"sec-{r.parent[i]:03d}",
+                            [f"sec-{j:03d}" for j, p in enumerate(r.parent) if p == i])
+            for r in rows.collect() if r.ps for i in range(len(r.ps))}
+    got = {(r.doc_id, r.para_idx): (r.text, r.start_char, r.parent_id, r.children_ids) for r in sg.segment(df).collect()}
+    assert got == want
