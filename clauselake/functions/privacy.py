@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clauselake.functions.batches import holding
+from clauselake.functions.batches import holding, redacted_of
 from clauselake.functions.text import between, let
 from clauselake.rules.model import java_pattern
 from clauselake.rules.privacy import ENTITY_PATTERNS, PII_PATTERNS
@@ -36,14 +36,14 @@ def _all_values(text: Column, name: str, pattern: str, ignore_case: bool) -> Col
     return F.array_distinct(F.regexp_extract_all(text, F.lit(_jvm_pattern(name, pattern, ignore_case)), F.lit(0)))
 
 
-def pii_values(text: Column) -> Column:
-    """Array of (pii_type, values) for the types that occur, in redaction order."""
-    held = holding(text, [(p, ci) for _, p, ci in _GATED])
+def pii_values(text: Column, gated: bool = True) -> Column:
+    """Array of (pii_type, values) for the types that occur, in redaction order; `gated` by a batch test."""
+    held = holding(text, [(p, ci) for _, p, ci in _GATED]) if gated else None
     bits = {name: n for n, (name, _, _) in enumerate(_GATED)}
 
     def values(name, pattern, ignore_case):
         found = _all_values(text, name, pattern, ignore_case)
-        if name not in bits:
+        if held is None or name not in bits:
             return found
         return F.when(held.bitwiseAND(F.lit(1 << bits[name])) != 0, found).otherwise(F.array().cast("array<string>"))
 
@@ -77,6 +77,13 @@ def redact(text: Column, groups: Column) -> Column:
     return F.when(F.size(groups) == 0, text).otherwise(let(marked, _spell_out))
 
 
+def redacted(text: Column, replace: bool = True) -> Column:
+    """(text, types, body): the types of personal data that a text holds and the redacted text, worked out for whole
+    batches; both null where the text is the JVM's to search."""
+    letters = str.maketrans(_DIGITS, _DIGIT_LETTERS)
+    return redacted_of(text, list(PII_PATTERNS), _TYPE_LETTERS, _MARK_OPEN, _MARK_CLOSE, letters, replace)
+
+
 def _marker_pass(pattern: str, code: str, there: Column):
     def mark(value: Column) -> Column:
         digest = F.translate(F.left(F.md5(value.cast("binary")), F.lit(8)), _DIGITS, _DIGIT_LETTERS)

@@ -11,12 +11,13 @@ from clauselake.functions.text import unfold
 
 def with_pii(docs: DataFrame, text: str = "clean", redact: bool = True) -> DataFrame:
     """Add pii groups, has_pii, pii_types and body (redacted text, or the text itself)."""
-    out = docs.withColumn("pii", p.pii_values(F.col(text)))
-    return out.withColumns({
-        "has_pii": F.size("pii") > 0,
-        "pii_types": p.pii_type_names(F.col("pii")),
-        "body": p.redact(F.col(text), F.col("pii")) if redact else F.col(text),
-    })
+    out = docs.withColumns({"pii": p.pii_values(F.col(text)), "_redacted": p.redacted(F.col(text), redact)})
+    # the column itself is read from the batch's result, so that one pass cleans and redacts
+    out = out.withColumn(text, F.col("_redacted.text"))
+    by_batch, groups = F.col("_redacted.types").isNotNull(), p.pii_values(F.col(text), gated=False)
+    types = F.when(by_batch, F.col("_redacted.types")).otherwise(p.pii_type_names(groups))
+    body = F.when(by_batch, F.col("_redacted.body")).otherwise(p.redact(F.col(text), groups)) if redact else F.col(text)
+    return out.withColumns({"has_pii": F.size(types) > 0, "pii_types": types, "body": body}).drop("_redacted")
 
 
 def without_pii(docs: DataFrame, text: str = "clean") -> DataFrame:
