@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from clauselake.functions.batches import holding_groups
+from clauselake.functions.batches import fired_lines_of, fired_of, holding_groups
 from clauselake.functions.lookup import lookup, pick
 from clauselake.functions.text import holds, let, prefix_sums, runs, unfold
+from clauselake.operators.segment import MIN_PARAGRAPH, header_shapes
 from clauselake.operators.segment import section_id as segment_id
 from clauselake.rules.clause import CLAUSE_RULES
 from clauselake.rules.model import Probe, any_of, java_pattern
-from clauselake.rules.prefilter import needles
+from clauselake.rules.prefilter import needles, portable
 from clauselake.rules.risk import RISK_RULES
 from clauselake.rules.term import LEGAL_TERMS
 from clauselake.rules.vocab import DEFAULT_RISK_CLASS, RISK_CLASSES
@@ -72,6 +73,40 @@ def rule_words(rule) -> list[list[str]]:
     return lists + ([list(rule.context)] if rule.context else [])
 
 
+def batch_rules(rules) -> list | None:
+    """The rules as `fired_of` takes them; None if there are too many or the engine there might read a pattern otherwise."""
+    given = [p for r in rules for p in (*r.patterns, *r.exceptions, *(q.pattern for q in r.probes.values()))]
+    if not 0 < len(rules) <= MOST_GATED or not all(map(portable, given)):
+        return None
+
+    def groups(rule):
+        plain = [p for i, p in enumerate(rule.patterns) if i not in rule.probes]
+        return [(list(needles(plain)), plain)] * bool(plain) + [(list(p.words), [p.pattern]) for p in rule.probes.values()]
+
+    return [(list(r.context), groups(r), list(r.exceptions)) for r in rules]
+
+
+def fired_column(rules, text: Column, hierarchical: bool, include_long_headers: bool) -> Column | None:
+    """Array of (idx, rule_no) of whole texts: the rules that fire on their paragraphs, null beyond ASCII; None if batches
+    cannot test the rules."""
+    tests = batch_rules(rules)
+    return tests and fired_lines_of(text, MIN_PARAGRAPH, tests, MIN_RISK_WORDS, include_long_headers, hierarchical, header_shapes())
+
+
+def flagged(rows: DataFrame, rules, keep: list[str], name: str) -> tuple[DataFrame, Column]:
+    """Rows with a column `name` for the rules, and the flags of `rule_flags` told from it and from columns `text` and `low`.
+
+    Batches decide which rules fire; a text beyond ASCII, or rules that they cannot test, are left to the JVM.
+    """
+    text, low, held, tests = F.col("text"), F.col("low"), F.col(name), batch_rules(rules)
+    if tests:
+        return rows.select(*keep, fired_of(text, tests).alias(name)), F.when(held.isNull(), rule_flags(rules, text, low)).otherwise(
+            F.array(*[F.when(held.bitwiseAND(F.lit(1 << i)) != 0, F.lit(i)) for i in range(len(rules))]))
+    if len(rules) <= MOST_GATED:
+        return rows.select(*keep, gate(rules, text).alias(name)), gated_flags(rules, text, low, held)
+    return rows.select(*keep, F.lit(None).cast("bigint").alias(name)), rule_flags(rules, text, low)
+
+
 def gate(rules, text: Column) -> Column:
     """The rules that may fire, as a column that `gated_flags` takes."""
     return holding_groups(text, [rule_words(r) for r in rules])
@@ -143,13 +178,8 @@ def block_snippet(blocks: Column, chars: Column, start: Column, length: Column,
 def find(rows: DataFrame, rules, keys: list[str], around: int = RISK_CONTEXT) -> DataFrame:
     """One row per (input row, rule that fires), with the first pattern's first match."""
     text = F.col("text")
-    if len(rules) <= MOST_GATED:
-        hit = rows.select(*keys, "text", gate(rules, text).alias("held")).where("held <> 0").withColumn("low", F.lower("text"))
-        flags = gated_flags(rules, text, F.col("low"), F.col("held"))
-    else:
-        hit = rows.select(*keys, "text", F.lower("text").alias("low"))
-        flags = rule_flags(rules, text, F.col("low"))
-    hit = hit.select(*keys, "text", flags.alias("flags"))
+    hit, flags = flagged(rows, rules, [*keys, "text"], "held")
+    hit = hit.where("held is null or held <> 0").withColumn("low", F.lower("text")).select(*keys, "text", flags.alias("flags"))
     hit = unfold(hit, [*keys, "text"], raised(F.col("flags")), "rule_no")
     hit = hit.withColumn("pattern_idx", pick(F.col("rule_no"), [first_pattern(r, text) for r in rules]))
     numbered = [(r, i) for r in rules for i in range(len(r.patterns))]
@@ -310,13 +340,15 @@ def clause_risks(sections: DataFrame, clauses=CLAUSE_RULES, risks=RISK_RULES, id
 
     Both kinds of rules are looked up in one pass, inside the section's row; nothing is shuffled.
     """
-    text, low = F.col("text"), F.col("low")
+    text = F.col("text")
     eligible = F.col("word_count") >= MIN_RISK_WORDS
     if not include_long_headers:
         eligible = eligible & ~F.col("is_header")
-    rows = sections.select(id_col, "section_id", "text", eligible.alias("eligible"), F.lower("text").alias("low"))
-    rows = rows.select(id_col, "section_id", "text", rule_flags(clauses, text, low).alias("clause_flags"),
-                       F.when(F.col("eligible"), rule_flags(risks, text, low)).alias("risk_nos"))
+    rows = sections.select(id_col, "section_id", "text", eligible.alias("eligible"))
+    rows, clause_flags = flagged(rows, clauses, rows.columns, "clauses_held")
+    rows, risk_flags = flagged(rows, risks, rows.columns, "risks_held")
+    rows = rows.where("clauses_held is null or clauses_held <> 0").withColumn("low", F.lower("text"))
+    rows = rows.select(id_col, "section_id", "text", clause_flags.alias("clause_flags"), F.when(F.col("eligible"), risk_flags).alias("risk_nos"))
     rows = unfold(rows, [id_col, "section_id", "text", "risk_nos"], raised(F.col("clause_flags")), "no")
     factors = pick(F.col("no"), [F.array(*[F.lit(f) for f in r.risk_factors]).cast("array<string>") for r in clauses])
     rows = rows.withColumn("clause_key", pick(F.col("no"), [F.lit(r.key) for r in clauses]))
