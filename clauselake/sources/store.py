@@ -136,7 +136,8 @@ class Store:
         """One task and file for each bucket, sorted by id, so that statistics inside a file narrow a lookup further."""
         key = id_col or self.id_col
         placed = rows.withColumn("store_bucket", id_bucket(F.col(key), bits))
-        placed = placed.repartitionByRange(1 << bits, "store_bucket") if bits else placed.coalesce(1)
+        # by number: ranges would be found by working all rows out a first time
+        placed = placed.repartitionById(1 << bits, F.col("store_bucket").cast("int"))
         (placed.sortWithinPartitions("store_bucket", key).write.mode("overwrite").partitionBy("store_bucket")
          .parquet(f"{self.path}/{name}"))
 

@@ -9,6 +9,7 @@ from clauselake.functions import batches
 from clauselake.functions import privacy as pv
 from clauselake.operators.privacy import with_pii
 from clauselake.plans import pipeline
+from clauselake.sources.store import Store
 
 PARTS = ["a.b@c.example.com", "+1 555 010 4477", "(555) 010-4477", "123-45-6789", "4111 1111 1111 1111", "12 North Main Street", "1 a St 2 b Ave",
          "Dr. Mary Ann Jones", "Mr. A B", "04/17/1961", "1961-04-17", "AB1234567", "account with number 12345600", "ACH no. # 99 12345", "12", "x",
@@ -46,3 +47,17 @@ def test_a_batch_is_worked_on_in_slices():
 def test_the_body_is_worked_out_once(spark, agreement):
     plan = pipeline.analysis_rows(agreement).select("doc_id", "sections_count")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("redact(") == 1
+
+
+def test_rows_are_worked_out_once_for_a_store(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).withColumnRenamed("id", "doc_id").mapInArrow(count, "doc_id bigint")
+    store = Store(spark, str(tmp_path / "store"), rows_per_bucket=10)
+    assert store.save(rows, count=50) == 50
+    assert seen.value == 50 and store.read().count() == 50 and store.lookup(7).count() == 1
