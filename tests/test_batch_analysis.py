@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import is_ascii
-from clauselake.operators import detect, summary
+from clauselake.operators import detect, summary, xref
 from clauselake.operators import segment as sg
 from clauselake.plans import pipeline
 from clauselake.rules.clause import CLAUSE_RULES
@@ -84,3 +84,24 @@ def test_rules_that_engines_may_read_differently_are_left_to_the_jvm(rows):
     docs = rows.select("doc_id", F.lit("x.txt").alias("file_name"), "text")
     counted = pipeline.analysis_rows(docs, rules=own).select("doc_id", "text", F.size("risks").alias("n")).collect()
     assert sum(r.n for r in counted) > 50
+
+
+@pytest.mark.parametrize("hierarchical", [True, False])
+def test_trees_agree(rows, hierarchical):
+    t, none = F.col("text"), F.col("none")
+    both = rows.withColumns({"ps": sg.paragraph_array(t), "none": F.lit(None).cast("array<string>")}).select(
+        "text", sg.section_tree(sg.section_array(F.col("ps"), hierarchical), hierarchical).alias("want"), sg.tree_column(t, hierarchical, none).alias("got")).collect()
+    assert all(r.got == (r.want if r.text.isascii() else None) for r in both)
+    assert not hierarchical or any(s.children_ids for r in both for s in r.want)
+
+
+def test_references_agree(spark):
+    dice = random.Random(3)
+    parts = ["1. Alpha beta gamma", "2.1 Beta gamma delta", "2.1 Again this one", "IV. Ending the deal", "see Section 2.1 and", "pursuant to Clause 1 or",
+             "Section 2.1 above holds", "subject to Section 9.9 so", "as defined in Article 1, see Section 1", "words without any"]
+    given = ["\n\n".join(" ".join(dice.sample(parts, dice.randrange(1, 3))) for _ in range(dice.randrange(8))) + dice.choice(["", "", "", "é"]) for _ in range(300)]
+    t, none = F.col("text"), F.col("none")
+    both = spark.createDataFrame([(x,) for x in given], "text string").withColumns(
+        {"ps": sg.paragraph_array(t), "none": F.lit(None).cast("array<string>")}).select(
+        "text", xref.reference_array(F.col("ps")).alias("want"), xref.reference_column(t, none).alias("got")).collect()
+    assert all(r.got == (r.want if r.text.isascii() else None) for r in both) and sum(len(r.want) for r in both) > 100
