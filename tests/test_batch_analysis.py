@@ -105,3 +105,21 @@ def test_references_agree(spark):
         {"ps": sg.paragraph_array(t), "none": F.lit(None).cast("array<string>")}).select(
         "text", xref.reference_array(F.col("ps")).alias("want"), xref.reference_column(t, none).alias("got")).collect()
     assert all(r.got == (r.want if r.text.isascii() else None) for r in both) and sum(len(r.want) for r in both) > 100
+
+
+def test_terms_agree(spark):
+    dice = random.Random(7)
+    words = [w for t in detect.LEGAL_TERMS for w in t.words]
+    parts = [*words, "Agreements", "x", "_", "-", "1", "ip ", "  ", ".", "\n", "termination of", "Effective  Date"]
+    given = ["", "Term", "term", "term é"] + ["".join(dice.choice(parts) + dice.choice([" ", " ", "", ". "]) for _ in range(dice.randrange(30)))
+                                              + dice.choice(["", "", "é"]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, text string")
+    t = F.col("text")
+    both = df.select("text", detect.words_placed_in(t, [w.lower() for w in words], detect.TERM_CONTEXT).alias("got"), detect.term_matches(t).alias("want")).collect()
+    assert all(r.got == (r.want if r.text.isascii() else None) for r in both)
+    found = detect.detect_terms(df, ["i"]).groupBy("i").count().collect()
+    assert {r["i"]: r["count"] for r in found} == {i: len(r.want) for i, r in enumerate(both) if r.want}
+    # a word of several alike tokens counts from left to right without overlaps
+    own = (detect.LEGAL_TERMS[0].__class__("own", "c", "low", ("so so",)),)
+    assert [(r.position, r.matched_text) for r in detect.detect_terms(spark.createDataFrame([(1, "So so so so. so")], "i int, text string"), ["i"], own)
+            .orderBy("position").collect()] == [(0, "So so"), (6, "so so")]
