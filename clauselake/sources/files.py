@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import unique_id
-from clauselake.sources.listing import list_files
+from clauselake.sources.listing import contents, list_files
 
 # Fixed value: suffixes without plain text; every other suffix is read as text.
 BINARY_SUFFIXES = ("pdf", "docx", "doc", "xlsx", "xls")
@@ -23,20 +23,17 @@ def read_files(spark: SparkSession, path: str, max_mb: float | None = 25, recurs
                pattern: str | None = None) -> DataFrame:
     """doc_id, file_name, text, status, errors: one row per file, empty files included.
 
-    Tasks list the files with their sizes.  The size test reaches the scan, so
-    the bytes of an oversized file are never loaded; such a file, a format
-    without plain text and an empty file become status rows, the first and the
-    last straight from the listing.  `max_mb` None sets no limit.
+    Tasks list the files with their sizes and read them; no name of a file
+    reaches the driver.  The bytes of an oversized file are never loaded; such
+    a file, a format without plain text and an empty file become status rows,
+    the first and the last straight from the listing.  `max_mb` None sets no limit.
     """
     listed = list_files(spark, path, recursive, pattern)
     large = F.col("length") > _limit(max_mb)
     told = F.when(large, _too_large(max_mb)).otherwise(NO_INPUT)
     bad = listed.where(large | (F.col("length") == 0)).select(*_known(), F.lit(None).cast("string").alias("text"),
                                                              F.lit("error").alias("status"), F.array(told).alias("errors"))
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return _readable(reader.load(path), max_mb).unionByName(bad)
+    return _readable(contents(listed.where((F.col("length") > 0) & ~large)), max_mb).unionByName(bad)
 
 
 def _limit(max_mb: float | None) -> int:

@@ -20,6 +20,10 @@ from clauselake.session import shared_root
 
 BATCH = 4096
 LISTED = "path string, length bigint, folder boolean"
+# Bytes of files that one task reads, and that a batch of them holds, or one file.
+TASK_BYTES, READ_BYTES = 1 << 26, 1 << 22
+# Files that one task opens at most.
+TASK_FILES = 20_000
 
 
 def patterns(glob: str) -> list[str]:
@@ -91,6 +95,40 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False, pattern:
     return found
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """path, length and content of listed files (path, length), read by the tasks; the driver sees their number and size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, int, bytes]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            paths, lengths, read = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(lengths, pa.int64()), pa.array(read, pa.binary())], ["path", "length", "content"])
+
+        for b in batches:
+            for path, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
+                if held and size + length > READ_BYTES:
+                    yield packed()
+                    held, size = [], 0
+                held.append((path, length, _bytes(path)))
+                size += length
+        if held:
+            yield packed()
+
+    many, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES, many // TASK_FILES)
+    return files.select("path", "length").repartition(tasks, "path").mapInArrow(run, "path string, length bigint, content binary")
+
+
+def _bytes(path: str) -> bytes:
+    if path.startswith("file:"):
+        with open(re.sub("^file:/*", "/", path), "rb") as file:
+            return file.read()
+    store, inner = opened(path)
+    with store.open_input_stream(inner) as file:
+        return file.read()
+
+
 def _java(translated: str) -> str:
     """A pattern made by fnmatch, for a matcher that looks for it anywhere."""
     inner = re.sub(r"\\[Zz]$", "", translated)

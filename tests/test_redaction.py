@@ -9,6 +9,7 @@ from clauselake.functions import batches
 from clauselake.functions import privacy as pv
 from clauselake.operators.privacy import with_pii
 from clauselake.plans import pipeline
+from clauselake.sources.files import read_files
 from clauselake.sources.store import Store
 
 PARTS = ["a.b@c.example.com", "+1 555 010 4477", "(555) 010-4477", "123-45-6789", "4111 1111 1111 1111", "12 North Main Street", "1 a St 2 b Ave",
@@ -61,3 +62,14 @@ def test_rows_are_worked_out_once_for_a_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), rows_per_bucket=10)
     assert store.save(rows, count=50) == 50
     assert seen.value == 50 and store.read().count() == 50 and store.lookup(7).count() == 1
+
+
+def test_no_file_of_a_folder_reaches_the_driver(spark, tmp_path):
+    for name, content in (("a.txt", b"one\xff"), ("deep/er/b.txt", b"two"), ("deep/c.pdf", b"%PDF"), ("deep/d.txt", b""), ("big.txt", b"x" * 3000)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    rows = read_files(spark, str(tmp_path), 0.002, recursive=True)
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "binaryFile" not in plan and "MapInArrow" in plan
+    assert sorted((r.file_name, r.text, r.status) for r in rows.collect()) == [
+        ("a.txt", "one", "success"), ("b.txt", "two", "success"), ("big.txt", None, "error"), ("c.pdf", None, "unsupported"), ("d.txt", None, "error")]
