@@ -9,8 +9,10 @@ from clauselake.functions import batches
 from clauselake.functions import privacy as pv
 from clauselake.operators.privacy import with_pii
 from clauselake.plans import pipeline
+from clauselake.sources import tables
 from clauselake.sources.files import read_files
 from clauselake.sources.store import Store
+from conftest import SF
 
 PARTS = ["a.b@c.example.com", "+1 555 010 4477", "(555) 010-4477", "123-45-6789", "4111 1111 1111 1111", "12 North Main Street", "1 a St 2 b Ave",
          "Dr. Mary Ann Jones", "Mr. A B", "04/17/1961", "1961-04-17", "AB1234567", "account with number 12345600", "ACH no. # 99 12345", "12", "x",
@@ -73,3 +75,17 @@ def test_no_file_of_a_folder_reaches_the_driver(spark, tmp_path):
     assert "binaryFile" not in plan and "MapInArrow" in plan
     assert sorted((r.file_name, r.text, r.status) for r in rows.collect()) == [
         ("a.txt", "one", "success"), ("b.txt", "two", "success"), ("big.txt", None, "error"), ("c.pdf", None, "unsupported"), ("d.txt", None, "error")]
+
+
+def test_batches_of_texts_are_bounded(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(limit)
+    try:
+        spark.conf.unset(limit)
+        tables.read(spark, SF, "orders")
+        assert spark.conf.get(limit) == "4194304b"
+        spark.conf.set(limit, "32m")
+        tables.read(spark, SF, "orders")
+        assert spark.conf.get(limit) == "32m"
+    finally:
+        spark.conf.set(limit, given)
