@@ -3,7 +3,9 @@
 import random
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from clauselake.functions import batches
 from clauselake.functions import privacy as pv
@@ -12,6 +14,7 @@ from clauselake.plans import pipeline
 from clauselake.sources import tables
 from clauselake.sources.files import read_files
 from clauselake.sources.store import Store
+from clauselake.streaming import drops
 from conftest import SF
 
 PARTS = ["a.b@c.example.com", "+1 555 010 4477", "(555) 010-4477", "123-45-6789", "4111 1111 1111 1111", "12 North Main Street", "1 a St 2 b Ave",
@@ -89,3 +92,11 @@ def test_batches_of_texts_are_bounded(spark):
         assert spark.conf.get(limit) == "32m"
     finally:
         spark.conf.set(limit, given)
+
+
+def test_a_batch_of_a_stream_is_kept_on_disks(spark, tmp_path, monkeypatch):
+    levels, plain = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda df, level=StorageLevel.MEMORY_AND_DISK_DESER: levels.append(level) or plain(df, level))
+    docs = spark.createDataFrame([(1, "a.txt", "One text"), (1, "a.txt", "One text"), (2, "b.txt", None)], "doc_id bigint, file_name string, text string")
+    drops._analyze_batch(str(tmp_path / "store"), pipeline.AnalysisConfig())(docs, 0)
+    assert levels == [StorageLevel.DISK_ONLY] and Store(spark, str(tmp_path / "store")).read().count() == 2
